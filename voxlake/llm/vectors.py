@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.llm.tiles import deal_tiles, forest, groups, longs
 from voxlake.operators.components import connected_components
 from voxlake.session import stash
 
@@ -94,30 +95,11 @@ def tables_needed(d: int, parts: int, probes: int, threshold: float, recall: flo
     y -= (x * y).sum(1, keepdims=True) * x
     y = threshold * x + math.sqrt(1 - threshold**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
     p = (meet(hashes(x, 4, parts, probes), hashes(y, 4, parts, probes)) >= 0).mean()
+    p = min(max(float(p), 1e-6), 1 - 1e-6)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
-def forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Least member of each row's component among the links (i, j)."""
-    root = np.arange(n)
-    while len(i):
-        low = np.minimum(root[i], root[j])
-        new = root.copy()
-        np.minimum.at(new, root[i], low)
-        np.minimum.at(new, root[j], low)
-        while True:
-            hop = new[new]
-            if (hop == new).all():
-                break
-            new = hop
-        new = new[root]
-        if (new == root).all():
-            break
-        root = new
-    return root
-
-
-def _verify(tile: dict[str, np.ndarray], table_: int, bucket: int, threshold: float, width: int) -> tuple[list, list]:
+def _verify(tile: dict[str, np.ndarray], table_: int, bucket: int, threshold: float) -> tuple[list, list]:
     """Counts (id, partners) and forest links (id, id) of one tile: side 0 within itself (lone) or side 0 against side 1."""
     side, x, sig, own = tile["side"], tile["x"], tile["sig"], tile["n"]
     ids = tile["id"]
@@ -176,53 +158,23 @@ def link_classes(classes: DataFrame, total: int, d: int, threshold: float, recal
     filed = stash(classes.select("id", "label", "n", "x").mapInArrow(file, "label long, table long, bucket long, id long, n long, probe long, x binary, sig binary"), "vectors-filed")
     key = ["label", "table", "bucket"]
     sizes = filed.groupBy(*key).agg(F.count("*").alias("members"), F.min("probe").alias("least")).filter("members > 1 and least = 0").select(*key, F.ceil(F.col("members") / tile).alias("chunks"))
-    rows = filed.join(sizes, key).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")))
-    # chunk c meets every chunk: as side 0 of tiles (c, c..), as side 1 of tiles (..c, c)
-    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), lambda o: F.struct(F.least("chunk", o).alias("u"), F.greatest("chunk", o).alias("v")))
-    rows = rows.withColumn("m", F.explode(meets)).select(*key, F.col("m.u").alias("u"), F.col("m.v").alias("v"), F.when(F.col("chunk") == F.col("m.u"), 0).otherwise(1).alias("side"), "id", "n", "x", "sig")
-    key = [*key, "u", "v"]
-    rows = rows.repartition(*key).sortWithinPartitions(*key)
+    rows = deal_tiles(filed.join(sizes, key), key, "chunks", "id", ["n", "x", "sig"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out_a: list[tuple] = []
-
-        def close(k: tuple, held: list[pa.RecordBatch]) -> None:
-            t = pa.Table.from_batches(held)
-            if t.num_rows < 2:
-                return
-            data = {
-                "side": t.column("side").to_numpy(), "id": t.column("id").to_numpy(), "n": t.column("n").to_numpy(), "crossed": k[3] != k[4],
-                "x": np.frombuffer(b"".join(t.column("x").to_pylist()), "<f8").reshape(-1, d),
-                "sig": np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int64).reshape(-1, tables, probes),
-            }
-            counts, links = _verify(data, k[1], k[2], threshold, width)
-            out_a.extend((i, c, None) for i, c in counts)
-            out_a.extend((i, None, j) for i, j in links)
-
-        def ready() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out_a, strict=True) if out_a else ((), (), ()))], ["id", "partners", "other"])
-            out_a.clear()
-            return b
-
-        last, held = None, []
-        for b in batches:
-            keys = [b.column(c).to_numpy() for c in key]
-            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1 if b.num_rows else []
-            edges = [0, *map(int, change), b.num_rows]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if lo == hi:
+        def out() -> Iterator[tuple]:
+            for k, t in groups(batches, [*key, "u", "v"]):
+                if t.num_rows < 2:
                     continue
-                k = tuple(int(c[lo]) for c in keys)
-                if k != last and held:
-                    close(last, held)
-                    held = []
-                last = k
-                held.append(b.slice(lo, hi - lo))
-            if len(out_a) > 20_000:
-                yield ready()
-        if held:
-            close(last, held)
-        yield ready()
+                data = {
+                    "side": t.column("side").to_numpy(), "id": t.column("id").to_numpy(), "n": t.column("n").to_numpy(), "crossed": k[3] != k[4],
+                    "x": np.frombuffer(b"".join(t.column("x").to_pylist()), "<f8").reshape(-1, d),
+                    "sig": np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int64).reshape(-1, tables, probes),
+                }
+                counts, links = _verify(data, k[1], k[2], threshold)
+                yield from ((i, c, None) for i, c in counts)
+                yield from ((i, None, j) for i, j in links)
+
+        return longs(out(), ["id", "partners", "other"])
 
     return rows.mapInArrow(run, "id long, partners long, other long")
 
