@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import chat, jaccard, mixing, packing, quality, sharding, substrings, vectors, warc
+from voxlake.llm import chat, jaccard, mixing, packing, quality, scoring, sharding, substrings, vectors, warc
 from voxlake.session import table
 
 
@@ -13,6 +13,10 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.repeat_report(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op3_repeated_substrings, op4_chat_windows, op5_mix_sources, op6_warc_revisits, op7_near_vectors, op8_pack_documents, op9_quality_rules, op10_shard_documents)}
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_lm_scores, op3_repeated_substrings, op4_chat_windows, op5_mix_sources, op6_warc_revisits, op7_near_vectors, op8_pack_documents, op9_quality_rules, op10_shard_documents)}
 ORACLE: dict[str, str] = {}
