@@ -12,6 +12,7 @@ piece is known by its first sequence and place; ties go to the lower sequence; a
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -25,7 +26,9 @@ from voxlake.session import stash
 
 CAPACITY, FAN_IN, TASK_ITEMS = 4096, 8, 200_000
 #: Distinct chunks whose ids a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
+#: Letters of Latin-1, then ASCII marks (an apostrophe may belong to the letters).
+STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
 
 def default_tokenizer() -> str:
@@ -36,24 +39,69 @@ def default_tokenizer() -> str:
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes. The tokenizer drops blanks and joins nothing across them, so a
-    text's ids are those of its blank-separated chunks in a row, and each distinct chunk is encoded once."""
+    text's ids are those of its blank-separated chunks in a row, and each distinct chunk is encoded once. It also lower-cases, and
+    parts letters from marks: chunks of Latin letters, less the marks behind them, are encoded many at a time, where each ends
+    at the one id that closes a word."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.marks: dict[str, bytes] = {}
+
+    def _one(self, chunk: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def split(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode()
+        return (raw if b"<|" in raw else raw.lower()).split()  # lower case could make a special token out of another string
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({w for words in texts for w in words if w not in self.known})
-        for i in range(0, len(new), 5000):
-            part = new[i : i + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
+        known = self.known
+        if len(known) > REMEMBERED:
+            known.clear()
+        stems: dict[bytes, None] = {}
+        marked = []
+        new = list(set().union(*texts) - known.keys())
+        for w, u in zip(new, b" ".join(new).decode().split(" "), strict=False):
+            m = STEM(u)
+            if not m:
+                known[w] = self._one(w)
+            elif m[2]:
+                stem = w[: -len(m[2])]
+                marked.append((w, stem, m[2]))
+                if stem not in known:
+                    stems[stem] = None
+            else:
+                stems[w] = None
+        todo = list(stems)
+        for i in range(0, len(todo), 4000):
+            part = todo[i : i + 4000]
+            ids = np.array(self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) != len(part):
+                known.update((w, self._one(w)) for w in part)
+                continue
+            raw, lo = ids.tobytes(), 0
+            for w, hi in zip(part, (4 * ends).tolist(), strict=True):
+                known[w] = raw[lo:hi]
+                lo = hi
+        marks = self.marks
+        for w, stem, mark in marked:
+            if mark not in marks:
+                if len(marks) > 10_000:
+                    marks.clear()
+                marks[mark] = self._one(mark.encode())
+            known[w] = known[stem] + marks[mark]
 
     def ids(self, words: list[bytes], end: int = 1) -> bytes:
-        return b"".join([self.known[w] for w in words]) + end.to_bytes(4, "little")
+        return b"".join(map(self.known.__getitem__, words)) + end.to_bytes(4, "little")
 
 
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:
@@ -91,7 +139,7 @@ def tokenize_and_pack(path: str, capacity: int) -> Callable[[Iterator[pa.RecordB
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                words = [(x.as_py() or "").encode().split() for x in part.column("text")]
+                words = [encoder.split(x.as_py()) for x in part.column("text")]
                 encoder.learn(words)
                 docs.append(part.column("doc_id"))
                 for k, w in enumerate(words, done):
