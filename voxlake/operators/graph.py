@@ -6,23 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.functions.vectors import dot, l2_normalize, temporal_weight
 from voxlake.session import stash
 
 DIGITS = 6
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
-def l2_normalize(v: Column) -> Column:
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), n))
-
-
 def cosine_pairs(x: DataFrame, group: str = "reco", node: str = "node") -> DataFrame:
     """(group, i, j, sim) for all pairs of a group, itself included, rounded."""
     a = x.select(group, F.col(node).alias("i"), l2_normalize(F.col("embedding")).alias("u"))
@@ -30,10 +22,6 @@ def cosine_pairs(x: DataFrame, group: str = "reco", node: str = "node") -> DataF
     return a.join(b, group).select(group, "i", "j", F.round(dot(F.col("u"), F.col("w")), DIGITS).alias("sim"))
 
 
-def temporal_weight(i: Column, j: Column, beta: float = 0.95, most: int = 5) -> Column:
-    return F.pow(F.lit(beta), F.least(F.abs(i - j), F.lit(most)).cast("double"))
-
-
 def knn(x: DataFrame, k: int, group: str = "reco", node: str = "node", block: int = 512) -> DataFrame:
     """Exact neighbours by cosine: (group, node, rank, nbr, dist), rank 0 being the node itself at distance 0, ties to the lesser
     neighbour. A group is multiplied in blocks of rows, and only k columns of a block are ever returned."""

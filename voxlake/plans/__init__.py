@@ -1,9 +1,9 @@
 """Every query of the engine, by family."""
 
-from voxlake.plans import graph_queries, interval_queries, metric_queries, table_queries, text_queries
+from voxlake.plans import graph_queries, interval_queries, metric_queries, source_queries, stream_queries, table_queries, text_queries
 from voxlake.plans.registry import Registry
 
 PLANS = Registry()
-for part in (table_queries, interval_queries, metric_queries, graph_queries, text_queries):
+for part in (table_queries, interval_queries, metric_queries, graph_queries, text_queries, source_queries, stream_queries):
     PLANS.queries |= part.R.queries
     PLANS.oracle |= part.R.oracle
