@@ -234,20 +234,20 @@ def resolve(window: int, gram: int, most: int = 8192) -> object:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """k1, k2 (text_keys) and spans (array of begin, end; they may overlap) of the texts that lose bytes."""
     texts = docs.select(F.col("`text`").alias("text")).withColumns(text_keys(F.col("text")))
-    runs = stash(texts.mapInArrow(find_runs(window, gram), ", ".join(f"{c} long" for c in (*KEY, "place", *RUN))), "substring-runs")
+    runs = texts.mapInArrow(find_runs(window, gram), ", ".join(f"{c} long" for c in (*KEY, "place", *RUN)))
     several = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     runs = stash(runs.join(several, "anchor", "left_semi"), "substring-shared")
-    distinct = stash(runs.groupBy(*RUN).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place")).alias("at")), "substring-distinct")
+    distinct = runs.groupBy(*RUN).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place")).alias("at"))
     unlike = distinct.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor")
     wanted = distinct.join(unlike, "anchor", "left_semi").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct(*RUN, "at.place")).alias("wanted"))
     contexts = texts.join(wanted, KEY).select("text", "wanted").mapInArrow(cut_contexts(window), ", ".join(f"{c} long" for c in RUN) + ", bytes binary")
     contexts = contexts.repartition("anchor").sortWithinPartitions("anchor")
     partly = contexts.mapInArrow(resolve(window, gram), ", ".join(f"{c} long" for c in (*RUN, "from", "to")))
     twice = distinct.filter("n > 1").select(*RUN, F.col("lo").alias("from"), F.col("hi").alias("to"))
-    ranges = stash(twice.unionByName(partly.join(distinct.filter("n = 1"), RUN, "left_semi")), "substring-ranges")
+    ranges = twice.unionByName(partly.join(distinct.filter("n = 1"), RUN, "left_semi"))
     spans = runs.dropDuplicates([*KEY, "place", "lo"]).join(ranges, RUN)
     span = F.struct((F.col("place") + F.col("from")).alias("begin"), (F.col("place") + F.col("to") + window).alias("end"))
-    return stash(spans.groupBy(*KEY).agg(F.collect_list(span).alias("spans")), "substring-spans")
+    return spans.groupBy(*KEY).agg(F.collect_list(span).alias("spans"))
 
 
 def kept_parts(raw: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]:
