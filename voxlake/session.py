@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -44,15 +46,29 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="voxlake-")
+        folder = tempfile.mkdtemp(prefix="voxlake-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        found = "file://" + folder
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+_STASHES: list[str] = []
+
+
+def drop_stashes(spark: SparkSession) -> None:
+    """Deletes what stash() has written so far in this process; results that still read it are lost, so call it between jobs."""
+    jvm = spark.sparkContext._jvm
+    while _STASHES:
+        path = jvm.org.apache.hadoop.fs.Path(_STASHES.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and returns the written table: lineage ends here, so a lost executor costs
     a re-read, and values such as row marks are fixed for every later use."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STASHES.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
