@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import re
 import time
-import zlib
 from collections.abc import Callable, Iterator
 from functools import cached_property
 
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 2000
 #: Blanks that part words, and the symbols that are counted.
 BLANKS, SYMBOLS = b"\x20\x09\x0a\x0b\x0c\x0d", b"#*$%&|<>"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = re.compile(rb"[A-Za-z\x80-\xff]").search  # a letter of ASCII, or anything beyond
 
 
 class Text:
@@ -83,12 +82,11 @@ class Text:
     @cached_property
     def lettered(self) -> int:
         """Words with a letter."""
-        return sum(1 for w in self.raw.decode("utf-8", "surrogatepass").split() if LETTER.search(w))
+        return sum(1 for w in self.words if LETTER(w))
 
     @cached_property
-    def squeezed(self) -> float:
-        """Compressed bytes per byte."""
-        return len(zlib.compress(self.raw, 1)) / max(1, len(self.raw))
+    def distinct(self) -> int:
+        return len(set(self.words))
 
 
 Rule = tuple[str, Callable[[Text], bool]]
@@ -105,7 +103,7 @@ RULES: list[Rule] = [
     ("word length", lambda t: not 2 * len(t.words) <= t.word_chars <= 25 * len(t.words)),
     ("duplicate lines", lambda t: 100 * t.n_dup_lines > 30 * len(t.lines)),
     ("letters", lambda t: 100 * t.lettered < 60 * len(t.words)),
-    ("compression", lambda t: len(t.raw) > 500 and t.squeezed < 0.1),
+    ("few different words", lambda t: len(t.words) >= 200 and 100 * t.distinct < 5 * len(t.words)),
 ]
 BASE: Rule = ("base", too_few_or_repeated)
 

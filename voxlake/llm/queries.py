@@ -55,4 +55,42 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_lm_scores, op3_repeated_substrings, op4_chat_windows, op5_mix_sources, op6_warc_revisits, op7_near_vectors, op8_pack_documents, op9_quality_rules, op10_shard_documents)}
-ORACLE: dict[str, str] = {}
+_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda t: t <> '')"
+
+_JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+ sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0) x),
+ n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+ p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+ l AS (SELECT a, b, c = x.n AND c = y.n AS same FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.8 * (x.n + y.n - c)),
+ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+ k AS (SELECT a AS doc_id, min(b) AS class_id FROM reach GROUP BY 1),
+ d AS (SELECT a AS doc_id, count(*) AS n_links, count(*) FILTER (same) AS n_copies, min(b) FILTER (same) AS rep FROM l GROUP BY 1)
+ SELECT k.doc_id, class_id, least(k.doc_id, coalesce(rep, k.doc_id)) AS rep_id, coalesce(n_copies, 0) AS n_copies, coalesce(n_links, 0) AS n_links FROM k LEFT JOIN d USING (doc_id)"""
+
+_VECTORS = """WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+ u AS (SELECT *, sqrt(list_dot_product(v, v)) AS len FROM v),
+ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.len > 0 AND b.len > 0 AND list_dot_product(a.v, b.v) / (a.len * b.len) >= 0.93),
+ reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN l ON l.a = r.b),
+ k AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1), d AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY 1)
+ SELECT k.vec_id, coalesce(n_links, 0) AS n_links, component_id, k.vec_id = component_id AS kept FROM k LEFT JOIN d USING (vec_id)"""
+
+_QUALITY = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+ g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM t WHERE len(w) >= 5) x),
+ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 5)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS c FROM g) y WHERE c > 1) z GROUP BY 1),
+ li AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
+ m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+ len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\\x00-\\x7f]'))) AS lettered FROM t JOIN li USING (doc_id) LEFT JOIN r USING (doc_id)),
+ b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * n_symbols <= 20 * n_words AND word_chars BETWEEN 2 * n_words AND 25 * n_words
+ AND 100 * n_dup_lines <= 30 * n_lines AND 100 * lettered >= 60 * n_words AND NOT (n_words >= 200 AND 100 * n_distinct < 5 * n_words) AS kept FROM b"""
+
+_WARC = f"""WITH p AS (SELECT page_id, url, md5(html) AS digest, strlen(html) AS length, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),
+ q AS (SELECT *, regexp_replace(lower(regexp_extract(bare, '^([^/?]*)', 1)), '^www[0-9]*[.]|:(80|443)$', '') AS host, regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+ list_sort(list_filter(string_split(regexp_extract(bare, '[?](.*)$', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '{warc.TRACKING}'))) AS query FROM p),
+ c AS (SELECT *, concat(host, path, CASE WHEN len(query) > 0 THEN concat('?', array_to_string(query, '&')) ELSE '' END) AS canonical_url FROM q),
+ a AS (SELECT r.page_id, r.canonical_url, r.digest, f.page_id AS source, f.digest AS stored, f.length, row_number() OVER (PARTITION BY r.page_id ORDER BY f.page_id DESC) AS rn FROM c r LEFT JOIN c f ON f.canonical_url = r.canonical_url AND f.page_id <= r.page_id + {warc.LAG} AND f.digest IS NOT NULL)
+ SELECT page_id, canonical_url, CASE WHEN source IS NULL THEN 'missing' WHEN digest IS NULL THEN 'unvalidated' WHEN digest = stored THEN 'resolved' ELSE 'mismatch' END AS verdict,
+ CASE WHEN digest = stored THEN source END AS source_page, CASE WHEN digest = stored THEN stored END AS source_digest,
+ CASE WHEN digest = stored THEN concat('cache-control: max-age=60', chr(10), 'content-length: ', length, chr(10), 'content-type: text/html', chr(10), 'date: ', page_id + {warc.LAG}, chr(10), 'etag: "', digest, '"') END AS headers FROM a WHERE rn = 1"""
+
+ORACLE = {"op1_jaccard_join": _JACCARD, "op6_warc_revisits": _WARC, "op7_near_vectors": _VECTORS, "op9_quality_rules": _QUALITY}
