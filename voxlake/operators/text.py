@@ -27,7 +27,7 @@ def ngrams(rows: DataFrame, text: str, order: int) -> DataFrame:
     marked = rows.select(F.concat(F.array(F.lit(BOS)), words(text), F.array(F.lit(EOS))).alias("w"))
     t = marked.select("w", F.posexplode("w").alias("p", "word")).filter("p > 0")
     t = t.select("w", "p", "word", F.explode(F.sequence(F.lit(1), F.least(F.lit(order), F.col("p") + 1))).alias("n"))
-    hist = F.array_join(F.slice("w", F.col("p") - F.col("n") + 2, F.col("n") - 1), " ")
+    hist = F.array_join(F.slice("w", F.greatest(F.lit(1), F.col("p") - F.col("n") + 2), F.col("n") - 1), " ")
     return t.select("n", hist.alias("hist"), "word").groupBy("n", "hist", "word").agg(F.count("*").alias("cnt"))
 
 
