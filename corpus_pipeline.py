@@ -18,9 +18,13 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return jaccard.keep_one(docs)
 
 
+#: Bytes of a repeat that is cut out, and of its anchors: a passage of fifty words is longer.
+REPEAT, ANCHOR = 200, 40
+
+
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated byte strings are cut out of the texts; every document stays."""
-    return substrings.remove_repeats(docs)
+    return substrings.remove_repeats(docs, window=REPEAT, gram=ANCHOR)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
