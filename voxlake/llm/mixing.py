@@ -1,7 +1,7 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (DataFrame functions only).
 
-Every source is cut into about sqrt(N) blocks by a hash of the document id, so neither the number of blocks that one
-task ranks nor the number of documents in a block exceeds the order of sqrt(N), whatever one source holds.
+Every source is cut into about sqrt(documents / sources) / 4 blocks by a hash of the document id, so neither the number of blocks that one
+task ranks nor the number of documents in a block exceeds the order of sqrt(documents * sources), whatever one source holds.
 A source's target fixes its quota of blocks: whole passes over it, then a prefix of its permuted blocks, the last
 of them cut between two documents. The quotas are split down a binary tree over the output shards: a node with t
 blocks gives its left child a fixed number of them, and which sources they come from is an exact multivariate
@@ -89,8 +89,9 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 def plan_mix(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, shards: int = 16, seed: int = 17,
              id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> tuple[DataFrame, int]:
     """One row per (source, block): source_size, target, the shards of its passes, and, in the block where a source's
-    quota ends, the last document key of the final pass and one key beyond it. Also the number of blocks."""
-    blocks = max(1, math.ceil(math.sqrt(sized.count())))
+    quota ends, the last document key of the final pass and the few keys beyond it that fill the rest of the quota. Also the number of blocks."""
+    seen = sized.agg(F.count("*").alias("n"), F.approx_count_distinct(F.coalesce(F.col(f"`{source_col}`"), F.lit(""))).alias("sources")).first()
+    blocks = max(1, math.ceil(math.sqrt(seen["n"] / max(1, seen["sources"])) / 4))
     rows = _keyed(sized, blocks, id_col, source_col, seed).select(*SRC, "__block", "__key", F.col(f"`{size_col}`").alias("__size"))
     block = rows.groupBy(*SRC, "__block").agg(F.sum("__size").alias("__words"))
     block = stash(block, "mix-blocks")
@@ -113,12 +114,20 @@ def plan_mix(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epoc
     inside = rows.join(edges, [*SRC, "__block"]).groupBy(*SRC, "__left", "__key").agg(F.sum("__size").alias("__size"))
     inside = inside.withColumn("__sum", F.sum("__size").over(upto))
     fits = F.col("__sum") <= F.col("__left")
-    cut = inside.groupBy(*SRC, "__left").agg(F.max(F.when(fits, F.col("__key"))).alias("__cut"), F.coalesce(F.max(F.when(fits, F.col("__sum"))), F.lit(0)).alias("__had"))
-    # one document beyond the cut may follow: the one that brings the source nearest to its target
-    gap = F.col("__left") - F.col("__had")
-    off = F.abs(gap - F.col("__size"))
-    more = inside.filter(~fits).join(cut.select(*SRC, "__had"), SRC).filter(off < gap).groupBy(*SRC).agg(F.min_by("__key", F.struct(off, F.col("__key"))).alias("__extra"))
-    cut = cut.join(more, SRC, "left").select(*SRC, "__cut", "__extra")
+    entry = F.struct((-F.col("__size")).alias("s"), F.col("__key").alias("k"))
+    cut = inside.groupBy(*SRC, "__left").agg(F.max(F.when(fits, F.col("__key"))).alias("__cut"), F.coalesce(F.max(F.when(fits, F.col("__sum"))), F.lit(0)).alias("__had"), F.array_sort(F.collect_list(F.when(~fits, entry))).alias("__rest"))
+    # what the cut leaves open is filled from the rest of the block, largest first, then by one document that brings the source nearer to its target
+    none = F.array().cast("array<bigint>")
+    start = F.struct((F.col("__left") - F.col("__had")).cast("double").alias("gap"), none.alias("keys"))
+
+    def fill(state: Column, doc: Column) -> Column:
+        size = -doc["s"]
+        return F.when((size > 0) & (size <= state["gap"]), F.struct((state["gap"] - size).cast("double").alias("gap"), F.concat(state["keys"], F.array(doc["k"])).alias("keys"))).otherwise(state)
+
+    cut = cut.withColumn("__fill", F.aggregate("__rest", start, fill))
+    gap, keys = F.col("__fill.gap"), F.col("__fill.keys")
+    over = F.array_min(F.transform(F.filter("__rest", lambda x: ~F.array_contains(keys, x["k"]) & (F.abs(gap + x["s"]) < gap)), lambda x: F.struct(F.abs(gap + x["s"]).alias("d"), x["k"].alias("k"))))
+    cut = cut.select(*SRC, "__cut", F.when(over.isNull(), keys).otherwise(F.concat(keys, F.array(over["k"]))).alias("__extra"))
 
     passes = F.col("__full") + F.col("__last").cast("long")
     unit = block.filter(passes > 0).select(*SRC, "__block", "__rank", "__of", F.explode(F.sequence(F.lit(0).cast("long"), passes - 1)).alias("__pass"))
@@ -136,7 +145,7 @@ def plan_mix(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epoc
 def assign(docs: DataFrame, plan: DataFrame, blocks: int, *, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with __copies (the shards that get the document, one entry a copy), source_size and target."""
     out = _keyed(docs, blocks, id_col, source_col, seed).join(plan, [*SRC, "__block"])
-    beyond = F.col("__edge") & (F.col("__cut").isNull() | (F.col("__key") > F.col("__cut"))) & ~F.col("__key").eqNullSafe(F.col("__extra"))
+    beyond = F.col("__edge") & (F.col("__cut").isNull() | (F.col("__key") > F.col("__cut"))) & ~F.coalesce(F.array_contains("__extra", F.col("__key")), F.lit(False))
     return out.withColumn("__copies", F.when(beyond, F.slice("__copies", F.lit(1), F.col("__full"))).otherwise(F.col("__copies")))
 
 

@@ -30,7 +30,7 @@ from voxlake.llm.tiles import groups
 from voxlake.session import stash
 
 WINDOW, GRAM, CHUNK = 400, 64, 1 << 20
-KEY = ["k1", "k2"]
+KEY = ["__k1", "__k2"]
 RUN = ["anchor", "lo", "hi", "content"]
 _BASE = 0x9E3779B97F4A7C15
 _BITS = np.uint64(24)
@@ -38,7 +38,7 @@ _BITS = np.uint64(24)
 
 def text_keys(text: Column) -> dict[str, Column]:
     whole = F.coalesce(text, F.lit(""))
-    return {"k1": F.xxhash64(whole), "k2": F.xxhash64(F.lit(1), whole)}
+    return dict(zip(KEY, (F.xxhash64(whole), F.xxhash64(F.lit(1), whole)), strict=True))
 
 
 class Roller:
@@ -106,7 +106,7 @@ def find_runs(window: int, gram: int) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller = Roller()
         for b in batches:
-            k1, k2 = b.column("k1").to_numpy(), b.column("k2").to_numpy()
+            k1, k2 = (b.column(k).to_numpy() for k in KEY)
             held: list[tuple[int, int, bytes]] = []  # row, place of the part in its text, bytes
             size = 0
 
@@ -145,7 +145,7 @@ def cut_contexts(window: int) -> object:
             for lo_ in range(0, b.num_rows, 64):
                 out: list[tuple] = []
                 part = b.slice(lo_, 64)
-                for text, wanted in zip(part.column("text"), part.column("wanted").to_pylist(), strict=True):
+                for text, wanted in zip(part.column("text"), part.column("__wanted").to_pylist(), strict=True):
                     raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
                     for w in wanted:
                         out.append((w["anchor"], w["lo"], w["hi"], w["content"], raw[w["place"] + w["lo"] : w["place"] + w["hi"] + window]))
@@ -231,23 +231,24 @@ def resolve(window: int, gram: int, most: int = 8192) -> object:
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """k1, k2 (text_keys) and spans (array of begin, end; they may overlap) of the texts that lose bytes."""
-    texts = docs.select(F.col("`text`").alias("text")).withColumns(text_keys(F.col("text")))
+def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """KEY and __spans (array of begin, end; they may overlap) of the texts that lose bytes. rows: text, KEY and whatever the caller
+    goes on with: they meet both joins in one shape, so that Spark deals the texts out once."""
+    texts = rows.select("text", *KEY)
     runs = texts.mapInArrow(find_runs(window, gram), ", ".join(f"{c} long" for c in (*KEY, "place", *RUN)))
     several = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
     runs = stash(runs.join(several, "anchor", "left_semi"), "substring-shared")
     distinct = runs.groupBy(*RUN).agg(F.count("*").alias("n"), F.min(F.struct(*KEY, "place")).alias("at"))
     unlike = distinct.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1").select("anchor")
-    wanted = distinct.join(unlike, "anchor", "left_semi").groupBy("at.k1", "at.k2").agg(F.collect_list(F.struct(*RUN, "at.place")).alias("wanted"))
-    contexts = texts.join(wanted, KEY).select("text", "wanted").mapInArrow(cut_contexts(window), ", ".join(f"{c} long" for c in RUN) + ", bytes binary")
+    wanted = distinct.join(unlike, "anchor", "left_semi").groupBy(*[F.col(f"at.{k}").alias(k) for k in KEY]).agg(F.collect_list(F.struct(*RUN, "at.place")).alias("__wanted"))
+    contexts = rows.join(wanted, KEY, "left").filter("__wanted is not null").mapInArrow(cut_contexts(window), ", ".join(f"{c} long" for c in RUN) + ", bytes binary")
     contexts = contexts.repartition("anchor").sortWithinPartitions("anchor")
     partly = contexts.mapInArrow(resolve(window, gram), ", ".join(f"{c} long" for c in (*RUN, "from", "to")))
     twice = distinct.filter("n > 1").select(*RUN, F.col("lo").alias("from"), F.col("hi").alias("to"))
     ranges = twice.unionByName(partly.join(distinct.filter("n = 1"), RUN, "left_semi"))
     spans = runs.dropDuplicates([*KEY, "place", "lo"]).join(ranges, RUN)
     span = F.struct((F.col("place") + F.col("from")).alias("begin"), (F.col("place") + F.col("to") + window).alias("end"))
-    return spans.groupBy(*KEY).agg(F.collect_list(span).alias("spans"))
+    return spans.groupBy(*KEY).agg(F.collect_list(span).alias("__spans"))
 
 
 def kept_parts(raw: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]:
@@ -265,13 +266,13 @@ def kept_parts(raw: bytes, spans: list[dict] | None) -> tuple[list[bytes], int]:
 def repeat_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     rows = docs.select(F.col("`doc_id`").alias("doc_id"), F.col("`text`").alias("text")).withColumns(text_keys(F.col("`text`")))
-    rows = rows.join(repeated_spans(docs, window, gram), KEY, "left").select("doc_id", "text", "spans")
+    rows = rows.join(repeated_spans(rows, window, gram), KEY, "left").select("doc_id", "text", "__spans")
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for x, spans in zip(b.column("text"), b.column("spans"), strict=True):
+            for x, spans in zip(b.column("text"), b.column("__spans"), strict=True):
                 raw = (x.as_py() or "").encode("utf-8", "surrogatepass")
                 parts, n = kept_parts(raw, spans.as_py())
                 h = hashlib.sha256()
@@ -287,9 +288,8 @@ def repeat_report(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
 def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs with the repeated bytes taken out of text (characters that a cut splits go too); n_chars, if there, follows."""
     names = docs.columns
-    rows = docs.withColumns({f"__{k}": c for k, c in text_keys(F.col("`text`")).items()})
-    spans = repeated_spans(docs, window, gram).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans"))
-    rows = rows.join(spans, ["__k1", "__k2"], "left").select(*[F.col(f"`{c}`") for c in names], "__spans")
+    rows = docs.withColumns(text_keys(F.col("`text`")))
+    rows = rows.join(repeated_spans(rows, window, gram), KEY, "left").select(*[F.col(f"`{c}`") for c in names], "__spans")
     where, schema = names.index("text"), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
