@@ -71,18 +71,18 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     tree = quotas.select(F.lit(0).alias("a"), F.lit(shards).alias("b"), *SRC, F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("n"))
     kind = "array<struct<__null:boolean,__src:string,lo:bigint,n:bigint,hits:bigint>>"
     for _ in range(max(0, math.ceil(math.log2(shards)))):
-        whole = F.col("b") - F.col("a") <= 1
         items = F.array_sort(F.collect_list(F.struct(*SRC, "lo", "n")))
-        nodes = tree.filter(~whole).groupBy("a", "b").agg(items.alias("items"), F.sum("n").alias("rest"))
-        mid = (F.col("a") + F.col("b")).cast("int")
-        nodes = nodes.withColumn("mid", F.floor(mid / 2).cast("int"))
+        nodes = tree.groupBy("a", "b").agg(items.alias("items"), F.sum("n").alias("rest"))
+        half = F.floor((F.col("a") + F.col("b")) / 2).cast("int")
+        nodes = nodes.withColumn("mid", F.when(F.col("b") - F.col("a") <= 1, F.col("b")).otherwise(half))  # a single shard keeps everything on its left
         share = F.floor(F.col("rest") * (F.col("mid") - F.col("a")) / (F.col("b") - F.col("a")) + F.lit(0.5)).cast("long")
         start = F.struct(F.col("rest").alias("rest"), share.alias("left"), F.array().cast(kind).alias("out"))
         drawn = F.aggregate("items", start, lambda s, x: _urn(F.concat_ws("-", "a", "b"), s, x, seed))
         rows = nodes.select("a", "mid", "b", F.explode(drawn["out"]).alias("x"))
-        left = rows.select("a", F.col("mid").alias("b"), "x.__null", "x.__src", "x.lo", F.col("x.hits").alias("n"))
-        right = rows.select(F.col("mid").alias("a"), "b", "x.__null", "x.__src", (F.col("x.lo") + F.col("x.hits")).alias("lo"), (F.col("x.n") - F.col("x.hits")).alias("n"))
-        tree = tree.filter(whole).unionByName(left).unionByName(right)
+        left = F.struct(F.col("a"), F.col("mid").alias("b"), F.col("x.lo").alias("lo"), F.col("x.hits").alias("n"))
+        right = F.struct(F.col("mid").alias("a"), F.col("b"), (F.col("x.lo") + F.col("x.hits")).alias("lo"), (F.col("x.n") - F.col("x.hits")).alias("n"))
+        both = rows.select("x.__null", "x.__src", F.explode(F.array(left, right)).alias("c"))
+        tree = both.select("c.a", "c.b", *SRC, "c.lo", "c.n").filter("n > 0")
     return tree.filter("n > 0").select(*SRC, F.col("a").alias("shard"), "lo", "n")
 
 
