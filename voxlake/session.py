@@ -53,6 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows of one batch between the JVM and Python where rows hold whole texts; Spark's own default is ten times that.
+TEXT_BATCH = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keeps batches of whole texts small, unless the session has its own limit."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_BATCH))
+
+
 _STASHES: list[str] = []
 
 
