@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.session import text_batches
+
 BUDGET, HISTORY, OVERHEAD = 1024, 2, 4
 #: The control strings and the escapes.
 START, TEXT, END = "<s>", "[INST]", "</s>"
@@ -116,6 +118,7 @@ SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
     """conv_id, window, n_context, first_turn, formatted, loss_spans; a conversation's windows follow each other in one partition."""
+    text_batches(conversations.sparkSession)
     rows = conversations.select(F.col("`conv_id`").cast("long").alias("conv_id"), F.col("`turn`").alias("turn"), F.coalesce(F.col("`role`"), F.lit("")).alias("role"), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("n_context", pa.int64()), ("first_turn", pa.int64()), ("formatted", pa.string()), ("loss_spans", SPANS)])

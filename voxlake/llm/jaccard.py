@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from voxlake.llm.tiles import deal_tiles, forest, groups, longs
 from voxlake.operators.components import connected_components
-from voxlake.session import stash
+from voxlake.session import stash, text_batches
 
 SHINGLE, THRESHOLD, RECALL, TREES, DEPTH, NODE_TILE, TILE = 5, 0.8, 0.9995, 16, 6, 8192, 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -216,6 +216,7 @@ def verify(threshold: float) -> object:
 def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, class_id (the least id that links reach), rep_id (the least id with the same shingles),
     n_copies (others with the same shingles), n_links (other documents of similarity >= threshold, copies included)."""
+    text_batches(docs.sparkSession)
     sketched = stash(sketch(docs, trees, depth), "jaccard-sketch")
     classes = sketched.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
     classes = stash(classes.withColumn("id", F.xxhash64("class")), "jaccard-classes")

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.session import stash
+from voxlake.session import stash, text_batches
 
 CAPACITY, FAN_IN, TASK_ITEMS = 4096, 8, 200_000
 #: Distinct chunks whose ids a worker remembers before it starts afresh.
@@ -185,6 +185,7 @@ def pack_items(capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 def pack_documents(docs: DataFrame, *, tokenizer: str | None = None, capacity: int = CAPACITY, slack: int = 8, fan_in: int = FAN_IN, task_items: int = TASK_ITEMS,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: one row for each piece."""
+    text_batches(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     longs = ", ".join(f"{c} long" for c in ("piece", "start", "length", "ids_crc32", "bin", "offset", "fill"))

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.session import text_batches
+
 SAMPLE_ROWS = 2000
 #: Blanks that part words, and the symbols that are counted.
 BLANKS, SYMBOLS = b"\x20\x09\x0a\x0b\x0c\x0d", b"#*$%&|<>"
@@ -100,7 +102,7 @@ def too_few_or_repeated(t: Text) -> bool:
 #: Name, and a test that is true for a document to be rejected.
 RULES: list[Rule] = [
     ("symbols", lambda t: 100 * t.n_symbols > 20 * len(t.words)),
-    ("word length", lambda t: not 2 * len(t.words) <= t.word_chars <= 25 * len(t.words)),
+    ("word length", lambda t: 5 * t.word_chars < 6 * len(t.words) or t.word_chars > 100 * len(t.words)),
     ("duplicate lines", lambda t: 100 * t.n_dup_lines > 30 * len(t.lines)),
     ("letters", lambda t: 100 * t.lettered < 60 * len(t.words)),
     ("few different words", lambda t: len(t.words) >= 200 and 100 * t.distinct < 5 * len(t.words)),
@@ -115,6 +117,7 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[Text]:
 
 def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[int]:
     """Order of the rules by estimated rejection per cost; one row per rule and task comes back to the driver."""
+    text_batches(docs.sparkSession)
     total = docs.count()
     some = docs.select(F.col(f"`{text_col}`").alias("text"))
     if total > sample_rows:

@@ -81,7 +81,7 @@ _QUALITY = f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS
  m AS (SELECT doc_id, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
  len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(r.n, 0) AS n_repeat_words, len(l) AS n_lines, len(list_distinct(w)) AS n_distinct, len(list_filter(w, lambda x: regexp_matches(x, '[A-Za-z]|[^\\x00-\\x7f]'))) AS lettered FROM t JOIN li USING (doc_id) LEFT JOIN r USING (doc_id)),
  b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
- SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * n_symbols <= 20 * n_words AND word_chars BETWEEN 2 * n_words AND 25 * n_words
+ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * n_symbols <= 20 * n_words AND 5 * word_chars >= 6 * n_words AND word_chars <= 100 * n_words
  AND 100 * n_dup_lines <= 30 * n_lines AND 100 * lettered >= 60 * n_words AND NOT (n_words >= 200 AND 100 * n_distinct < 5 * n_words) AS kept FROM b"""
 
 _WARC = f"""WITH p AS (SELECT page_id, url, md5(html) AS digest, strlen(html) AS length, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM pages),

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.tiles import groups
-from voxlake.session import stash
+from voxlake.session import stash, text_batches
 
 WINDOW, GRAM, CHUNK = 400, 64, 1 << 20
 KEY = ["__k1", "__k2"]
@@ -234,6 +234,7 @@ def resolve(window: int, gram: int, most: int = 8192) -> object:
 def repeated_spans(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """KEY and __spans (array of begin, end; they may overlap) of the texts that lose bytes. rows: text, KEY and whatever the caller
     goes on with: they meet both joins in one shape, so that Spark deals the texts out once."""
+    text_batches(rows.sparkSession)
     texts = rows.select("text", *KEY)
     runs = texts.mapInArrow(find_runs(window, gram), ", ".join(f"{c} long" for c in (*KEY, "place", *RUN)))
     several = runs.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1").select("anchor")
