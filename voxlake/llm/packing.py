@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from voxlake.session import stash, text_batches
 
 CAPACITY, FAN_IN, TASK_ITEMS = 4096, 8, 200_000
-#: Distinct chunks whose ids a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+#: Distinct chunks whose ids a worker remembers at most, and how many of the first it keeps when it starts afresh.
+REMEMBERED, KEPT = 650_000, 300_000
 #: Letters of Latin-1, then ASCII marks (an apostrophe may belong to the letters).
 STEM = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
 
@@ -53,6 +54,7 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.first: dict[bytes, bytes] = {}
         self.marks: dict[str, bytes] = {}
 
     def _one(self, chunk: bytes) -> bytes:
@@ -64,8 +66,11 @@ class Encoder:
 
     def learn(self, texts: list[list[bytes]]) -> None:
         known = self.known
+        if len(known) > KEPT and not self.first:
+            self.first = known.copy()
         if len(known) > REMEMBERED:
             known.clear()
+            known.update(self.first)
         stems: dict[bytes, None] = {}
         marked = []
         new = list(set().union(*texts) - known.keys())
@@ -104,6 +109,12 @@ class Encoder:
         return b"".join(map(self.known.__getitem__, words)) + end.to_bytes(4, "little")
 
 
+@cache
+def encoder_for(path: str) -> Encoder:
+    """One encoder per worker process, so that what one task learnt serves the next."""
+    return Encoder(path)
+
+
 def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], list[int], list[int]]:
     """Longest first, each into the fullest open sequence that takes it. Per item its sequence and offset; fills."""
     free: list[list[int]] = [[] for _ in range(capacity + 1)]
@@ -134,7 +145,7 @@ def _unique(base: int, n: int) -> int:
 
 def tokenize_and_pack(path: str, capacity: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, base = Encoder(path), TaskContext.get().partitionId()
+        encoder, base = encoder_for(path), TaskContext.get().partitionId()
         docs, rows, done = [], [], 0
         for b in batches:
             for lo in range(0, b.num_rows, 256):
