@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 BOS, EOS = "<s>", "</s>"
 
 
+def plain(x: Column) -> Column:
+    """Rounded to six digits, without a negative zero."""
+    return F.when(F.abs(x) < 5e-7, 0.0).otherwise(F.round(x, 6))
+
+
 def words(text: str) -> Column:
     return F.filter(F.split(F.trim(F.col(text)), r"\s+"), lambda t: t != "")
 
@@ -59,7 +64,7 @@ def kn_probabilities(counts: DataFrame, order: int) -> DataFrame:
     w = Window.partitionBy("n", "hist")
     total = F.sum("c").over(w)
     t = t.withColumn("f", F.greatest(F.lit(0.0), F.col("c") - F.col("d")) / total)
-    return t.select("n", "hist", "word", F.round("f", 6).alias("f"), F.round(1 - F.sum("f").over(w), 6).alias("left"))
+    return t.select("n", "hist", "word", F.round("f", 6).alias("f"), plain(1 - F.sum("f").over(w)).alias("left"))
 
 
 def backoff_weights(probs: DataFrame) -> DataFrame:
@@ -68,7 +73,7 @@ def backoff_weights(probs: DataFrame) -> DataFrame:
     rest = F.when(F.instr("hist", " ") > 0, F.expr("substring(hist, instr(hist, ' ') + 1)")).otherwise(F.lit(""))
     low = probs.select((F.col("n") + 1).alias("n"), F.col("hist").alias("low"), "word", F.col("f").alias("g"))
     t = p.withColumn("low", rest).join(low, ["n", "low", "word"], "left").groupBy("n", "hist").agg((1 - F.sum("f")).alias("a"), (1 - F.sum(F.coalesce("g", F.lit(0.0)))).alias("b"))
-    return t.select("n", "hist", F.round(F.when(F.col("b") > 1e-6, F.col("a") / F.col("b")).otherwise(F.lit(1.0)), 6).alias("bow"))
+    return t.select("n", "hist", plain(F.when(F.col("b") > 1e-6, F.col("a") / F.col("b")).otherwise(F.lit(1.0))).alias("bow"))
 
 
 def score_sentences(rows: DataFrame, key: str, text: str, uni: DataFrame, bi: DataFrame, bow: DataFrame) -> DataFrame:

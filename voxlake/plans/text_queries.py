@@ -21,7 +21,7 @@ NG = f"""{LINES}, m AS (SELECT id, list_concat(['<s>'], w, ['</s>']) AS w FROM l
  cnt AS (SELECT CAST(n AS INT) AS n, array_to_string(w[p - n + 1:p - 1], ' ') AS hist, w[p] AS word, count(*) AS cnt FROM g GROUP BY ALL)"""
 CTX = ", ctx AS (SELECT n - 1 AS n, CASE WHEN contains(hist, ' ') THEN substr(hist, instr(hist, ' ') + 1) ELSE '' END AS hist, word, count(*) AS n_ctx FROM cnt WHERE n > 1 GROUP BY 1, 2, 3)"
 DISC = ", dsc AS (SELECT n, CASE WHEN n = 1 THEN 0.0::DOUBLE ELSE round(greatest(0.001::DOUBLE, count(*) FILTER (cnt = 1)) / (greatest(0.001::DOUBLE, count(*) FILTER (cnt = 1)) + 2 * count(*) FILTER (cnt = 2)), 6) END AS d FROM cnt GROUP BY n)"
-PROB = CTX + DISC + ", adj AS (SELECT n, hist, word, CASE WHEN n = 3 OR starts_with(hist, '<s>') THEN cnt ELSE coalesce(n_ctx, cnt) END AS c FROM cnt LEFT JOIN ctx USING (n, hist, word)), f0 AS (SELECT n, hist, word, greatest(0.0::DOUBLE, c - d) / sum(c) OVER (PARTITION BY n, hist) AS f FROM adj JOIN dsc USING (n)), pr AS (SELECT n, hist, word, round(f, 6) AS f, round(1 - sum(f) OVER (PARTITION BY n, hist), 6) AS \"left\" FROM f0)"
+PROB = CTX + DISC + ", adj AS (SELECT n, hist, word, CASE WHEN n = 3 OR starts_with(hist, '<s>') THEN cnt ELSE coalesce(n_ctx, cnt) END AS c FROM cnt LEFT JOIN ctx USING (n, hist, word)), f0 AS (SELECT n, hist, word, greatest(0.0::DOUBLE, c - d) / sum(c) OVER (PARTITION BY n, hist) AS f FROM adj JOIN dsc USING (n)), pr AS (SELECT n, hist, word, round(f, 6) AS f, CASE WHEN abs(1 - sum(f) OVER (PARTITION BY n, hist)) < 0.0000005 THEN 0.0::DOUBLE ELSE round(1 - sum(f) OVER (PARTITION BY n, hist), 6) END AS \"left\" FROM f0)"
 
 
 @R.add(f"{LINES}, t AS (SELECT unnest(list_concat(w, ['</s>'])) AS token FROM lines) SELECT token, round(-ln(count(*) / sum(count(*)) OVER ()), 6) AS cost FROM t GROUP BY 1")
@@ -52,7 +52,7 @@ def e05_kn_prob(spark, d):
 _BOW = ", bow AS (SELECT p.n, p.hist, 1 - sum(p.f) AS a, 1 - sum(coalesce(l.f, 0)) AS b FROM pr p LEFT JOIN pr l ON l.n = p.n - 1 AND l.word = p.word AND l.hist = CASE WHEN contains(p.hist, ' ') THEN substr(p.hist, instr(p.hist, ' ') + 1) ELSE '' END WHERE p.n > 1 GROUP BY 1, 2)"
 
 
-@R.add(f"{NG}{PROB}{_BOW} SELECT n, hist, round(CASE WHEN b > 0.000001 THEN a / b ELSE 1.0 END, 6) AS bow FROM bow WHERE n = 2")
+@R.add(f"{NG}{PROB}{_BOW} SELECT n, hist, CASE WHEN b > 0.000001 AND abs(a / b) < 0.0000005 THEN 0.0::DOUBLE ELSE round(CASE WHEN b > 0.000001 THEN a / b ELSE 1.0 END, 6) END AS bow FROM bow WHERE n = 2")
 def e06_backoff_weight(spark, d):
     return X.backoff_weights(X.kn_probabilities(X.ngrams(lines(spark, d), "text", 3), 3)).filter("n = 2")
 
