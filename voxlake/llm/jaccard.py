@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.llm import bloom
 from voxlake.llm.tiles import deal_tiles, forest, groups, longs
 from voxlake.operators.components import connected_components
 from voxlake.session import stash, text_batches
@@ -235,8 +236,9 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     candidates = stash(candidates, "jaccard-candidates")
 
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("chunks"))
-    grouped = candidates.withColumnRenamed("node", "id").join(sizes, "component").join(classes, "id")
-    texts = docs.select(F.col("`doc_id`").cast("long").alias("rep"), F.col("`text`").alias("text")).join(grouped, "rep")
+    grouped = stash(candidates.withColumnRenamed("node", "id").join(sizes, "component").join(classes, "id"), "jaccard-candidates")
+    texts = docs.select(F.col("`doc_id`").cast("long").alias("rep"), F.col("`text`").alias("text"))
+    texts = bloom.keep(texts, "rep", bloom.build(grouped.select("rep")), inside=True).join(grouped, "rep")
     found = stash(deal_tiles(texts, ["component"], "chunks", "id", ["class", "n", "text"]).mapInArrow(verify(threshold), "id long, partners long, other long"), "jaccard-links")
     reach = connected_components(found.filter("other is not null"), "id", "other").withColumnRenamed("node", "id")
     partners = found.filter("partners is not null").groupBy("id").agg(F.sum("partners").alias("partners"))
@@ -252,9 +254,9 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """docs' rows (all columns), one document of each linked group: the one with the least id. Rows without an id stay."""
     found = jaccard_join(docs, **options)
-    kept = found.filter("doc_id = class_id").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"))
+    kept = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max((F.col("doc_id") == F.col("class_id")).cast("int")).alias("__kept")).filter("__id is not null")
     kept = stash(kept, "jaccard-kept")
-    out = docs.join(kept.select("__id"), F.col("`doc_id`").cast("long") == F.col("__id"), "left_semi")
-    if kept.filter("__n > 1").limit(1).count():  # only where an id is repeated
-        out = out.dropDuplicates(["doc_id"])
-    return out.unionByName(docs.filter(F.col("`doc_id`").isNull()))
+    out = bloom.anti_join(docs, "doc_id", kept.filter("__kept = 0").select("__id"))
+    if kept.filter("__kept = 1 and __n > 1").limit(1).count():  # only where an id is repeated
+        out = out.filter(F.col("`doc_id`").isNotNull()).dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("`doc_id`").isNull()))
+    return out
