@@ -68,3 +68,13 @@ def test_empty_table(make_docs, odd_rows):
 
 def test_depth_follows_the_recall():
     assert jaccard.depth_for(0.9995, 16, 6, 0.8) == 4 and jaccard.depth_for(0.5, 16, 6, 0.8) == 6 and jaccard.depth_for(1.0, 1, 6, 0.8) == 1
+
+
+def test_rows_of_one_id_are_decided_each(make_docs):
+    rng = random.Random(9)
+    a, b, c, d = (prose(rng, 100) for _ in range(4))
+    near = a.split()
+    near[50] = "changed"
+    rows = [(1, a, "s"), (5, " ".join(near), "copy of 1"), (5, b, "clean"), (6, c, "s"), (6, d, "s"), (7, c + " ", "s"), (8, d, "s"), (8, d, "s"), (9, None, "s"), (9, "", "s"), (10, prose(rng, 60), "s")]
+    kept = sorted((r["doc_id"], r["source"], r["text"] or "") for r in jaccard.keep_one(make_docs(rows)).collect())
+    assert kept == sorted((i, s, t or "") for i, t, s in [rows[0], rows[2], rows[3], rows[4], rows[8], rows[9], rows[10]])

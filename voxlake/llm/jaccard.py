@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from voxlake.llm import bloom
 from voxlake.llm.tiles import deal_tiles, forest, groups, longs
@@ -217,6 +218,11 @@ def verify(threshold: float) -> object:
 def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """One row per document: doc_id, class_id (the least id that links reach), rep_id (the least id with the same shingles),
     n_copies (others with the same shingles), n_links (other documents of similarity >= threshold, copies included)."""
+    return linked(docs, threshold, recall, trees, depth).drop("class", "first")
+
+
+def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+    """What jaccard_join gives, with the row's class (null without words or id) and whether it is its group's first: of the classes that have the least id, the least."""
     text_batches(docs.sparkSession)
     sketched = stash(sketch(docs, trees, depth), "jaccard-sketch")
     classes = sketched.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
@@ -243,20 +249,40 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     reach = connected_components(found.filter("other is not null"), "id", "other").withColumnRenamed("node", "id")
     partners = found.filter("partners is not null").groupBy("id").agg(F.sum("partners").alias("partners"))
     info = stash(classes.join(partners, "id", "left").join(reach, "id", "left").withColumn("component", F.coalesce("component", "id")), "jaccard-classes")
-    names = info.groupBy("component").agg(F.min("rep").alias("class_id"))
-    info = info.join(names, "component").select("class", F.col("rep").alias("rep_id"), (F.col("n") - 1).alias("n_copies"), (F.coalesce("partners", F.lit(0)) + F.col("n") - 1).alias("n_links"), "class_id")
+    names = info.groupBy("component").agg(F.min(F.struct("rep", "class")).alias("least")).select("component", F.col("least.rep").alias("class_id"), F.col("least.class").alias("least"))
+    info = info.join(names, "component").select("class", F.col("rep").alias("rep_id"), (F.col("n") - 1).alias("n_copies"), (F.coalesce("partners", F.lit(0)) + F.col("n") - 1).alias("n_links"), "class_id", (F.col("class") == F.col("least")).alias("first"))
     zero = F.lit(0).cast("long")
-    out = sketched.filter("class is not null").select("doc_id", "class").join(info, "class").select("doc_id", "class_id", "rep_id", "n_copies", "n_links")
-    alone = sketched.filter("class is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), zero.alias("n_copies"), zero.alias("n_links"))
+    out = sketched.filter("class is not null").select("doc_id", "class").join(info, "class").select("doc_id", "class_id", "rep_id", "n_copies", "n_links", "class", "first")
+    alone = sketched.filter("class is null").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("rep_id"), zero.alias("n_copies"), zero.alias("n_links"), "class", F.lit(True).alias("first"))
     return out.unionByName(alone)
 
 
+def with_class(rows: DataFrame) -> DataFrame:
+    """rows with __class, the class of the text (null without words)."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            sets = [shingles(x.as_py(), known) for x in b.column(names.index("text"))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([class_of(s) if len(s) else None for s in sets], pa.binary())], [*names, "__class"])
+
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("__class", BinaryType())]))
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """docs' rows (all columns), one document of each linked group: the one with the least id. Rows without an id stay."""
-    found = jaccard_join(docs, **options)
-    kept = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max((F.col("doc_id") == F.col("class_id")).cast("int")).alias("__kept")).filter("__id is not null")
+    """docs' rows (all columns), one row of each linked group: one with the least id. Rows without an id or without words stay, and so do
+    rows of one id that are not linked: where an id is repeated, each row is decided by the class of its own text."""
+    found = linked(docs, **options).filter("doc_id is not null").withColumn("__stays", F.col("first") & (F.col("doc_id") == F.col("class_id")))
+    kept = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("__n"), F.max(F.col("__stays").cast("int")).alias("__kept"))
     kept = stash(kept, "jaccard-kept")
     out = bloom.anti_join(docs, "doc_id", kept.filter("__kept = 0").select("__id"))
-    if kept.filter("__kept = 1 and __n > 1").limit(1).count():  # only where an id is repeated
-        out = out.filter(F.col("`doc_id`").isNotNull()).dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("`doc_id`").isNull()))
-    return out
+    repeated = kept.filter("__kept = 1 and __n > 1").select("__id")
+    if not repeated.limit(1).count():
+        return out
+    packed = bloom.build(repeated)  # ids that it only seems to hold pass as well: their one row is of a class that stays
+    unsure = stash(with_class(bloom.keep(out, "doc_id", packed, inside=True)), "jaccard-repeated")
+    stays = bloom.keep(found.filter("__stays and class is not null").select("doc_id", "class"), "doc_id", packed, inside=True).distinct().toDF("__id", "__of")
+    own = unsure.filter("__class is not null").join(stays, (F.col("`doc_id`").cast("long") == F.col("__id")) & (F.col("__class") == F.col("__of")), "left_semi").dropDuplicates(["doc_id", "__class"])
+    wordless = unsure.filter("__class is null")
+    return bloom.keep(out, "doc_id", packed, inside=False).unionByName(own.drop("__class")).unionByName(wordless.drop("__class"))
