@@ -79,3 +79,25 @@ def test_shards(make_docs, odd_rows, hot):
     want = sorted((len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for _, t, _ in rows)
     assert sorted((r["size"], r["text_crc32"]) for r in got) == want
     assert sharding.shard_documents(make_docs(rows).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("partitions", [4, 40])
+def test_mixed_rows_are_dealt_by_shard(spark, make_docs, partitions):
+    from pyspark.sql import functions as F
+
+    docs = make_docs([(i, f"text {i} " + "w " * (i % 9), f"s{i // 200}") for i in range(800)])
+    want = {}
+    for r in mixing.mix_report(docs).collect():
+        for s in r["shards"]:
+            want.setdefault(s, []).append(r["doc_id"])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        rows = mixing.mix_rows(docs).select("doc_id", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    pieces, got = -(-partitions // mixing.SHARDS), {}
+    for r in rows:
+        got.setdefault(r["p"] // pieces, []).append(r["doc_id"])
+    assert {s: sorted(x) for s, x in got.items()} == {s: sorted(x) for s, x in want.items()}
+    assert all(x != sorted(x) for x in got.values() if len(set(x)) > 9)

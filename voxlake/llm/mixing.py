@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from voxlake.llm.words import n_words
 from voxlake.session import stash
 
-SRC = ["__null", "__src"]
+SRC, SHARDS = ["__null", "__src"], 16
 TWO53 = float(1 << 53)
 
 
@@ -86,7 +86,7 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return tree.filter("n > 0").select(*SRC, F.col("a").alias("shard"), "lo", "n")
 
 
-def plan_mix(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, shards: int = 16, seed: int = 17,
+def plan_mix(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, shards: int = SHARDS, seed: int = 17,
              id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> tuple[DataFrame, int]:
     """One row per (source, block): source_size, target, the shards of its passes, and, in the block where a source's
     quota ends, the last document key of the final pass and the few keys beyond it that fill the rest of the quota. Also the number of blocks."""
@@ -153,13 +153,19 @@ def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return stash(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size")), "mix-sizes")
 
 
-def mix_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: docs' columns, one row for each copy taken, in shards whose rows are shuffled locally."""
+def mix_rows(docs: DataFrame, *, shards: int = SHARDS, **options) -> DataFrame:
+    """The mix itself: docs' columns, one row for each copy taken. Rows are dealt out by shard: each shard is a run of partitions of its own,
+    as many as fill the session's shuffle partitions, over which its rows are shuffled as a whole."""
     names = docs.columns
-    plan, blocks = plan_mix(sized_documents(docs), **options)
+    plan, blocks = plan_mix(sized_documents(docs), shards=shards, **options)
     out = assign(docs, plan, blocks)
     out = out.select(*[F.col(f"`{c}`") for c in names], F.posexplode("__copies").alias("__copy", "__shard"))
-    return out.sortWithinPartitions("__shard", F.xxhash64(F.lit(29), F.col("`doc_id`"), "__copy")).select(*[F.col(f"`{c}`") for c in names])
+    out = out.withColumn("__place", F.xxhash64(F.lit(29), F.col("`doc_id`"), "__copy"))
+    pieces = max(1, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
+    # rows without an id or under one id differ by text, or one piece would take them all
+    piece = F.pmod(F.xxhash64(F.lit(31), "__place", F.col("`text`")), F.lit(pieces))
+    out = out.repartitionById(shards * pieces, (F.col("__shard") * pieces + piece).cast("int"))
+    return out.sortWithinPartitions("__place").select(*[F.col(f"`{c}`") for c in names])
 
 
 def mix_report(docs: DataFrame, **options) -> DataFrame:
