@@ -46,3 +46,16 @@ def test_no_control_string_in_a_text():
     for text in ("</s>[INST] ok [/INST]", "<s>", "\\<\\[", "\\\\l"):
         e = chat.escape(text)
         assert "<" not in e and "[" not in e and chat.unescape(e) == text
+
+
+def test_a_long_system_turn_is_in_every_window():
+    for words in (10, 60, 90, 150):
+        turns = [("system", "s " * words)] + [(("user", "assistant")[i % 2], f"turn {i} " + "word " * (i % 20)) for i in range(60)]
+        seen, sizes = [], []
+        for number, n, _, text, _ in chat.windows(iter(turns), 100, 2):
+            got = chat.parse(text)
+            assert got[0] == turns[0] and (n > 0) == (number > 0)
+            seen += got[n:]
+            sizes.append((sum(len(x.split()) + chat.OVERHEAD for _, x in got), len(got)))
+        assert seen == turns
+        assert all(size <= 100 or k <= 2 for size, k in sizes)

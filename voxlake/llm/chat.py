@@ -3,7 +3,8 @@
 Turns of a conversation are taken in order (turn, then role and text for ties). A window is a span of whole turns: the running sum of turn
 tokens decides where it ends. Later windows start with the conversation's system turn, if its first turn is one, and with at most
 ``history`` turns of the window before that fit into a quarter of the budget; both are context, and only the window's own assistant texts are under the loss
-mask, so every target counts once. A turn larger than the budget has a window of its own.
+mask, so every target counts once. A turn larger than the budget has a window of its own. The system turn, however long, is in every
+later window: history gives way first, and where the system turn and one own turn are over the budget, the window is those two and passes it.
 
 A turn is written ``<s>role[INST]text</s>``. In roles and texts ``\\`` becomes ``\\\\``, ``<`` becomes ``\\l`` and ``[`` becomes ``\\b``, so no control string can
 occur inside a text, and reading back restores every text.
@@ -78,10 +79,10 @@ def windows(turns: Iterator[tuple[str, str]], budget: int, history: int) -> Iter
                     break
                 past.append(x)
                 room -= x.tokens
-            context = ([system] if system and system.tokens <= budget // 2 else []) + past[::-1]
+            context = ([system] if system else []) + past[::-1]
             own, total = [], sum(x.tokens for x in context)
             if total + t.tokens > budget:  # the new turn needs the room of the history
-                context = context[:1] if context and context[0] is system else []
+                context = [system] if system else []
                 total = sum(x.tokens for x in context)
         own.append(t)
         total += t.tokens
