@@ -1,13 +1,13 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash LSH bands with exact verification.
 
 Documents with the same set of shingles (SHINGLE words; a shorter text is one shingle of all its words) are one class with a count, so
-exact copies never meet each other. Each class has ``trees`` signatures of ``depth`` MinHash values; the sorted signatures of a tree are its prefix trie.
-Matched prefixes are shortened from the full depth until a pair at exactly the threshold shares one in some tree with at least the target
-recall; classes under one trie node of that depth are candidates. Inside a node a pair is dropped only if the agreement of all their MinHash
+exact copies never meet each other. Each class has ``trees`` signatures of ``depth`` MinHash values.
+The prefix that is matched is fixed beforehand, whatever the data: the longest at which a pair at exactly the threshold shares one in some tree
+with at least the target recall. It is hashed once; classes under one such node are candidates. Inside a node a pair is dropped only if the agreement of all their MinHash
 values is more than five standard deviations below the threshold. Surviving pairs give candidate groups (connected components), and inside
 those every pair is verified exactly on its shingle sets.
 
-Trie nodes and candidate groups of more than TILE members meet in tiles, two chunks at a time, and a tile returns counts and a spanning
+Nodes and candidate groups of more than TILE members meet in tiles, two chunks at a time, and a tile returns counts and a spanning
 forest only, never its pairs. Classes are known by a 64-bit hash of their shingles.
 
 Defined results: null or wordless texts link with nothing; a null id links with nothing and has no class; rows that repeat an id are
