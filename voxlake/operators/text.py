@@ -189,3 +189,19 @@ def drop_duplicate_hits(hits: DataFrame, within: float = 0.5) -> DataFrame:
 
 def best_hits(hits: DataFrame, n: int) -> DataFrame:
     return hits.withColumn("rn", F.row_number().over(Window.partitionBy("kwid").orderBy(F.desc("score"), "hit"))).filter(F.col("rn") <= n)
+
+
+def numeric_order(rows: DataFrame, column: str) -> DataFrame:
+    """Adds place (from 1) of every row by the column's stem, then by its numeric suffix (none comes first), then by the whole text.
+    Range slices are ranked inside and moved by the rows of the slices before, so no task sorts everything."""
+    from voxlake.session import stash
+
+    stem, num = (F.regexp_extract(F.col(column), "^(.*?)([0-9]*)$", k) for k in (1, 2))
+    keys = {"__stem": stem, "__number": F.coalesce(F.nullif(num, F.lit("")), F.lit("-1")).cast("long")}
+    order = [*keys, column]
+    t = stash(rows.withColumns(keys).repartitionByRange(*order).withColumn("__slice", F.spark_partition_id()), "numeric-order")
+    base = t.groupBy("__slice").agg(F.count("*").alias("__n"))
+    base = base.select("__slice", F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    own = F.row_number().over(Window.partitionBy("__slice").orderBy(*order))
+    ranked = t.withColumn("__own", own).join(F.broadcast(base), "__slice")
+    return ranked.withColumn("place", (F.col("__base") + F.col("__own")).cast("long")).drop("__slice", "__own", "__base", *keys)

@@ -386,3 +386,30 @@ def c55_embedding_blend(spark, d):
     v = F.transform("embedding", lambda a: a.cast("double"))
     blend = F.zip_with(F.transform(v, lambda a: a * 2), v, lambda a, b: 0.3 * a + 0.7 * b)
     return x(spark, d).select("node", F.round(F.aggregate(blend, F.lit(0.0), lambda a, b: a + b), 5).alias("s"))
+
+
+# c36, c38 and c54 over all dimensions, of which their SQL has the first three or four.
+
+
+def _flat(spark, d):
+    return x(spark, d).select("node", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
+
+
+@R.add()
+def c36_feature_propagate_all(spark, d):
+    return G.propagate(G.row_normalize(edges(spark, d)), _flat(spark, d), 2).withColumn("value", F.round("value", 6))
+
+
+@R.add()
+def c38_graph_conv_all(spark, d):
+    """The weights of c38_graph_conv, repeated along the dimensions."""
+    s = x(spark, d)
+    n = s.select(F.max(F.size("embedding"))).first()[0] or 0
+    t = G.graph_conv(G.row_normalize(edges(spark, d)), s.select("node", "embedding"), [[w[k % 3 + at] for at in (0, 3) for k in range(n)] for w in _W])
+    return t.select("node", F.col("embedding")[0].alias("o1"), F.col("embedding")[1].alias("o2"))
+
+
+@R.add()
+def c54_stats_pooling_all(spark, d):
+    t = x(spark, d).select("reco", F.posexplode("embedding").alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
+    return t.groupBy("reco", "dim").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"))

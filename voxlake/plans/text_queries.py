@@ -148,3 +148,9 @@ def e19_numeric_sort(spark, d):
     key = F.coalesce(F.nullif(num, F.lit("")), F.lit("-1")).cast("long")
     top = table(spark, d, "customer").select("c_name", stem.alias("s"), key.alias("k")).orderBy("s", "k").limit(200)
     return top.select("c_name", F.row_number().over(Window.orderBy("s", "k")).cast("long").alias("place"))
+
+
+@R.add()
+def e19_numeric_sort_all(spark, d):
+    """The whole table, of which the SQL of e19_numeric_sort has the first 200."""
+    return X.numeric_order(table(spark, d, "customer").select("c_name"), "c_name")
