@@ -68,3 +68,27 @@ def test_very_long_text_in_parts(make_docs, monkeypatch):
 
 def test_empty_table(make_docs, odd_rows):
     assert substrings.repeat_report(make_docs(odd_rows).limit(0)).count() == 0
+
+
+def test_two_sizes_and_crowded_anchors(make_docs, monkeypatch):
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    word = lambda n: "".join(rng.choice("abcd") for _ in range(n))
+    texts = [word(rng.randint(0, 60)) + line[rng.randint(0, 12) : rng.randint(30, 70)] + word(rng.randint(0, 90)) for _ in range(60)]
+    texts += [texts[3] + "q" + texts[4], texts[7], texts[7] + "tail", None, ""]
+    docs = make_docs([(i, t, "s") for i, t in enumerate(texts)]).repartition(3)
+    wide, narrow = (brute([(t or "").encode() for t in texts], k) for k in (40, 25))
+    original = substrings.repeated_spans
+    for crowd in (substrings.CROWD, 2):
+        monkeypatch.setattr(substrings, "repeated_spans", lambda *a, crowd=crowd: original(*a, crowd=crowd))
+        for r in substrings.repeat_report(docs, window=40, gram=8, passage=25).collect():
+            i = r["doc_id"]
+            assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == wide[i]
+            assert (r["n_passage_bytes"], r["has_passage"]) == (narrow[i][1], narrow[i][1] > 0)
+
+
+def test_a_hot_anchor_is_salted(spark):
+    left = spark.range(6000).selectExpr("if(id < 4000, 1, id) as anchor", "id as place")
+    right = left.groupBy("anchor").count().withColumnRenamed("count", "n")
+    got = substrings.salted_join(left, right, "anchor", "n", ["place"])
+    assert got.count() == 6000 and got.select("place").distinct().count() == 6000
