@@ -29,7 +29,7 @@ def test_map_tokens(spark):
 
 def test_alignment(spark):
     rows = spark.createDataFrame([(1, "a b c d", "a c d e")], "id long, ref string, hyp string")
-    got = [(r["ref"], r["hyp"]) for r in N.align(rows, "id", "ref", "hyp").orderBy("pos").collect()]
+    got = [(r["ref"], r["hyp"]) for r in N.align(rows, ["id"], "ref", "hyp").orderBy("pos").collect()]
     assert got == [("a", "a"), ("b", "<eps>"), ("c", "c"), ("d", "d"), ("<eps>", "e")]
 
 
@@ -37,7 +37,7 @@ def test_combined_utterances_are_long_enough(spark):
     rows = spark.createDataFrame([("s", i, 0.3) for i in range(10)], "spk string, utt long, dur double")
     n = {}
     for r in N.combine_short(rows, "spk", "utt", "dur", 1.0).collect():
-        n[r["combined"]] = n.get(r["combined"], 0) + 0.3
+        n[r["first"]] = n.get(r["first"], 0) + 0.3
     assert min(n.values()) >= 1.0
 
 

@@ -61,7 +61,7 @@ def map_tokens(rows: DataFrame, mapping: DataFrame, key: str, text: str, *, perm
 def dense_ids(rows: DataFrame, label: str, *order: str) -> DataFrame:
     """label with id: numbered from 0 in order of first appearance."""
     first = rows.groupBy(label).agg(F.min(F.struct(*order)).alias("o"))
-    return first.select(label, (F.row_number().over(Window.orderBy("o", label)) - 1).cast("long").alias("id"))
+    return running_sum(slices(first, "o", label), F.lit(1), "id", "o", label).select(label, F.col("id").cast("long").alias("id"))
 
 
 def relabel_by_appearance(rows: DataFrame, group: list[str], label: str, order: str) -> DataFrame:
@@ -173,8 +173,7 @@ def cap_repeats(rows: DataFrame, text: str, order: str, most: int) -> DataFrame:
     n = rows.groupBy(text).agg(F.count("*").alias("__n"))
     r = rows.join(n, text)
     need = r.filter(F.col("__n") >= most)
-    k = F.row_number().over(Window.orderBy(order)).cast("long")
-    drawn = need.withColumn("__u", F.pmod(k * DRAW_STEP, F.lit(DRAW_MODULUS)) / F.lit(float(DRAW_MODULUS)))
+    drawn = with_rank(need, order).withColumn("__u", F.pmod((F.col("__rank") + 1) * DRAW_STEP, F.lit(DRAW_MODULUS)) / F.lit(float(DRAW_MODULUS)))
     return r.filter(F.col("__n") < most).select(*rows.columns).unionByName(drawn.filter(F.col("__u") < F.lit(most) / F.col("__n")).select(*rows.columns))
 
 
@@ -200,8 +199,8 @@ def stride_per_group(rows: DataFrame, group: str, order: str, n: int) -> DataFra
 def groups_until(rows: DataFrame, group: str, n: int) -> DataFrame:
     """Whole groups, in order of their key, until n rows are reached. Group sizes, not rows, are summed in order."""
     size = rows.groupBy(group).agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.join(size.withColumn("__b", before).filter(F.col("__b") < n).select(group), group, "left_semi")
+    before = running_sum(slices(size, group), F.col("__n"), "__b", group)
+    return rows.join(before.filter(F.col("__b") < n).select(group), group, "left_semi")
 
 
 def block_split(rows: DataFrame, parts: int, order: str) -> DataFrame:
@@ -216,16 +215,33 @@ def block_split(rows: DataFrame, parts: int, order: str) -> DataFrame:
     return ranked.withColumn("job", (job + 1).cast("int")).drop("__rank")
 
 
-def with_rank(rows: DataFrame, order: str, slices: int = 256) -> DataFrame:
-    """Adds __rank (from 0, distinct) by a unique order column: range slices by quantiles, then ranks within."""
-    cuts = rows.approxQuantile(order, [i / slices for i in range(1, slices)], 0.002) if dict(rows.dtypes)[order] in ("int", "bigint", "double", "float") else []
-    cuts = sorted(set(cuts))
-    where = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < F.col(order))) if cuts else F.lit(0)
-    t = rows.withColumn("__slice", where)
-    base = t.groupBy("__slice").agg(F.count("*").alias("__n"))
-    base = base.select("__slice", F.coalesce(F.sum("__n").over(Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    own = F.row_number().over(Window.partitionBy("__slice").orderBy(order)) - 1
-    return t.withColumn("__own", own).join(F.broadcast(base), "__slice").withColumn("__rank", F.col("__base") + F.col("__own")).drop("__slice", "__own", "__base")
+def slices(rows: DataFrame, *order: str) -> DataFrame:
+    """rows in range slices (__slice) of the order, written once: what needs all rows in order comes from slices and one row of each."""
+    from voxlake.session import stash
+
+    return stash(rows.repartitionByRange(*order).withColumn("__slice", F.spark_partition_id()), "slices")
+
+
+def running_sum(sliced: DataFrame, value: Column, alias: str, *order: str) -> DataFrame:
+    """Adds the sum of value over the rows before, in order, of all slices."""
+    ahead = Window.orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)  # over one row a slice
+    base = sliced.groupBy("__slice").agg(F.sum(value).alias("__n")).select("__slice", F.coalesce(F.sum("__n").over(ahead), F.lit(0)).alias("__base"))
+    own = F.sum(value).over(Window.partitionBy("__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return sliced.join(F.broadcast(base), "__slice").withColumn(alias, F.col("__base") + F.coalesce(own, F.lit(0))).drop("__base")
+
+
+def previous(sliced: DataFrame, column: str, alias: str, *order: str) -> DataFrame:
+    """Adds the column of the row before, in order, of all slices."""
+    ends = sliced.groupBy("__slice").agg(F.max_by(column, F.struct(*order)).alias("__end"))
+    ends = ends.select("__slice", F.lag("__end").over(Window.orderBy("__slice")).alias("__end"))  # over one row a slice
+    w = Window.partitionBy("__slice").orderBy(*order)
+    before = F.when(F.row_number().over(w) == 1, F.col("__end")).otherwise(F.lag(column).over(w))
+    return sliced.join(F.broadcast(ends), "__slice").withColumn(alias, before).drop("__end")
+
+
+def with_rank(rows: DataFrame, order: str) -> DataFrame:
+    """Adds __rank (from 0, distinct) by a unique order column."""
+    return running_sum(slices(rows, order), F.lit(1), "__rank", order).drop("__slice")
 
 
 def pseudo_speakers(rows: DataFrame, spk: str, utt: str, most: int) -> DataFrame:

@@ -65,11 +65,15 @@ def c04_plda_affinity(spark, d):
     return G.plda_affinity(x(spark, d), [0.5] * 64, [1.0] * 64)
 
 
-@R.add(BASE + " SELECT reco, i, j, round(sim * power(0.95::DOUBLE, least(abs(si - sj), 5)), 6) AS sim FROM sims")
+_BETA = [95**k * 100 ** (5 - k) for k in range(6)]  # 0.95**k in units of 1e-10: products of integers round the same way everywhere
+
+
+@R.add(BASE + f" SELECT reco, i, j, ((CAST(round(sim * 1000000) AS BIGINT) * {_BETA}[CAST(least(abs(si - sj), 5) AS INT) + 1] + 10000005000000000) // 10000000000 - 1000000) / 1000000.0::DOUBLE AS sim FROM sims")
 def c05_temporal_weight(spark, d):
     s = x(spark, d).select("node", "seq")
     t = G.cosine_pairs(x(spark, d)).join(s.select(F.col("node").alias("i"), F.col("seq").alias("si")), "i").join(s.select(F.col("node").alias("j"), F.col("seq").alias("sj")), "j")
-    return t.select("reco", "i", "j", F.round(F.col("sim") * G.temporal_weight(F.col("si"), F.col("sj")), 6).alias("sim"))
+    t = t.withColumn("p", F.round(F.col("sim") * 1_000_000).cast("long") * F.element_at(F.lit(_BETA), F.least(F.abs(F.col("si") - F.col("sj")), F.lit(5)).cast("int") + 1))
+    return t.select("reco", "i", "j", (F.expr("(p + 10000005000000000L) div 10000000000L - 1000000") / 1_000_000.0).alias("sim"))
 
 
 @R.add(cte("xvec") + ", n AS (SELECT reco, count(*) AS n FROM xvec GROUP BY 1), o AS (SELECT reco, coalesce(sum(n + 2) OVER (ORDER BY reco ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM n) SELECT node, CAST(seq + o AS BIGINT) AS t FROM xvec JOIN o USING (reco)")

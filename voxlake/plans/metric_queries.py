@@ -228,22 +228,3 @@ def d28_word_confusion(spark, d):
 def d29_best_run(spark, d):
     r = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("run")).agg(F.avg("l_discount").alias("wer"))
     return r.agg(F.min_by("run", F.struct("wer", "run")).alias("run"), F.round(F.min("wer"), 6).alias("wer"))
-
-
-@R.add("SELECT a.p_partkey AS a, b.p_partkey AS b, (CASE WHEN a.p_brand = b.p_brand THEN 1.0::DOUBLE ELSE 0.0 END) + (CASE WHEN a.p_type = b.p_type THEN 0.1::DOUBLE ELSE 0.0 END) + (CASE WHEN a.p_size = b.p_size THEN 0.01::DOUBLE ELSE 0.0 END) AS score FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_partkey < b.p_partkey")
-def d31_word_scores(spark, d):
-    p = table(spark, d, "part").select("p_partkey", "p_brand", "p_type", "p_size")
-    q = p.select(F.col("p_partkey").alias("b"), "p_brand", F.col("p_type").alias("t2"), "p_size")
-    s = F.lit(1.0) + F.when(F.col("p_type") == F.col("t2"), 0.1).otherwise(0.0) + F.lit(0.01)
-    return p.join(q, ["p_brand", "p_size"]).filter("p_partkey < b").select(F.col("p_partkey").alias("a"), "b", s.alias("score"))
-
-
-@R.add("WITH m AS (SELECT user_id, event_id, ts, CASE WHEN event_type = 'signup' THEN value END AS anchor FROM events), n AS (SELECT *, last_value(anchor IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS a, first_value(anchor IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS b FROM m) SELECT event_id, round((coalesce(a, b) + coalesce(b, a)) / 2, 6) AS warped FROM n")
-def d34_time_warp(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = table(spark, d, "events").withColumn("anchor", F.when(F.col("event_type") == "signup", F.col("value")))
-    a = F.last("anchor", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    b = F.first("anchor", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return t.select("event_id", F.round((F.coalesce(a, b) + F.coalesce(b, a)) / 2, 6).alias("warped"))

@@ -29,7 +29,7 @@ def _vocabulary(counts):
     return counts.filter("n = 1 and cnt >= 20").select(F.col("word").alias("token"))
 
 
-@R.add(NG + _VOC + ", t AS (SELECT *, unnest(string_split(CASE WHEN hist = '' THEN word ELSE concat(hist, ' ', word) END, ' ')) AS x FROM cnt), bad AS (SELECT DISTINCT n, hist, word FROM t WHERE x <> '<s>' AND x NOT IN (SELECT word FROM voc)) SELECT * FROM cnt ANTI JOIN bad USING (n, hist, word)")
+@R.add(NG + _VOC + ", t AS (SELECT *, unnest(string_split(CASE WHEN hist = '' THEN word ELSE concat(hist, ' ', word) END, ' ')) AS x FROM cnt), bad AS (SELECT DISTINCT n, hist, word FROM t ANTI JOIN voc ON voc.word = t.x WHERE x <> '<s>') SELECT * FROM cnt ANTI JOIN bad USING (n, hist, word)")
 def a20_in_vocabulary_ngrams(spark, d):
     c = X.ngrams(lines(spark, d), "text", 3)
     t = c.withColumn("g", F.concat(F.when(F.col("hist") == "", F.array().cast("array<string>")).otherwise(F.split("hist", " ")), F.array("word")))
@@ -96,12 +96,6 @@ def d19_score_table(spark, d):
     return out.join(D._der(spark, d).select("file_id", "der"), k, "left").join(D.d18_jer(spark, d), k, "left")
 
 
-@R.add("SELECT event_id, round(value * (CASE WHEN event_type = 'click' THEN 1.1::DOUBLE ELSE 1.0 END) * (CASE WHEN user_id % 2 = 0 THEN 1.001::DOUBLE ELSE 1.0 END), 6) AS score FROM events")
-def d32_metadata_scores(spark, d):
-    s = F.col("value") * F.when(F.col("event_type") == "click", 1.1).otherwise(1.0) * F.when(F.col("user_id") % 2 == 0, 1.001).otherwise(1.0)
-    return table(spark, d, "events").select("event_id", F.round(s, 6).alias("score"))
-
-
 @R.add()
 def e08_joint_probability(spark, d):
     """log10 of each trigram's joint probability under the bigram model of its own text."""

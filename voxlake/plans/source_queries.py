@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from voxlake.fixtures import cte, view
 from voxlake.operators import kernels as N
-from voxlake.operators import metrics as M
 from voxlake.plans.graph_queries import x as xvec
 from voxlake.plans.registry import Registry
 from voxlake.session import table
@@ -53,12 +52,6 @@ def s06_region_sink(spark, d):
     return S.region_lines(view(spark, d, "turns_ref").groupBy("file_id").agg(F.min("onset_ms").alias("onset_ms"), F.max("offset_ms").alias("offset_ms")))
 
 
-@R.add("SELECT t.event_id, l.ok IS NOT NULL AS legal FROM events t LEFT JOIN (SELECT 'click' AS ty, 'ok' AS ok UNION ALL SELECT 'purchase', 'ok') l ON l.ty = t.event_type")
-def s07_legal_types(spark, d):
-    legal = spark.createDataFrame([("click", "ok"), ("purchase", "ok")], "event_type string, ok string")
-    return table(spark, d, "events").join(F.broadcast(legal), "event_type", "left").select("event_id", F.col("ok").isNotNull().alias("legal"))
-
-
 @R.add(TURNS + ", w AS (SELECT file_id, onset_ms, offset_ms, max(offset_ms) OVER (PARTITION BY file_id ORDER BY onset_ms, offset_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM turns_ref) SELECT file_id, onset_ms, offset_ms FROM w WHERE onset_ms < reach")
 def s08_overlapping_regions(spark, d):
     return S.overlapping_regions(view(spark, d, "turns_ref").select("file_id", "onset_ms", "offset_ms"))
@@ -119,7 +112,7 @@ def a54_balanced_split(spark, d):
 
 @R.add()
 def a58_combine_short(spark, d):
-    return N.combine_short(table(spark, d, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value", 60.0)
+    return N.combine_short(table(spark, d, "events").select("user_id", "event_id", "value").filter("value > 0"), "user_id", "event_id", "value", 60.0)
 
 
 @R.add("WITH RECURSIVE t(lo, hi, need) AS (SELECT 0::BIGINT, (SELECT count(*) FROM orders), 100::BIGINT UNION ALL SELECT unnest([lo, lo + (hi - lo) // 2]), unnest([lo + (hi - lo) // 2, hi]), unnest([need // 2, need - need // 2]) FROM t WHERE need > 1), p AS (SELECT DISTINCT lo FROM t WHERE need = 1), o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) SELECT o_orderkey FROM o JOIN p ON lo = r")
@@ -137,18 +130,8 @@ def a44_class_closure(spark, d):
 
 @R.add()
 def b26_segmentation(spark, d):
-    return N.segment_frames(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type", silence="view", longest=20)
-
-
-@R.add()
-def d30_alignment(spark, d):
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.max(F.when(F.col("turn") == 0, F.col("text"))).alias("ref"), F.max(F.when(F.col("turn") == 2, F.col("text"))).alias("hyp"))
-    return N.align(c.filter("hyp is not null"), "conv_id", "ref", "hyp")
-
-
-@R.add()
-def d33_alignment_scores(spark, d):
-    return M.wer_ops(d30_alignment(spark, d), ["conv_id"])
+    kind = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).otherwise(2)
+    return N.segment_frames(table(spark, d, "events").select("user_id", "event_id", kind.alias("kind")), "user_id", "event_id", "kind", longest=15, hard=30)
 
 
 @R.add()

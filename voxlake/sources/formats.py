@@ -125,21 +125,20 @@ def read_hits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def parse_arpa(lines: DataFrame) -> DataFrame:
-    """(number, line) of a language model file to (n, logp, ngram, bow). The section of a line is the last heading before it; a model is one
-    file, read in order by one window."""
-    from pyspark.sql import Window
-
+    """(number, line) of a language model file to (n, logp, ngram, bow). The section of a line is the last heading before it; headings, a few for each order, are
+    an array that every line looks up."""
     head = F.regexp_extract("line", r"^\\([0-9]+)-grams:", 1)
     t = lines.withColumn("h", F.when(head != "", head.cast("int")).when(F.col("line").startswith("\\"), 0))
-    t = t.withColumn("n", F.last("h", ignorenulls=True).over(Window.orderBy("number").rowsBetween(Window.unboundedPreceding, 0)))
+    heads = t.filter("h is not null").agg(F.array_sort(F.collect_list(F.struct("number", "h"))).alias("heads"))
+    t = t.join(F.broadcast(heads)).withColumn("n", F.element_at(F.filter("heads", lambda x: x["number"] <= F.col("number")), -1)["h"])
     t = t.filter((F.col("n") > 0) & F.col("h").isNull() & (F.trim("line") != "")).withColumn("f", F.split(F.trim("line"), r"\s+"))
-    bow = F.when(F.size("f") > F.col("n") + 1, F.element_at("f", F.col("n") + 2).cast("double"))
+    bow = F.when(F.size("f") > F.col("n") + 1, F.get("f", F.col("n") + 1).try_cast("double"))
     return t.select("n", F.col("f")[0].cast("double").alias("logp"), F.array_join(F.slice("f", 2, F.col("n")), " ").alias("ngram"), bow.alias("bow"))
 
 
 def arpa_lines(model: DataFrame) -> DataFrame:
     """Sections in order: (n, place, line) of a model (n, logp, ngram, bow)."""
-    body = model.select("n", F.lit(1).alias("place"), F.concat_ws("\t", F.format_string("%.6f", "logp"), "ngram", F.format_string("%.6f", "bow")).alias("line"))
+    body = model.select("n", F.lit(1).alias("place"), F.concat_ws("\t", F.format_string("%.6f", "logp"), "ngram", F.when(F.col("bow").isNotNull(), F.format_string("%.6f", "bow"))).alias("line"))
     head = model.groupBy("n").count().select("n", F.lit(0).alias("place"), F.format_string("\\%d-grams:", "n").alias("line"))
     counts = model.groupBy("n").count().select(F.lit(0).alias("n"), F.col("n").alias("place"), F.format_string("ngram %d=%d", "n", "count").alias("line"))
     return counts.unionByName(head).unionByName(body)
