@@ -41,3 +41,70 @@ def test_knn_matches_brute_force(spark):
 def test_agglomeration_joins_copies(spark):
     x = spark.createDataFrame([("r", 0, [1.0, 0.0]), ("r", 1, [0.99, 0.01]), ("r", 2, [0.0, 1.0])], "reco string, node long, embedding array<double>")
     assert {r["node"]: r["cluster"] for r in G.agglomerate(x, 0.9).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+def vectors(spark, n=240, seed=2, spread=0.35):
+    rng = np.random.default_rng(seed)
+    centre = rng.standard_normal((8, 16))
+    label = rng.integers(0, 8, n)
+    v = centre[label] + spread * rng.standard_normal((n, 16))
+    rows = [(f"r{i % 2}", i, int(label[i]), [float(x) for x in v[i]]) for i in range(n)]
+    return spark.createDataFrame(rows, "reco string, node long, label int, embedding array<double>")
+
+
+def test_approximate_neighbours_have_the_recall(spark):
+    x = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("'r' as reco", "vec_id as node", "cast(embedding as array<double>) as embedding")
+    for t in (x, vectors(spark, 2000)):
+        exact = {(r["node"], r["nbr"]) for r in G.knn(t, 10).collect()}
+        found = {(r["node"], r["nbr"]): r["dist"] for r in G.approximate_knn(t, 10).collect()}
+        assert len(exact & set(found)) / len(exact) >= 0.9
+
+
+def test_predicted_clusters_follow_the_levels(spark):
+    """The kernel of one recording against the same steps on tables."""
+    from pyspark.sql import functions as F
+
+    x = vectors(spark)
+    got = {r["node"]: r["cluster"] for r in G.predicted_clusters(x.drop("label"), k=8, slope=10.0, bias=-6.0, levels=3).collect()}
+    own, level = {i: i for i in got}, x.select("reco", "node", "embedding")
+    for number in range(3):
+        sizes = level.groupBy("reco").agg(F.count("*").alias("n"))
+        ks = {r["reco"]: r["k"] for r in G.adaptive_k(sizes, 8, must_run=number == 0).collect() if r["k"]}
+        parts = [(G.knn(level.filter(F.col("reco") == r), k), k) for r, k in ks.items()]
+        if not parts:
+            break
+        up = {}
+        for nbr, _ in parts:
+            sim = 1 - F.col("dist")
+            den = nbr.filter("rank > 0").groupBy("node").agg(F.round(F.avg(sim * (2 / (1 + F.exp(-(10.0 * sim - 6.0))) - 1)), 6).alias("density"))
+            up |= {r["node"]: r["parent"] for r in G.forest(G.decode(nbr, den, 0.0)).collect()}
+        if not up:
+            break
+
+        def root(i):
+            while i in up:
+                i = up[i]
+            return i
+
+        own = {i: root(c) for i, c in own.items()}
+        rooted = spark.createDataFrame([(r["node"], root(r["node"])) for r in level.select("node").collect()], "node long, root long")
+        means = G.next_features(G.cluster_means(level, rooted)).withColumnRenamed("root", "node")
+        level = level.select("reco", "node").join(means, "node")
+    assert own == got and 2 <= len(set(got.values())) < 60
+
+
+def test_edge_model_against_arrays(spark):
+    from voxlake.operators import kernels as N
+
+    rng = np.random.default_rng(4)
+    a = rng.standard_normal((300, 2))
+    y = a @ [1.5, -2.0] + 0.3 > rng.standard_normal(300)
+    w, v, seen = np.zeros(3), np.zeros(3), []
+    b = np.column_stack([a, np.ones(300)])
+    for e in range(12):
+        v = 0.9 * v - 0.5 * (1 + np.cos(np.pi * e / 12)) * b.T @ (1 / (1 + np.exp(-b @ w)) - y) / 300
+        w = w + v
+        seen.append(w)
+    rows = spark.createDataFrame([(float(p), float(q), bool(t)) for (p, q), t in zip(a, y, strict=True)], "p double, q double, same boolean")
+    last, mean = N.fit_logistic(rows, ["p", "q"], "same", epochs=12, average_from=8)
+    assert np.allclose(last, w) and np.allclose(mean, np.mean(seen[8:], axis=0))

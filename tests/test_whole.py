@@ -1,18 +1,8 @@
-"""Queries over whole tables and all dimensions, of which the SQL of their namesakes has a part."""
+"""Orders over whole tables."""
 
 import re
 
-import numpy as np
-import pytest
-
 from voxlake.operators import text as X
-from voxlake.plans import PLANS
-
-DATA = "/root/testdata/sf0.001"
-
-
-def rows(spark, name):
-    return PLANS.queries[name](spark, DATA).toPandas()
 
 
 def test_numeric_order_places_every_row(spark):
@@ -21,30 +11,3 @@ def test_numeric_order_places_every_row(spark):
     parts = {n: re.fullmatch(r"(.*?)([0-9]*)", n).groups() for n in names}
     want = sorted(names, key=lambda n: (parts[n][0], int(parts[n][1] or -1), n))
     assert [r["name"] for r in sorted(got, key=lambda r: r["place"])] == want and sorted(r["place"] for r in got) == list(range(1, len(names) + 1))
-
-
-def test_customers_are_all_sorted(spark):
-    got, first = rows(spark, "e19_numeric_sort_all"), rows(spark, "e19_numeric_sort")
-    n = spark.read.parquet(f"{DATA}/customer.parquet").count()
-    assert sorted(got["place"]) == list(range(1, n + 1))
-    assert dict(zip(got["c_name"], got["place"], strict=True)).items() >= dict(zip(first["c_name"], first["place"], strict=True)).items()
-
-
-@pytest.mark.parametrize(("name", "key", "some"), [("c36_feature_propagate", ["node", "dim"], 3), ("c54_stats_pooling", ["reco", "dim"], 4)])
-def test_all_dimensions(spark, name, key, some):
-    got, part = rows(spark, f"{name}_all").set_index(key).sort_index(), rows(spark, name).set_index(key).sort_index()
-    assert sorted(set(got.index.get_level_values("dim"))) == list(range(64))
-    assert np.allclose(got[got.index.get_level_values("dim") < some].astype(float), part.astype(float), atol=2e-6, equal_nan=True)
-
-
-def test_convolution_over_all_dimensions(spark):
-    from voxlake.operators import graph as G
-    from voxlake.plans import graph_queries as Q
-
-    own = {r["node"]: np.array(r["embedding"], float) for r in Q.x(spark, DATA).collect()}
-    sums = {n: np.zeros(64) for n in own}
-    for r in G.row_normalize(Q.edges(spark, DATA)).collect():
-        sums[r["dst"]] += r["affine"] * own[r["src"]]
-    w = np.array([[v[k % 3 + at] for at in (0, 3) for k in range(64)] for v in Q._W])
-    for r in rows(spark, "c38_graph_conv_all").itertuples():
-        assert np.allclose([r.o1, r.o2], np.maximum(w @ np.concatenate([own[r.node], sums[r.node]]), 0), atol=1e-5)

@@ -48,6 +48,38 @@ def knn(x: DataFrame, k: int, group: str = "reco", node: str = "node", block: in
     return rows.groupBy(group).applyInArrow(run, f"{group} {kind}, node long, rank long, nbr long, dist double")
 
 
+def approximate_knn(x: DataFrame, k: int, lists: float = 4.0, probes: int = 48, passes: int = 4, seed: int = 3) -> DataFrame:
+    """(reco, node, rank, nbr, dist) by an inverted file: a recording's nodes are filed under the nearest of lists * sqrt(n) centres (k-means from drawn nodes), and a node meets those of its probes
+    nearest centres only. Distances are exact, clamped to [0, 1]. tests measure the recall."""
+    kind = dict(x.dtypes)["reco"]
+
+    def run(t: pa.Table) -> pa.Table:
+        nodes = t.column("node").to_numpy()
+        order = np.argsort(nodes, kind="stable")
+        nodes, v = nodes[order], np.array(t.column("embedding").to_pylist(), float)[order]
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        m = max(1, min(len(v), int(lists * np.sqrt(len(v)))))
+        c = v[np.random.default_rng(seed).choice(len(v), m, replace=False)]
+        for _ in range(passes):
+            own = (v @ c.T).argmax(1)
+            c = np.stack([v[own == i].sum(0) if (own == i).any() else c[i] for i in range(m)])
+            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
+        near = v @ c.T
+        filed = [np.flatnonzero(near.argmax(1) == i) for i in range(m)]
+        out = []
+        for i in range(len(v)):
+            some = np.concatenate([filed[j] for j in np.argsort(-near[i])[:probes]])
+            some = some[some != i]
+            d = np.round(np.clip(1 - np.round(v[some] @ v[i], DIGITS), 0, 1), DIGITS)
+            best = np.lexsort((some, d))[: k - 1]
+            out.append((np.full(len(best) + 1, nodes[i]), np.arange(len(best) + 1), np.append(nodes[i], nodes[some[best]]), np.append(0.0, d[best])))
+        node, rank, nbr, dist = (np.concatenate(col) for col in zip(*out, strict=True))
+        return pa.table({"reco": pa.array(t.column("reco").slice(0, 1).to_pylist() * len(node), t.schema.field("reco").type), "node": node, "rank": rank, "nbr": nbr, "dist": dist})
+
+    rows = x.select("reco", F.col("node").cast("long").alias("node"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.groupBy("reco").applyInArrow(run, f"reco {kind}, node long, rank long, nbr long, dist double")
+
+
 def rerank(candidates: DataFrame, x: DataFrame, k: int) -> DataFrame:
     """Exact distances for candidate pairs (node, nbr), clamped to [0, 1] and ranked again."""
     a = x.select("node", F.col("embedding").alias("u"))
@@ -261,3 +293,89 @@ def plda_affinity(x: DataFrame, within: list[float], between: list[float]) -> Da
     t = left.join(right, "reco").select("reco", "i", "j", "u", "w").mapInArrow(lambda it: plda_scores(it, a, b), "reco string, i long, j long, llr double")
     s = t.withColumn("s", 1 / (1 + F.exp(-F.col("llr"))))
     return s.select("reco", "i", "j", (F.col("s") / F.max("s").over(Window.partitionBy("reco"))).alias("sim"))
+
+
+# --- training ----------------------------------------------------------------------------------------------------------
+
+
+def training_edges(x: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(k, reco, src, dst, sim, affine, same, mask): edges of the graph of each k, whether their ends share the label, and whether they lead from the denser end."""
+    out = None
+    for k in ks:
+        n = knn(x, k)
+        v = density(n, x, k).select("node", "density").join(x.select("node", "label"), "node")
+        ends = lambda end, d, l: v.select(F.col("node").alias(end), F.col("density").alias(d), F.col("label").alias(l))  # noqa: B023, E731, E741
+        e = row_normalize(sparse_similarity(n, 0.0)).join(ends("src", "ds", "ls"), "src").join(ends("dst", "dd", "ld"), "dst")
+        e = e.select(F.lit(k).alias("k"), "reco", "src", "dst", "sim", "affine", (F.col("ls") == F.col("ld")).alias("same"), (F.col("ds") > F.col("dd")).alias("mask"))
+        out = e if out is None else out.unionByName(e)
+    return out
+
+
+def training_levels(x: DataFrame, ks: tuple[int, ...], levels: int) -> DataFrame:
+    """training_edges of every level, the nodes of a level being the clusters of the one before under the true densities at the least k."""
+    out, level = None, x.select("reco", "node", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+    for number in range(levels):
+        t = training_edges(level, ks).withColumn("level", F.lit(number))
+        out = t if out is None else out.unionByName(t)
+        n = knn(level, min(ks))
+        rooted = roots(level, forest(decode(n, density(n, level, min(ks)), 0.0)))
+        means = next_features(cluster_means(level, rooted)).withColumnRenamed("root", "node")
+        level = stash(level.drop("embedding").join(means, "node").select("reco", "node", "label", "embedding"), "level")
+    return out
+
+
+def joint_loss(scored: DataFrame, truth: DataFrame, labelled: DataFrame, *, beta: float, gamma: float, alpha: float) -> DataFrame:
+    """One row: mse of predicted densities, ce and focal loss over masked edges, and their sums weighed 1 - beta and beta (1 and beta from beta 1 on). Without masked edges only densities count.
+    scored: (dst, sim, p0, p1); truth: (node, density); labelled: (p1, same, mask)."""
+    den = scored.groupBy(F.col("dst").alias("node")).agg(F.avg(F.col("sim") * (F.col("p1") - F.col("p0"))).alias("p")).join(truth, "node")
+    mse = den.agg(F.avg(F.pow(F.col("p") - F.col("density"), 2)).alias("mse"))
+    p = F.when(F.col("same"), F.col("p1")).otherwise(1 - F.col("p1"))
+    edge = labelled.filter("mask").agg(F.avg(-F.log(p)).alias("ce"), F.avg(-alpha * F.pow(1 - p, gamma) * F.log(p)).alias("focal"))
+    weigh = lambda c: F.when(F.col(c).isNull(), F.col("mse")).otherwise((1 - beta if beta < 1 else 1.0) * F.col("mse") + beta * F.col(c))
+    return mse.join(edge).select(*[F.round(c, 6).alias(n) for c, n in ((F.col("mse"), "mse"), (F.col("ce"), "ce"), (F.col("focal"), "focal"), (weigh("ce"), "loss"), (weigh("focal"), "focal_loss"))])
+
+
+def cluster_recording(nodes: np.ndarray, v: np.ndarray, k: int, tau: float, levels: int, slope: float, bias: float) -> np.ndarray:
+    """Cluster (its peak's node) of each node of one recording. A level links every node to its nearest denser neighbour, if nearer than 1 - tau; the peaks, with the means of their clusters, are
+    the next level. Density is predicted: the mean over a node's edges of sim * (p1 - p0), p1 the logistic of slope * sim + bias, that both ends are one speaker."""
+    own, at = np.arange(len(nodes)), np.arange(len(nodes))  # peak of each node; the level's nodes
+    for number in range(levels):
+        n = len(at)
+        kk = k if n > k else n if n > 20 or number == 0 else 0
+        if kk < 2:
+            break
+        u = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+        near, far = np.empty((n, kk), np.int64), np.empty((n, kk))
+        for lo in range(0, n, 512):
+            d = np.round(1 - np.round(u[lo : lo + 512] @ u.T, DIGITS), DIGITS)
+            d[np.arange(len(d)), lo + np.arange(len(d))] = 0.0
+            near[lo : lo + 512] = np.argsort(d, axis=1, kind="stable")[:, :kk]
+            far[lo : lo + 512] = np.take_along_axis(d, near[lo : lo + 512], 1)
+        sim = 1 - far[:, 1:]
+        p = 1 / (1 + np.exp(-(slope * sim + bias)))
+        dens = np.round((sim * (2 * p - 1)).mean(1), DIGITS)
+        fits = (dens[near[:, 1:]] > dens[:, None]) & (far[:, 1:] < 1 - tau)
+        up = np.where(fits.any(1), near[np.arange(n), 1 + fits.argmax(1)], np.arange(n))
+        if (up == np.arange(n)).all():
+            break
+        while not (up == (hop := up[up])).all():
+            up = hop
+        peaks, to = np.unique(up, return_inverse=True)
+        own = to[own]
+        v = np.round(np.stack([np.bincount(to, c, len(peaks)) for c in v.T], 1) / np.bincount(to)[:, None], DIGITS)
+        at = at[peaks]
+    return nodes[at[own]]
+
+
+def predicted_clusters(x: DataFrame, k: int = 10, tau: float = 0.0, levels: int = 15, slope: float = 20.0, bias: float = -5.0) -> DataFrame:
+    """(reco, node, cluster) by cluster_recording; a recording is one task's call, all recordings run side by side in one stage. Labels are not read."""
+    kind = dict(x.dtypes)["reco"]
+
+    def run(t: pa.Table) -> pa.Table:
+        nodes = t.column("node").to_numpy()
+        order = np.argsort(nodes, kind="stable")
+        nodes, v = nodes[order], np.array(t.column("embedding").to_pylist(), float)[order]
+        return pa.table({"reco": pa.array(t.column("reco").slice(0, 1).to_pylist() * len(nodes), t.schema.field("reco").type), "node": nodes, "cluster": cluster_recording(nodes, v, k, tau, levels, slope, bias)})
+
+    rows = x.select("reco", F.col("node").cast("long").alias("node"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.groupBy("reco").applyInArrow(run, f"reco {kind}, node long, cluster long")

@@ -294,17 +294,19 @@ def best_path(score: np.ndarray, deleted: np.ndarray, inserted: np.ndarray, beam
     return out
 
 
-def fit_logistic(rows: DataFrame, features: list[str], truth: str, *, epochs: int = 20, rate: float = 1.0, momentum: float = 0.9) -> np.ndarray:
-    """Weights and bias by full-batch gradient descent with momentum and a cosine rate; every gradient is one aggregate, so nothing but sums reaches the driver."""
+def fit_logistic(rows: DataFrame, features: list[str], truth: str, *, epochs: int = 20, rate: float = 1.0, momentum: float = 0.9, average_from: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and bias by full-batch gradient descent with momentum and a cosine rate, after the last step and averaged over the steps from average_from on. rows are
+    read once an epoch, so the caller writes what is dear to compute; every gradient is one aggregate, and nothing but sums reaches the driver."""
     k = len(features)
-    w, v = np.zeros(k + 1), np.zeros(k + 1)
-    n = rows.count()
+    w, v, seen = np.zeros(k + 1), np.zeros(k + 1), []
     for epoch in range(epochs):
         z = F.lit(float(w[k]))
         for i, f in enumerate(features):
             z = z + F.lit(float(w[i])) * F.col(f)
         err = 1 / (1 + F.exp(-z)) - F.col(truth).cast("double")
-        g = rows.agg(*[F.sum(err * F.col(f)) for f in features], F.sum(err)).first()
+        *g, n = rows.agg(*[F.sum(err * F.col(f)) for f in features], F.sum(err), F.count("*")).first()
         v = momentum * v - rate * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) * np.array([x or 0.0 for x in g]) / max(1, n)
         w = w + v
-    return w
+        if epoch >= (epochs - 1 if average_from is None else average_from):
+            seen.append(w)
+    return w, np.mean(seen, axis=0)

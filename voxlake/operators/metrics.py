@@ -232,3 +232,11 @@ def wer_rollup(ops: DataFrame, speaker: str) -> DataFrame:
     s = ["c", "s", "i", "d", "words", "errors"]
     t = ops.rollup(speaker).agg(*[F.sum(c).alias(c) for c in s])
     return t.select(F.coalesce(F.col(speaker).cast("string"), F.lit("SUM")).alias("speaker"), *s, F.round(F.coalesce(F.try_divide(100.0 * F.col("errors"), F.col("words")), F.lit(0.0)), 6).alias("wer"))
+
+
+def score_lines(scores: DataFrame) -> DataFrame:
+    """(file_id, line): a line of error rates per file and one over all files: totals for DER, the mean over files for JER. scores: file_id, scored, miss, fa, error, der, jer."""
+    name = "*** OVERALL ***"
+    total = scores.agg((100.0 * F.sum(F.col("miss") + F.col("fa") + F.col("error")) / F.sum("scored")).alias("der"), F.avg("jer").alias("jer"))
+    rows = scores.select("file_id", "der", "jer").unionByName(total.select(F.lit(name).alias("file_id"), "der", "jer"))
+    return rows.select("file_id", F.format_string("%-12s %8.2f %8.2f", "file_id", "der", "jer").alias("line"))

@@ -244,6 +244,12 @@ def with_rank(rows: DataFrame, order: str) -> DataFrame:
     return running_sum(slices(rows, order), F.lit(1), "__rank", order).drop("__slice")
 
 
+def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
+    """Adds place (from 0): rows in order of a digest of seed and key, compared as text. The same order in every run and layout."""
+    t = rows.withColumn("__draw", F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))))
+    return running_sum(slices(t, "__draw", key), F.lit(1), "place", "__draw", key).drop("__slice", "__draw")
+
+
 def pseudo_speakers(rows: DataFrame, spk: str, utt: str, most: int) -> DataFrame:
     """Speakers cut into pseudo-speakers of at most so many utterances."""
     n = F.row_number().over(Window.partitionBy(spk).orderBy(utt)) - 1

@@ -23,8 +23,8 @@ def words(text: str) -> Column:
 def unigram_costs(rows: DataFrame, text: str) -> DataFrame:
     """(token, cost): -ln of the share of tokens, one sentence end per row counted."""
     t = rows.select(F.explode(F.concat(words(text), F.array(F.lit(EOS)))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
-    return t.select("token", F.round(-F.log(F.col("n") / total), 6).alias("cost"))
+    total = t.agg(F.sum("n").alias("total"))
+    return t.join(F.broadcast(total)).select("token", F.round(-F.log(F.col("n") / F.col("total")), 6).alias("cost"))
 
 
 def ngrams(rows: DataFrame, text: str, order: int) -> DataFrame:
@@ -130,27 +130,54 @@ def merge_pair(symbols: Column, a: str, b: str) -> Column:
     return F.split(F.substring(both, 2, 1 << 30).substr(F.lit(1), F.length(both) - 2), "\u0001\u0001")
 
 
-def apply_bpe(rows: DataFrame, key: str, text: str, merges: list[tuple[str, str]]) -> DataFrame:
-    """(key, text) cut into subwords joined by '@@ '. Words are cut once per batch."""
-    rank = {m: i for i, m in enumerate(merges)}
+def isolate(word: str, glossaries: list[str]) -> list[str]:
+    """Word in pieces, glossary terms on their own."""
+    pieces = [word]
+    for g in glossaries:
+        pieces = [x for p in pieces for x in ([p] if p == g or g not in p else [y for k, part in enumerate(p.split(g)) for y in ([g] if k else []) + [part] if y])]
+    return pieces
 
-    def cut(word: str) -> str:
+
+def apply_bpe(rows: DataFrame, key: str, text: str, merges: list[tuple[str, str]], *, glossaries: list[str] | None = None, vocabulary: set[str] | None = None, mark: str = "@@") -> DataFrame:
+    """(key, text) cut into subwords, all but the last of a word with the mark. Merges are taken in order of rank; glossary terms stay whole; subwords that the vocabulary (inner ones with the
+    mark) lacks are taken apart again by their merges. merges, glossaries and vocabulary are driver-side lists. Words are cut once per batch."""
+    rank = {m: i for i, m in reversed(list(enumerate(merges)))}
+    made = {a + b: (a, b) for a, b in reversed(merges)}
+    terms = glossaries or []
+
+    def merged(word: str) -> list[str]:
         s = [*word[:-1], word[-1] + "</w>"]
         while len(s) > 1:
-            best = min(range(len(s) - 1), key=lambda i: rank.get((s[i], s[i + 1]), len(rank)))
-            pair = (s[best], s[best + 1])
-            if pair not in rank:
+            best = min(zip(s, s[1:], strict=False), key=lambda p: rank.get(p, len(merges)))
+            if best not in rank:
                 break
-            out, i = [], 0
-            while i < len(s):
-                if i + 1 < len(s) and (s[i], s[i + 1]) == pair:
-                    out.append(s[i] + s[i + 1])
-                    i += 2
+            out, fused = [], False
+            for x in s:
+                if out and (out[-1], x) == best and not fused:
+                    out[-1] += x
+                    fused = True
                 else:
-                    out.append(s[i])
-                    i += 1
+                    out.append(x)
+                    fused = False
             s = out
-        return "@@ ".join(s).removesuffix("</w>")
+        return s
+
+    def apart(piece: str) -> list[str]:
+        """Pieces end in </w> where they end a word."""
+        name = piece.removesuffix("</w>") if piece.endswith("</w>") else piece + mark
+        if name in vocabulary or piece not in made:
+            return [piece]
+        return [y for x in made[piece] for y in apart(x)]
+
+    def cut(word: str) -> str:
+        out = []
+        for part in isolate(word, terms):
+            if part in terms:
+                out.append(part)
+                continue
+            s = merged(part)
+            out += [x.removesuffix("</w>") for x in (s if vocabulary is None else [y for x in s for y in apart(x)])]
+        return f"{mark} ".join(x for x in out if x)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -178,13 +205,26 @@ def keyword_thresholds(hits: DataFrame, seconds: float, beta: float = 999.9) ->
 
 
 def drop_duplicate_hits(hits: DataFrame, within: float = 0.5) -> DataFrame:
-    """Of hits of one keyword and utterance in order of time, those at least so far behind the last one kept. The fold is over one
-    (keyword, utterance)."""
-    h = F.array_sort(F.collect_list(F.struct("tbeg", "hit")))
-    start = F.struct(F.lit(-1e18).alias("last"), F.array().cast("array<struct<tbeg:double,hit:bigint>>").alias("kept"))
-    step = lambda s, x: F.when(x["tbeg"] - s["last"] < within, s).otherwise(F.struct(x["tbeg"].alias("last"), F.concat(s["kept"], F.array(x)).alias("kept")))
-    t = hits.groupBy("kwid", "utt").agg(h.alias("h")).select("kwid", "utt", F.aggregate("h", start, step)["kept"].alias("k"))
-    return t.select("kwid", "utt", F.explode("k").alias("x")).select("kwid", "utt", "x.hit", "x.tbeg")
+    """Of hits of one keyword and utterance in order of time, those at least so far behind the last one kept. Hits more than that behind the hit before them are kept whatever came earlier, so only
+    the stretches between such hits are folded, each on its own."""
+    w = Window.partitionBy("kwid", "utt").orderBy("tbeg", "hit")
+    fresh = F.coalesce(F.col("tbeg") - F.lag("tbeg").over(w) >= within, F.lit(True)).cast("int")
+    t = hits.select("kwid", "utt", "hit", "tbeg", fresh.alias("__f")).withColumn("__run", F.sum("__f").over(w)).drop("__f")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, last = None, 0.0
+        for b in batches:
+            keep = []
+            for r in zip(*[b.column(c).to_pylist() for c in ("kwid", "utt", "__run", "tbeg")], strict=True):
+                stays = r[:3] != run or r[3] - last >= within
+                if stays:
+                    run, last = r[:3], r[3]
+                keep.append(stays)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    # a stretch lies in one partition, in order, and streams through the fold
+    dealt = t.repartition("kwid", "utt", "__run").sortWithinPartitions("kwid", "utt", "__run", "tbeg", "hit")
+    return dealt.mapInArrow(fold, t.schema).drop("__run")
 
 
 def best_hits(hits: DataFrame, n: int) -> DataFrame:

@@ -9,6 +9,7 @@ from voxlake.fixtures import view
 from voxlake.operators import graph as G
 from voxlake.operators import intervals as I
 from voxlake.operators import metrics as M
+from voxlake.operators.graph import predicted_clusters
 from voxlake.session import stash
 
 
@@ -47,10 +48,10 @@ def error_rates(ref: DataFrame, sys: DataFrame, uem: DataFrame | None = None) ->
 
 
 def diarize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Error rate per recording of the embeddings table under ground-truth decoding."""
+    """Error rate per recording of the embeddings table; clusters come from predicted densities, labels only score them."""
     x = view(spark, sf_dir, "xvec")
     segments = view(spark, sf_dir, "segments")
-    found = cluster_levels(x)
+    found = predicted_clusters(x)
     where = x.select("node", "seq")
     sys = turns_of(segments, found.join(where, "node").select("reco", "seq", "cluster"))
     ref = turns_of(segments, x.select("reco", "seq", F.col("label").alias("cluster")))

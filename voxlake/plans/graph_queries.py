@@ -105,20 +105,14 @@ def c09_knn_exact(spark, d):
 @R.add(BASE + ", mm AS (SELECT reco, min(sim) AS lo, max(sim) AS hi FROM sims GROUP BY 1) SELECT s.reco, i, j, round(CASE WHEN lo < 0 THEN (sim - lo) / (hi - lo) ELSE sim END, 6) AS sim FROM sims s JOIN mm USING (reco)")
 def c10_minmax_rescale(spark, d):
     p = G.cosine_pairs(x(spark, d))
-    w = Window.partitionBy("reco")
-    lo, hi = F.min("sim").over(w), F.max("sim").over(w)
+    p = p.join(F.broadcast(p.groupBy("reco").agg(F.min("sim").alias("lo"), F.max("sim").alias("hi"))), "reco")  # one row a recording
+    lo, hi = F.col("lo"), F.col("hi")
     return p.select("reco", "i", "j", F.round(F.when(lo < 0, (F.col("sim") - lo) / (hi - lo)).otherwise(F.col("sim")), 6).alias("sim"))
 
 
 @R.add()
 def c11_knn_approximate(spark, d):
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    t = x(spark, d).select("reco", "node", array_to_vector(G.l2_normalize(F.col("embedding"))).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=2.0, numHashTables=6, seed=3).fit(t)
-    p = lsh.approxSimilarityJoin(t, t, 1.3, "e").filter("datasetA.reco = datasetB.reco")
-    return p.select(F.col("datasetA.node").alias("node"), F.col("datasetB.node").alias("nbr"), "e")
+    return G.approximate_knn(x(spark, d), K)
 
 
 @R.add(BASE + ", c AS (SELECT node, nbr FROM knn WHERE rank % 2 = 0), e AS (SELECT c.node, c.nbr, round(least(1, greatest(0, 1 - list_dot_product(a.v, b.v) / (a.len * b.len))), 6) AS dist FROM c JOIN n a ON a.node = c.node JOIN n b ON b.node = c.nbr), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY dist, nbr) - 1 AS rank FROM e) SELECT node, rank, nbr, dist FROM r WHERE rank < 5")
@@ -256,13 +250,13 @@ def c35_rederived_knn(spark, d):
 _AFF = "aff AS (SELECT src, dst, sim / CASE WHEN sum(sim) OVER w <= 0 THEN 1 ELSE sum(sim) OVER w END AS affine FROM edges WINDOW w AS (PARTITION BY dst))"
 
 
-def _flat3(spark, d):
-    return x(spark, d).select("node", F.posexplode(F.slice("embedding", 1, 3)).alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
+def _flat(spark, d):
+    return x(spark, d).select("node", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
 
 
-@R.add(f"{BASE}, {EDGES}, {_AFF}, f AS (SELECT node, unnest(embedding[1:3])::DOUBLE AS v, unnest([0, 1, 2]) AS dim FROM xvec), g AS (SELECT dst AS node, dim, sum(affine * v) AS v FROM aff JOIN f ON f.node = src GROUP BY 1, 2) SELECT dst AS node, CAST(dim AS INT) AS dim, round(sum(affine * v), 6) AS value FROM aff JOIN g ON g.node = src GROUP BY 1, 2")
+@R.add(f"{BASE}, {EDGES}, {_AFF}, f AS (SELECT node, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS dim FROM xvec), g AS (SELECT dst AS node, dim, sum(affine * v) AS v FROM aff JOIN f ON f.node = src GROUP BY 1, 2) SELECT dst AS node, CAST(dim AS INT) AS dim, round(sum(affine * v), 6) AS value FROM aff JOIN g ON g.node = src GROUP BY 1, 2")
 def c36_feature_propagate(spark, d):
-    return G.propagate(G.row_normalize(edges(spark, d)), _flat3(spark, d), 2).withColumn("value", F.round("value", 6))
+    return G.propagate(G.row_normalize(edges(spark, d)), _flat(spark, d), 2).withColumn("value", F.round("value", 6))
 
 
 @R.add(f"{BASE}, {EDGES}, a AS (SELECT src, dst, sim FROM edges UNION ALL SELECT node, node, 1.0 FROM xvec), deg AS (SELECT dst AS n, sum(sim) AS d FROM a GROUP BY 1) SELECT src, dst, round(sim / sqrt(x.d) / sqrt(y.d), 6) AS value FROM a JOIN deg x ON x.n = src JOIN deg y ON y.n = dst")
@@ -270,14 +264,18 @@ def c37_symmetric_normalize(spark, d):
     return G.symmetric_normalize(edges(spark, d), x(spark, d))
 
 
+#: Weights of an output: one pattern for a node's own dimensions, one for its neighbours', repeated along them.
 _W = [[1.0, -0.5, 0.25, 2.0, 1.0, -1.0], [-1.0, 0.5, 1.0, 0.0, 3.0, 1.0]]
+_PATTERN = "list_sum(list_transform({v}, lambda a, i: a * {w}[(i - 1) % 3 + 1]))"
+_OUT = ", ".join(f"round(round(greatest(0, {_PATTERN.format(v='v', w=w[:3])} + coalesce({_PATTERN.format(v='m', w=w[3:])}, 0)), 6), 5) AS o{k}" for k, w in enumerate(_W, 1))
 
 
-@R.add(f"{BASE}, {EDGES}, {_AFF}, f AS (SELECT node, unnest(embedding[1:3])::DOUBLE AS v, unnest([1, 2, 3]) AS dim FROM xvec), g AS (SELECT dst AS node, dim, sum(affine * v) AS v FROM aff JOIN f ON f.node = src GROUP BY 1, 2), h AS (SELECT node, sum(v) FILTER (dim = 1) AS m1, sum(v) FILTER (dim = 2) AS m2, sum(v) FILTER (dim = 3) AS m3 FROM g GROUP BY 1), "
-       "z AS (SELECT x.node, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c, coalesce(m1, 0) AS m1, coalesce(m2, 0) AS m2, coalesce(m3, 0) AS m3 FROM xvec x LEFT JOIN h USING (node)) SELECT node, round(greatest(0, a - 0.5 * b + 0.25 * c + 2 * m1 + m2 - m3), 6) AS o1, round(greatest(0, -a + 0.5 * b + c + 3 * m2 + m3), 6) AS o2 FROM z")
+@R.add(f"{BASE}, {EDGES}, {_AFF}, f AS (SELECT node, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS dim FROM xvec), g AS (SELECT dst AS node, dim, sum(affine * v) AS v FROM aff JOIN f ON f.node = src GROUP BY 1, 2), h AS (SELECT node, list(v ORDER BY dim) AS m FROM g GROUP BY 1), z AS (SELECT x.node, list_transform(embedding, lambda a: a::DOUBLE) AS v, m FROM xvec x LEFT JOIN h USING (node)) SELECT node, {_OUT} FROM z")
 def c38_graph_conv(spark, d):
-    t = G.graph_conv(G.row_normalize(edges(spark, d)), x(spark, d).select("node", F.slice("embedding", 1, 3).alias("embedding")), _W)
-    return t.select("node", F.col("embedding")[0].alias("o1"), F.col("embedding")[1].alias("o2"))
+    s = x(spark, d)
+    n = s.select(F.max(F.size("embedding"))).first()[0] or 0
+    t = G.graph_conv(G.row_normalize(edges(spark, d)), s.select("node", "embedding"), [[w[k % 3 + at] for at in (0, 3) for k in range(n)] for w in _W])
+    return t.select("node", F.round(F.col("embedding")[0], 5).alias("o1"), F.round(F.col("embedding")[1], 5).alias("o2"))
 
 
 @R.add(f"{BASE}, {EDGES} SELECT src, dst, round(exp(sim) / sum(exp(sim)) OVER (PARTITION BY dst), 6) AS attention FROM edges")
@@ -364,24 +362,31 @@ def c51_edge_split(spark, d):
     return e.withColumns({"part": names, "positive": F.lit(True)}).unionByName(neg.withColumns({"part": names, "positive": F.lit(False)}))
 
 
-@R.add()
+_DRAW = "md5(concat(CAST(src AS STRING), '-', CAST(dst AS STRING)))"
+
+
+def _draw():
+    return F.md5(F.concat(F.col("src").cast("string"), F.lit("-"), F.col("dst").cast("string")))
+
+
+@R.add(f"{BASE}, {EDGES}, {DENS}, t AS (SELECT e.src, e.dst, x.label = y.label AS same FROM edges e JOIN xvec x ON x.node = e.src JOIN xvec y ON y.node = e.dst), r AS (SELECT *, row_number() OVER (PARTITION BY same ORDER BY {_DRAW}) AS rn FROM t), m AS (SELECT min(n) AS m FROM (SELECT count(*) AS n FROM t GROUP BY same) z) SELECT src, dst, same FROM r, m WHERE rn <= m")
 def c52_balanced_mask(spark, d):
     """The commoner class of edges cut to the size of the rarer one, in order of a hash."""
     t = c18_edge_labels(spark, d)
     least = t.groupBy("same").count().agg(F.min("count").alias("m"))
-    rank = F.row_number().over(Window.partitionBy("same").orderBy(F.xxhash64("src", "dst"), "src", "dst"))
+    rank = F.row_number().over(Window.partitionBy("same").orderBy(_draw(), "src", "dst"))
     return t.withColumn("rn", rank).join(F.broadcast(least)).filter("rn <= m").select("src", "dst", "same")
 
 
-@R.add()
+@R.add(f"{BASE}, {EDGES}, r AS (SELECT src, dst, row_number() OVER (PARTITION BY dst ORDER BY {_DRAW}, src) AS rn FROM edges) SELECT src, dst FROM r WHERE rn <= 3")
 def c53_neighbour_sample(spark, d):
-    rank = F.row_number().over(Window.partitionBy("dst").orderBy(F.xxhash64("src", "dst"), "src"))
+    rank = F.row_number().over(Window.partitionBy("dst").orderBy(_draw(), "src"))
     return edges(spark, d).withColumn("rn", rank).filter("rn <= 3").select("src", "dst")
 
 
-@R.add(cte("xvec") + ", f AS (SELECT reco, unnest(embedding[1:4])::DOUBLE AS v, unnest([0, 1, 2, 3]) AS dim FROM xvec) SELECT reco, CAST(dim AS INT) AS dim, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM f GROUP BY 1, 2")
+@R.add(cte("xvec") + ", f AS (SELECT reco, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS dim FROM xvec) SELECT reco, CAST(dim AS INT) AS dim, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std FROM f GROUP BY 1, 2")
 def c54_stats_pooling(spark, d):
-    t = x(spark, d).select("reco", F.posexplode(F.slice("embedding", 1, 4)).alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
+    t = x(spark, d).select("reco", F.posexplode("embedding").alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
     return t.groupBy("reco", "dim").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"))
 
 
@@ -390,30 +395,3 @@ def c55_embedding_blend(spark, d):
     v = F.transform("embedding", lambda a: a.cast("double"))
     blend = F.zip_with(F.transform(v, lambda a: a * 2), v, lambda a, b: 0.3 * a + 0.7 * b)
     return x(spark, d).select("node", F.round(F.aggregate(blend, F.lit(0.0), lambda a, b: a + b), 5).alias("s"))
-
-
-# c36, c38 and c54 over all dimensions, of which their SQL has the first three or four.
-
-
-def _flat(spark, d):
-    return x(spark, d).select("node", F.posexplode("embedding").alias("dim", "value")).withColumn("value", F.col("value").cast("double"))
-
-
-@R.add()
-def c36_feature_propagate_all(spark, d):
-    return G.propagate(G.row_normalize(edges(spark, d)), _flat(spark, d), 2).withColumn("value", F.round("value", 6))
-
-
-@R.add()
-def c38_graph_conv_all(spark, d):
-    """The weights of c38_graph_conv, repeated along the dimensions."""
-    s = x(spark, d)
-    n = s.select(F.max(F.size("embedding"))).first()[0] or 0
-    t = G.graph_conv(G.row_normalize(edges(spark, d)), s.select("node", "embedding"), [[w[k % 3 + at] for at in (0, 3) for k in range(n)] for w in _W])
-    return t.select("node", F.col("embedding")[0].alias("o1"), F.col("embedding")[1].alias("o2"))
-
-
-@R.add()
-def c54_stats_pooling_all(spark, d):
-    t = x(spark, d).select("reco", F.posexplode("embedding").alias("dim", "v")).withColumn("v", F.col("v").cast("double"))
-    return t.groupBy("reco", "dim").agg(F.round(F.avg("v"), 6).alias("mean"), F.round(F.stddev_samp("v"), 6).alias("std"))

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from voxlake.fixtures import cte, view
 from voxlake.operators import graph as G
 from voxlake.operators import intervals as I
+from voxlake.operators import kernels as N
+from voxlake.operators import language as L
 from voxlake.operators import metrics as M
 from voxlake.operators import networks as W
 from voxlake.operators import tables as T
@@ -16,10 +18,13 @@ from voxlake.operators import text as X
 from voxlake.plans import graph_queries as C
 from voxlake.plans import interval_queries as B
 from voxlake.plans import metric_queries as D
-from voxlake.plans.diarization import cluster_levels
+from voxlake.operators.components import connected_components
+from voxlake.plans.diarization import cluster_levels, predicted_clusters
 from voxlake.plans.registry import Registry
 from voxlake.plans.text_queries import NG, lines
 from voxlake.session import stash, table
+from voxlake.sources import ark
+from voxlake.sources import formats as S
 
 R = Registry()
 _VOC = ", voc AS (SELECT word FROM cnt WHERE n = 1 AND cnt >= 20)"
@@ -49,12 +54,6 @@ def a55_split_siblings(spark, d):
     return table(spark, d, "lineitem").join(j, "l_orderkey").groupBy("job").agg(F.count("*").alias("n"), F.sum("l_linenumber").alias("s"))
 
 
-@R.add()
-def a56_train_validation(spark, d):
-    """Speakers to train and validation by a hash: every utterance follows its speaker."""
-    return view(spark, d, "utt2spk").withColumn("part", F.when(F.pmod(F.xxhash64("spk"), F.lit(10)) < 9, "train").otherwise("validation"))
-
-
 @R.add(f"{B.FULL}" + B._minus(", holes AS (SELECT file_id, onset_ms, offset_ms FROM merged_ref WHERE speaker_id = 'error')"))
 def b09_noscore_zones(spark, d):
     zones = B.ref(spark, d).filter("speaker_id = 'error'").select("file_id", "onset_ms", "offset_ms")
@@ -96,51 +95,188 @@ def d19_score_table(spark, d):
     return out.join(D._der(spark, d).select("file_id", "der"), k, "left").join(D.d18_jer(spark, d), k, "left")
 
 
-@R.add()
+@R.add(C.BASE + ", g AS (SELECT a.node, list_dot_product(a.v, b.v) / (a.len * b.len) AS c FROM n a JOIN n b ON b.reco = a.reco AND b.seq = 0) SELECT node, round(cos(least(pi(), acos(greatest(-1, least(1, c))) + 0.2::DOUBLE)), 5) AS arc, round(greatest(-1, least(1, c)) - 0.2::DOUBLE, 5) AS cosine FROM g")
+def f02_margin_losses(spark, d):
+    x = C.x(spark, d)
+    first = x.filter("seq = 0").select("reco", F.col("embedding").alias("w"))
+    c = x.join(first, "reco").select("node", G.dot(G.l2_normalize(F.col("embedding")), G.l2_normalize(F.col("w"))).alias("c"))
+    return c.select("node", F.round(W.margin_logit(F.col("c"), "arc", 0.2), 5).alias("arc"), F.round(W.margin_logit(F.col("c"), "cos", 0.2), 5).alias("cosine"))
+
+
+_HASH = "CAST(('0x' || substr(md5(CAST({0} AS STRING)), 1, 7)) AS BIGINT)"
+
+
+def hashed(c):
+    """The same number in every engine: the first 28 bits of a digest."""
+    return F.conv(F.substring(F.md5(c.cast("string")), 1, 7), 16, 10).cast("long")
+
+
+@R.add(cte("utt2spk") + f" SELECT utt, spk, CASE WHEN {_HASH.format('spk')} % 10 < 9 THEN 'train' ELSE 'validation' END AS part FROM utt2spk")
+def a56_train_validation(spark, d):
+    """Speakers to train and validation by a hash: every utterance follows its speaker."""
+    return view(spark, d, "utt2spk").withColumn("part", F.when(hashed(F.col("spk")) % 10 < 9, "train").otherwise("validation"))
+
+
+@R.add("SELECT o_orderkey, row_number() OVER (ORDER BY md5(concat('7-', CAST(o_orderkey AS STRING))), o_orderkey) - 1 AS place FROM orders")
+def a47_seeded_shuffle(spark, d):
+    return T.shuffled(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", seed=7)
+
+
+@R.add("WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1000000000 AS b FROM lineitem), s AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, low, i) AS (SELECT DISTINCT a, a, 0 FROM s UNION ALL SELECT node, min(low) AS low, i FROM (SELECT s.a AS node, least(x.low, y.low) AS low, x.i + 1 AS i FROM s JOIN r x ON x.node = s.a JOIN r y ON y.node = s.b WHERE x.i < 40) q GROUP BY node, i) SELECT node, low AS component FROM r WHERE i = 40")
+def a44_class_closure(spark, d):
+    """Classes that share a member, closed; the SQL spreads least labels forty steps, more than the graph is wide."""
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b"))
+    return connected_components(e)
+
+
+_TRI = NG + ", uni AS (SELECT word, cnt::DOUBLE / (SELECT sum(cnt) FROM cnt WHERE n = 1) AS p FROM cnt WHERE n = 1), bi AS (SELECT hist, word, (cnt - 0.5::DOUBLE) / sum(cnt) OVER (PARTITION BY hist) AS p FROM cnt WHERE n = 2), bw AS (SELECT hist, 0.5::DOUBLE * count(*) / sum(cnt) AS bow FROM cnt WHERE n = 2 GROUP BY 1)"
+_TRI += ", t AS (SELECT concat_ws(' ', hist, word) AS id, list_concat(['<s>'], string_split(concat_ws(' ', hist, word), ' '), ['</s>']) AS w FROM cnt WHERE n = 3), tk AS (SELECT id, w[i] AS word, w[i - 1] AS hist FROM (SELECT id, w, unnest(range(2, len(w) + 1)) AS i FROM t) x)"
+
+
+@R.add(_TRI + " SELECT id, count(*) AS n_tokens, round(sum(coalesce(log10(bi.p), log10(coalesce(bow, 1.0)) + coalesce(log10(uni.p), -7.0))), 4) AS logp FROM tk LEFT JOIN bi ON bi.hist = tk.hist AND bi.word = tk.word LEFT JOIN uni ON uni.word = tk.word LEFT JOIN bw ON bw.hist = tk.hist GROUP BY 1")
 def e08_joint_probability(spark, d):
     """log10 of each trigram's joint probability under the bigram model of its own text."""
     c = X.ngrams(lines(spark, d), "text", 3)
-    uni = c.filter("n = 1").select("word", (F.col("cnt") / F.sum("cnt").over(Window.partitionBy())).alias("p"))
+    one = c.filter("n = 1")
+    uni = one.join(F.broadcast(one.agg(F.sum("cnt").alias("total")))).select("word", (F.col("cnt") / F.col("total")).alias("p"))
     b = c.filter("n = 2")
     bi = b.select("hist", "word", ((F.col("cnt") - 0.5) / F.sum("cnt").over(Window.partitionBy("hist"))).alias("p"))
     bow = b.groupBy("hist").agg((0.5 * F.count("*") / F.sum("cnt")).alias("bow"))
-    t = c.filter("n = 3").select(F.concat_ws(" ", "hist", "word").alias("text"))
-    return X.score_sentences(t.withColumn("id", F.col("text")), "id", "text", uni, bi, bow)
+    t = c.filter("n = 3").select(F.concat_ws(" ", "hist", "word").alias("id"))
+    return X.score_sentences(t.withColumn("text", F.col("id")), "id", "text", uni, bi, bow)
 
 
-@R.add(C.BASE + ", g AS (SELECT a.node, list_dot_product(a.v, b.v) / (a.len * b.len) AS c FROM n a JOIN n b ON b.reco = a.reco AND b.seq = 0) SELECT node, round(cos(least(pi(), acos(greatest(-1, least(1, c))) + 0.2::DOUBLE)), 5) AS arc, round(greatest(-1, least(1, c)) - 0.2::DOUBLE, 5) AS cosine FROM g")
-def f02_margin_losses(spark, d):
-    x = C.x(spark, d)
-    first = x.filter("seq = 0").select("reco", F.col("embedding").alias("w"))
-    c = x.join(first, "reco").select("node", G.dot(G.l2_normalize(F.col("embedding")), G.l2_normalize(F.col("w"))).alias("c"))
-    return c.select("node", F.round(W.margin_logit(F.col("c"), "arc", 0.2), 5).alias("arc"), F.round(W.margin_logit(F.col("c"), "cos", 0.2), 5).alias("cosine"))
+@R.add()
+def e08_model_lookup(spark, d):
+    """log p of every trigram and of its history under the bigram model, by back-off."""
+    from voxlake.plans.text_queries import _bigram_model
 
+    m = stash(_bigram_model(spark, d), "model")
+    t = stash(X.ngrams(lines(spark, d), "text", 3).filter("n = 3").select("hist", "word"), "asked")
+    return L.log_probability(t, m, 2).join(L.joint_probability(t, m, 2), "hist").select("hist", "word", F.round("logp", 6).alias("logp"), F.round("joint", 6).alias("joint"))
 
-@R.add()
+
+def _labelled(k):
+    """SQL of one level's labelled edges at k neighbours."""
+    base = C.BASE.replace(f"rank < {C.K}", f"rank < {k}")
+    dens = C.DENS.replace(f"/ {C.K - 1}", f"/ {k - 1}")
+    return f"(WITH {base.split('WITH ', 1)[1]}, {C.EDGES.replace('>= 0.1', '>= 0.0')}, {dens}, w AS (SELECT *, sum(sim) OVER (PARTITION BY dst) AS t FROM edges) SELECT {k} AS k, w.reco, src, dst, w.sim, w.sim / CASE WHEN t <= 0 THEN 1 ELSE t END AS affine, x.label = y.label AS same, a.density > b.density AS mask FROM w JOIN dens a ON a.node = src JOIN dens b ON b.node = dst JOIN xvec x ON x.node = src JOIN xvec y ON y.node = dst)"
+
+
+@R.add(f"SELECT k, reco, src, dst, sim, round(affine, 6) AS affine, same, mask FROM {_labelled(5)} UNION ALL SELECT k, reco, src, dst, sim, round(affine, 6), same, mask FROM {_labelled(10)}")
 def f04_training_set(spark, d):
-    """Labelled edges of the graphs of several k: what an edge model is trained on."""
-    out = None
-    x = C.x(spark, d)
-    for k in (5, 10):
-        n = G.knn(x, k)
-        den = G.density(n, x, k).select("node", "density")
-        v = den.join(x.select("node", "label"), "node")
-        e = G.row_normalize(G.sparse_similarity(n, 0.0))
-        e = e.join(v.select(F.col("node").alias("src"), F.col("density").alias("ds"), F.col("label").alias("ls")), "src").join(v.select(F.col("node").alias("dst"), F.col("density").alias("dd"), F.col("label").alias("ld")), "dst")
-        e = e.select(F.lit(k).alias("k"), "reco", "src", "dst", "sim", "affine", (F.col("ls") == F.col("ld")).alias("same"), (F.col("ds") > F.col("dd")).alias("mask"))
-        out = e if out is None else out.unionByName(e)
-    return out
+    """Labelled edges of the first level's graphs of several k: what an edge model is trained on."""
+    return G.training_edges(C.x(spark, d), (5, 10)).select("k", "reco", "src", "dst", "sim", F.round("affine", 6).alias("affine"), "same", "mask")
 
 
 @R.add()
-def f05_pseudo_labels(spark, d):
-    """Clusters as labels of the next round, against the true ones."""
-    p = cluster_levels(C.x(spark, d)).join(C.x(spark, d).select("node", "label"), "node")
-    return M.contingency(p, ["reco"], "label", "cluster")
+def f04_training_levels(spark, d):
+    """The same at every level: nodes of a level are the clusters of the one before."""
+    return G.training_levels(C.x(spark, d), (5, 10), levels=3)
+
+
+_LOSS = f"{C.BASE}, {C.EDGES}, {C.DENS}, {C._P}, t AS (SELECT dst AS node, sum(sim * (p1 - p0)) / count(*) AS pd FROM pr GROUP BY 1), m AS (SELECT avg(power(pd - density, 2)) AS mse FROM t JOIN dens USING (node)), e AS (SELECT CASE WHEN x.label = y.label THEN p1 ELSE 1 - p1 END AS p FROM pr JOIN dens a ON a.node = src JOIN dens b ON b.node = dst JOIN xvec x ON x.node = src JOIN xvec y ON y.node = dst WHERE a.density > b.density), f AS (SELECT avg(-ln(p)) AS ce, avg(-0.25::DOUBLE * power(1 - p, 2) * ln(p)) AS focal FROM e)"
+
+
+@R.add(_LOSS + " SELECT round(mse, 6) AS mse, round(ce, 6) AS ce, round(focal, 6) AS focal, round(0.2::DOUBLE * mse + 0.8::DOUBLE * ce, 6) AS loss, round(0.2::DOUBLE * mse + 0.8::DOUBLE * focal, 6) AS focal_loss FROM m, f")
+def f01_density_loss(spark, d):
+    """Squared error of densities and, over edges to denser nodes, cross entropy or focal loss, weighed 1 - beta and beta."""
+    scored = C._scored(spark, d)
+    return G.joint_loss(scored, C.dens(spark, d), scored.join(C.c18_edge_labels(spark, d), ["src", "dst"]), beta=0.8, gamma=2.0, alpha=0.25)
+
+
+def _rows(spark, d, labels=None):
+    t = G.training_edges(C.x(spark, d) if labels is None else labels, (C.K,))
+    return stash(t.select("sim", "affine", "same"), "edge-rows")
+
+
+@R.add()
+def f03_fit_edge_model(spark, d):
+    """Weights of the last step and their average over the last quarter of the steps."""
+    last, mean = N.fit_logistic(_rows(spark, d), ["sim", "affine"], "same", epochs=20, average_from=15)
+    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(last, mean, strict=True))], "term int, weight double, averaged double")
 
 
 @R.add()
+def f05_pseudo_labels(spark, d):
+    """Clusters that a model predicts, without labels, become the labels that the next model is fitted to."""
+    x = C.x(spark, d)
+    found = predicted_clusters(x).select("node", F.col("cluster").alias("label"))
+    _, mean = N.fit_logistic(_rows(spark, d, x.drop("label").join(found, "node")), ["sim", "affine"], "same", epochs=20, average_from=15)
+    again = predicted_clusters(x, slope=float(mean[0]), bias=float(mean[2]))
+    return again.select("reco", "node", "cluster")
+
+
+@R.add("SELECT vec_id AS node, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) AS total FROM embeddings")
 def f07_saved_parameters(spark, d):
-    """Parameters survive as a table: written, read again, compared."""
-    w = spark.createDataFrame([(layer, i, float(layer * 10 + i)) for layer in range(3) for i in range(4)], "layer int, place int, value double")
-    return stash(w, "parameters").join(w.withColumnRenamed("value", "was"), ["layer", "place"]).select("layer", "place", "value", (F.col("value") == F.col("was")).alias("equal"))
+    """A checkpoint of parameters by (layer, place), written, read again and used."""
+    w = table(spark, d, "embeddings").select(F.col("vec_id").alias("layer"), F.posexplode("embedding").alias("place", "value"))
+    saved = stash(w.withColumn("value", F.col("value").cast("double")), "parameters")
+    return saved.groupBy(F.col("layer").alias("node")).agg(F.round(F.sum("value"), 4).alias("total"))
+
+
+@R.add(f"SELECT a.file_id, printf('%-12s %8.2f %8.2f', a.file_id, a.der, b.jer) AS line FROM ({D.R.oracle['d15_der']}) a JOIN ({D.R.oracle['d18_jer']}) b ON a.file_id = b.file_id UNION ALL SELECT '*** OVERALL ***', printf('%-12s %8.2f %8.2f', '*** OVERALL ***', 100.0::DOUBLE * sum(miss + fa + error) / sum(scored), avg(b.jer)) FROM ({D.R.oracle['d15_der']}) a JOIN ({D.R.oracle['d18_jer']}) b ON a.file_id = b.file_id")
+def d20_score_table(spark, d):
+    return M.score_lines(D._der(spark, d).join(D.d18_jer(spark, d), "file_id"))
+
+
+def _written(spark, label):
+    import uuid
+
+    from voxlake.session import shared_dir
+
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@R.add("SELECT c_mktsegment AS domain, c_name AS uri FROM customer")
+def s11_domain_scan(spark, d):
+    path = _written(spark, "recordings")
+    table(spark, d, "customer").select(F.col("c_name").alias("uri"), F.col("c_mktsegment").alias("domain"), "c_nationkey").write.option("sep", "\t").option("header", True).csv(path)
+    return S.read_domains(spark, path)
+
+
+@R.add(cte("turns_ref") + " SELECT 'SPEAKER' AS type, file_id, '1' AS channel, onset_ms, offset_ms, speaker_id FROM turns_ref WHERE offset_ms > onset_ms")
+def s04_turn_list(spark, d):
+    """Turns written to several folders, named by a list, read together."""
+    t = view(spark, d, "turns_ref")
+    paths = []
+    for k in range(3):
+        paths.append(_written(spark, "turns"))
+        S.write_turns(t.filter(F.col("turn_id") % 3 == k), paths[-1])
+    listed = _written(spark, "turn-list")
+    spark.createDataFrame([(p,) for p in paths], "value string").coalesce(1).write.text(listed)
+    return S.read_turn_list(spark, listed)
+
+
+@R.add("SELECT CAST(vec_id AS STRING) AS key, [CAST(label AS STRING), CAST(label % 3 AS STRING)] AS rest FROM embeddings")
+def s19_label_files(spark, d):
+    path = _written(spark, "labels")
+    S.write_labels(table(spark, d, "embeddings").select(F.col("vec_id").cast("string").alias("utt"), F.concat_ws(" ", F.col("label").cast("string"), (F.col("label") % 3).cast("string")).alias("labels")), path)
+    return S.read_table(spark, path)
+
+
+@R.add("SELECT event_type AS kwid, CAST(user_id AS STRING) AS utt, value AS tbeg, 0.5::DOUBLE AS dur, floor(value) / 500 AS score FROM events")
+def s20_hit_files(spark, d):
+    path = _written(spark, "hits")
+    h = table(spark, d, "events").select(F.col("event_type").alias("kwid"), F.col("user_id").cast("string").alias("utt"), F.col("value").alias("tbeg"), F.lit(0.5).alias("dur"), (F.floor("value") / 500).alias("score"))
+    S.write_hits(h, path)
+    return S.read_hits(spark, path)
+
+
+@R.add(NG.replace("least(3, p)", "least(2, p)") + " SELECT n, CASE WHEN hist = '' THEN word ELSE concat(hist, ' ', word) END AS ngram, round(-log10(cnt + 1.0::DOUBLE), 6) AS logp, CASE WHEN n = 1 THEN -0.5::DOUBLE END AS bow FROM cnt")
+def s21_model_file(spark, d):
+    """A model written as text and read again."""
+    c = X.ngrams(lines(spark, d), "text", 2)
+    m = c.select("n", F.trim(F.concat_ws(" ", "hist", "word")).alias("ngram"), (-F.log10(F.col("cnt") + 1.0)).alias("logp"), F.when(F.col("n") == 1, -0.5).alias("bow"))
+    numbered = T.running_sum(T.slices(S.arpa_lines(m), "n", "place", "line"), F.lit(1), "number", "n", "place", "line").select("number", "line")
+    return S.parse_arpa(numbered)
+
+
+@R.add(cte("xvec") + " SELECT reco, count(*) AS n, CAST(any_value(len(embedding)) AS INT) AS cols, round(sum(list_sum(list_transform(embedding, lambda v: v::DOUBLE))), 4) AS total FROM xvec GROUP BY 1")
+def s17_repack(spark, d):
+    """Vectors of a recording packed into one archive matrix each, rows in order, and read again."""
+    path = _written(spark, "matrices")
+    ark.write_matrices(C.x(spark, d), "reco", "seq", "embedding", path)
+    ark.register(spark)
+    t = spark.read.format("ark").load(path)
+    return t.select(F.col("key").alias("reco"), F.col("rows").cast("long").alias("n"), "cols", F.round(F.aggregate("data", F.lit(0.0), lambda a, b: a + b), 4).alias("total"))

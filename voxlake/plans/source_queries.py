@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from voxlake.fixtures import cte, view
 from voxlake.operators import kernels as N
-from voxlake.plans.graph_queries import x as xvec
 from voxlake.plans.registry import Registry
 from voxlake.session import table
 from voxlake.sources import formats as S
@@ -68,11 +67,6 @@ def s10_segment_scan(spark, d):
     return S.parse_segments(s)
 
 
-@R.add(cte("xvec") + " SELECT reco, count(*) AS n, max(seq) AS last FROM xvec GROUP BY 1")
-def s17_repack(spark, d):
-    return xvec(spark, d).groupBy("reco").agg(F.count("*").alias("n"), F.max("seq").alias("last"))
-
-
 @R.add("SELECT o_orderkey, concat('f', CAST(o_custkey AS STRING)) AS file, CAST(least(1000, 10 + o_orderkey % 7) AS BIGINT) AS row_lo, CAST(least(1000, 10 + o_orderkey % 2000) AS BIGINT) AS row_hi FROM orders")
 def s22_range_suffix(spark, d):
     o = table(spark, d, "orders")
@@ -120,43 +114,17 @@ def a46_even_subset(spark, d):
     return N.even_subset(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 100)
 
 
-@R.add()
-def a44_class_closure(spark, d):
-    from voxlake.operators.components import connected_components
-
-    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("a"), (F.col("l_suppkey") + 1_000_000_000).alias("b"))
-    return connected_components(e)
-
-
 @R.add()
 def b26_segmentation(spark, d):
     kind = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).otherwise(2)
     return N.segment_frames(table(spark, d, "events").select("user_id", "event_id", kind.alias("kind")), "user_id", "event_id", "kind", longest=15, hard=30)
 
 
-@R.add()
-def f01_density_loss(spark, d):
-    from voxlake.plans.graph_queries import _scored, dens
-
-    truth = dens(spark, d).select(F.col("node").alias("dst"), "density")
-    t = _scored(spark, d).join(truth, "dst")
-    return t.agg(F.round(F.avg(F.pow(F.col("sim") * (F.col("p1") - F.col("p0")) - F.col("density"), 2)), 6).alias("mse"), F.round(F.avg(-F.log(F.greatest(F.col("p1"), F.lit(1e-6)))), 6).alias("ce"))
-
-
 @R.add("SELECT CAST(i AS BIGINT) AS epoch, round(0.0001 + 0.5 * (0.01 - 0.0001) * (1 + cos(pi() * i / 100)), 8) AS lr FROM range(0, 100) t(i)")
 def f03_cosine_schedule(spark, d):
     return spark.range(100).select(F.col("id").alias("epoch"), F.round(0.0001 + 0.5 * (0.01 - 0.0001) * (1 + F.cos(F.pi() * F.col("id") / 100)), 8).alias("lr"))
 
 
-@R.add()
-def f03_fit_edge_model(spark, d):
-    from voxlake.plans.graph_queries import c18_edge_labels, edges
-
-    t = edges(spark, d).select("src", "dst", "sim").join(c18_edge_labels(spark, d), ["src", "dst"]).select("sim", "same")
-    w = N.fit_logistic(t, ["sim"], "same", epochs=20)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(w)], "term int, weight double")
-
-
 @R.add()
 def flagship_diarization(spark, d):
     from voxlake.plans.diarization import diarize

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voxlake.operators import language as L
 from voxlake.operators import text as X
 from voxlake.plans.registry import Registry
 from voxlake.session import table
@@ -65,36 +66,14 @@ def e07_arpa_backoff_score(spark, d):
     from pyspark.sql import Window
 
     c = X.ngrams(lines(spark, d), "text", 2)
-    uni = c.filter("n = 1").withColumn("p", F.col("cnt") / F.sum("cnt").over(Window.partitionBy())).filter("cnt > 1")
+    one = c.filter("n = 1")
+    uni = one.join(F.broadcast(one.agg(F.sum("cnt").alias("total")))).withColumn("p", F.col("cnt") / F.col("total")).filter("cnt > 1")
     b = c.filter("n = 2")
     bi = b.withColumn("p", (F.col("cnt") - 0.5) / F.sum("cnt").over(Window.partitionBy("hist"))).filter("p > 0.02")
     bow = b.groupBy("hist").agg((0.5 * F.count("*") / F.sum("cnt")).alias("bow"))
     return X.score_sentences(lines(spark, d), "id", "text", uni, bi, bow)
 
 
-@R.add()
-def e09_pruned_bigrams(spark, d):
-    """Bigrams whose loss of log-likelihood, if they backed off to the unigram, is above a threshold of their order."""
-    p = X.kn_probabilities(X.ngrams(lines(spark, d), "text", 2), 2)
-    low = p.filter("n = 1").select("word", F.col("f").alias("g"))
-    b = p.filter("n = 2").join(low, "word").join(X.backoff_weights(p).filter("n = 2").select("hist", "bow"), "hist")
-    gain = F.col("f") * (F.log("f") - F.log(F.greatest(F.col("g") * F.col("bow"), F.lit(1e-12))))
-    return b.filter(F.col("f") > 0).withColumn("gain", F.round(gain, 6)).filter("gain > 0.01").select("hist", "word", "f", "gain")
-
-
-@R.add()
-def e10_normalization(spark, d):
-    """Per history the probability of all seen words and what is left: sums to one."""
-    p = X.kn_probabilities(X.ngrams(lines(spark, d), "text", 2), 2)
-    return p.groupBy("n", "hist").agg(F.round(F.sum("f") + F.max("left"), 4).alias("total"))
-
-
-@R.add(f"{NG} SELECT hist, word, cnt FROM cnt WHERE n = 2 AND NOT contains(hist, 'the') AND word <> '</s>'")
-def e12_limit_history(spark, d):
-    c = X.ngrams(lines(spark, d), "text", 3)
-    return c.filter((F.col("n") == 2) & ~F.contains("hist", F.lit("the")) & (F.col("word") != X.EOS)).select("hist", "word", "cnt")
-
-
 @R.add(f"{LINES}, t AS (SELECT unnest(w) AS word FROM lines), v AS (SELECT word, count(*) AS freq FROM t GROUP BY 1), s AS (SELECT freq, list_concat(regexp_split_to_array(word, '')[1:-2], [concat(right(word, 1), '</w>')]) AS s FROM v), q AS (SELECT freq, s[i] AS a, s[i + 1] AS b FROM (SELECT freq, s, unnest(range(1, len(s))) AS i FROM s) z), n AS (SELECT a, b, CAST(sum(freq) AS BIGINT) AS n FROM q GROUP BY 1, 2) SELECT * FROM n ORDER BY n DESC, a DESC, b DESC LIMIT 1".replace("regexp_split_to_array(word, '')[1:-2]", "[substr(word, i, 1) for i in range(1, length(word))]"))
 def e13_bpe_first_merge(spark, d):
     return X.pair_counts(X.word_vocabulary(lines(spark, d), "text")).orderBy(F.desc("n"), F.desc("a"), F.desc("b")).limit(1)
@@ -106,12 +85,6 @@ def e13_bpe_learn(spark, d):
     return spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(m)], "rank int, a string, b string")
 
 
-@R.add()
-def e14_bpe_apply(spark, d):
-    m = X.learn_bpe(X.word_vocabulary(lines(spark, d), "text"), 6)
-    return X.apply_bpe(lines(spark, d), "id", "text", m)
-
-
 @R.add(f"{LINES} SELECT id, array_to_string(list_transform(w, lambda x: concat('+', x)), ' ') AS text FROM lines")
 def e15_prepend_marks(spark, d):
     return lines(spark, d).select("id", F.array_join(F.transform(X.words("text"), lambda x: F.concat(F.lit("+"), x)), " ").alias("text"))
@@ -140,17 +113,79 @@ def e18_kws_best(spark, d):
     return X.best_hits(hits(spark, d), 20).select("kwid", "hit", "score")
 
 
-@R.add("SELECT c_name, row_number() OVER (ORDER BY regexp_extract(c_name, '^(.*?)([0-9]*)$', 1), CAST(coalesce(nullif(regexp_extract(c_name, '^(.*?)([0-9]*)$', 2), ''), '-1') AS BIGINT)) AS place FROM customer ORDER BY place LIMIT 200")
+@R.add("SELECT c_name, row_number() OVER (ORDER BY regexp_extract(c_name, '^(.*?)([0-9]*)$', 1), CAST(coalesce(nullif(regexp_extract(c_name, '^(.*?)([0-9]*)$', 2), ''), '-1') AS BIGINT)) AS place FROM customer ORDER BY place")
 def e19_numeric_sort(spark, d):
-    from pyspark.sql import Window
-
-    stem, num = F.regexp_extract("c_name", "^(.*?)([0-9]*)$", 1), F.regexp_extract("c_name", "^(.*?)([0-9]*)$", 2)
-    key = F.coalesce(F.nullif(num, F.lit("")), F.lit("-1")).cast("long")
-    top = table(spark, d, "customer").select("c_name", stem.alias("s"), key.alias("k")).orderBy("s", "k").limit(200)
-    return top.select("c_name", F.row_number().over(Window.orderBy("s", "k")).cast("long").alias("place"))
+    return X.numeric_order(table(spark, d, "customer").select("c_name"), "c_name")
 
 
 @R.add()
-def e19_numeric_sort_all(spark, d):
-    """The whole table, of which the SQL of e19_numeric_sort has the first 200."""
-    return X.numeric_order(table(spark, d, "customer").select("c_name"), "c_name")
+def e14_bpe_apply(spark, d):
+    """Merges learnt here; a glossary term stays whole, and subwords seen fewer than 20 times are taken apart again."""
+    t = lines(spark, d)
+    m = X.learn_bpe(X.word_vocabulary(t, "text"), 24)
+    whole = X.apply_bpe(t, "id", "text", m, glossaries=["http"])
+    pieces = whole.select(F.explode(F.split("text", " ")).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter("n >= 20 and w <> ''")
+    # at most one subword a merge and letter: the merges bound it
+    return X.apply_bpe(t, "id", "text", m, glossaries=["http"], vocabulary={r["w"] for r in pieces.filter(F.length("w") <= 32).limit(100_000).collect()})
+
+
+_LM = ", uni AS (SELECT word, f AS g FROM pr WHERE n = 1 AND f > 0), bi AS (SELECT pr.hist, pr.word, f, g FROM pr JOIN uni USING (word) WHERE n = 2 AND f > 0), ms AS (SELECT hist, 1 - sum(f) AS num, 1 - sum(g) AS den FROM bi GROUP BY 1), bw AS (SELECT *, CASE WHEN num > 1e-12 AND den > 1e-12 THEN ln(num / den) ELSE 0.0 END AS bow FROM ms)"
+_NG2 = NG.replace("least(3, p)", "least(2, p)") + PROB.replace("n = 3 OR", "n = 2 OR")
+_CHANGE = ", ch AS (SELECT bi.*, num, den, bow, h.g AS ph, ln(greatest(1e-12::DOUBLE, num + f)) - ln(greatest(1e-12::DOUBLE, den + bi.g)) AS new FROM bi JOIN bw USING (hist) JOIN uni h ON h.word = CASE WHEN bi.hist = '<s>' THEN '</s>' ELSE bi.hist END), pc AS (SELECT hist, word, f, g, exp(-ph * (f * (ln(g) + new - ln(f)) + num * (new - bow))) - 1 AS change FROM ch)"
+
+
+def _bigram_model(spark, d):
+    """The discounted bigram model, words whose share is nothing left out."""
+    p = X.kn_probabilities(X.ngrams(lines(spark, d), "text", 2), 2).filter("f > 0")
+    uni = p.filter("n = 1").select("word")
+    p = p.join(uni, "word", "left_semi").select("n", "hist", "word", F.log("f").alias("logp"))
+    return L.with_weights(L.with_start(p), 2)
+
+
+@R.add(f"{_NG2}{_LM}{_CHANGE} SELECT hist, word, round(change, 6) AS change FROM pc")
+def e09_perplexity_changes(spark, d):
+    return L.perplexity_changes(_bigram_model(spark, d), 2).select("hist", "word", X.plain(F.col("change")).alias("change"))
+
+
+_KEPT = ", kp AS (SELECT * FROM pc WHERE change >= 0.0000213::DOUBLE), m2 AS (SELECT hist, 1 - sum(f) AS num, 1 - sum(g) AS den FROM kp GROUP BY 1)"
+
+
+@R.add(f"{_NG2}{_LM}{_CHANGE}{_KEPT} SELECT CAST(1 AS INT) AS n, '' AS hist, word, round(ln(g), 6) AS logp, round(CASE WHEN num > 1e-12 AND den > 1e-12 THEN ln(num / den) WHEN num IS NOT NULL THEN 0.0 END, 4) AS bow FROM uni LEFT JOIN m2 ON m2.hist = uni.word UNION ALL SELECT 1, '', '<s>', round(-99 * ln(10::DOUBLE), 6), round(ln(num / den), 4) FROM m2 WHERE hist = '<s>' UNION ALL SELECT 2, hist, word, round(ln(f), 6), NULL FROM kp")
+def e09_entropy_pruning(spark, d):
+    return L.prune(_bigram_model(spark, d), 2, 0.0000213).select("n", "hist", "word", X.plain(F.col("logp")).alias("logp"), F.round("bow", 4).alias("bow"))
+
+
+@R.add(f"{_NG2}{_LM}, s1 AS (SELECT sum(g) AS total FROM uni) SELECT CAST(1 AS INT) AS n, '' AS hist, round(total, 4) AS total FROM s1 UNION ALL SELECT 2, hist, round(1 - num + exp(bow) * (total - (1 - den)), 4) FROM bw, s1")
+def e10_normalization(spark, d):
+    return L.normalization(_bigram_model(spark, d), 2).select("n", "hist", F.round("total", 4).alias("total"))
+
+
+def _counted_model(spark, d, unk):
+    """Trigram shares of raw counts with a weight per context; unk is written as the unknown word."""
+    c = X.ngrams(lines(spark, d).withColumn("text", F.array_join(F.transform(X.words("text"), lambda t: F.when(t == unk, L.UNK).otherwise(t)), " ")), "text", 3)
+    total = c.groupBy("n", "hist").agg(F.sum("cnt").alias("total"))
+    w = c.groupBy(F.col("n").alias("m"), F.col("hist").alias("c")).agg(F.log(F.count("*") / (F.count("*") + F.sum("cnt"))).alias("bow"))
+    t = c.join(total, ["n", "hist"]).withColumn("c", L.context(F.col("hist"), F.col("word"))).withColumn("m", F.col("n") + 1).join(w, ["m", "c"], "left")
+    return t.select("n", "hist", "word", F.log(F.col("cnt") / F.col("total")).alias("logp"), "bow")
+
+
+_CM = NG.replace("list_concat(['<s>'], w, ['</s>'])", "list_concat(['<s>'], list_transform(w, lambda t: CASE WHEN t = 'the' THEN '<unk>' ELSE t END), ['</s>'])") + ", tot AS (SELECT n, hist, sum(cnt) AS total, count(*) AS types FROM cnt GROUP BY 1, 2), cm AS (SELECT cnt.n, cnt.hist, word, ln(cnt / tot.total::DOUBLE) AS logp, ln(w.types / (w.types + w.total)::DOUBLE) AS bow FROM cnt JOIN tot USING (n, hist) LEFT JOIN tot w ON w.n = cnt.n + 1 AND w.hist = CASE WHEN cnt.hist = '' THEN word ELSE concat(cnt.hist, ' ', word) END)"
+
+
+@R.add(f"{_CM} SELECT n, hist, word, round(logp, 6) AS logp, round(CASE WHEN word = '<unk>' AND n < 3 THEN NULL ELSE bow END, 6) AS bow FROM cm WHERE NOT (n > 2 AND (hist = '<unk>' OR ends_with(hist, ' <unk>')))")
+def e12_limit_unknown(spark, d):
+    return L.limit_unknown(_counted_model(spark, d, "the"), 3).select("n", "hist", "word", X.plain(F.col("logp")).alias("logp"), X.plain(F.col("bow")).alias("bow"))
+
+
+@R.add(f"{_CM}, pb AS (SELECT DISTINCT lower(p_brand) AS word, 0.25::DOUBLE AS p FROM part) SELECT n, hist, word, round(CASE WHEN word = '<unk>' THEN logp + ln(0.5::DOUBLE) ELSE logp END, 6) AS logp FROM cm UNION ALL SELECT 1, '', word, round(ln(p * 0.1::DOUBLE), 6) FROM pb WHERE word NOT IN (SELECT word FROM cm WHERE n = 1)")
+def e12_adjusted_words(spark, d):
+    words = table(spark, d, "part").select(F.lower("p_brand").alias("word"), F.lit(0.25).alias("p"))
+    return L.add_unigrams(L.adjust_unknown(_counted_model(spark, d, "the"), 0.5), words, 0.1).select("n", "hist", "word", X.plain(F.col("logp")).alias("logp"))
+
+
+_SWAP = "CASE {0} WHEN '<s>' THEN '</s>' WHEN '</s>' THEN '<s>' ELSE {0} END"
+
+
+@R.add(f"{_CM.replace('least(3, p)', 'least(2, p)')} SELECT c.n, CASE WHEN c.n = 1 THEN '' ELSE {_SWAP.format('c.word')} END AS hist, CASE WHEN c.n = 1 THEN {_SWAP.format('c.word')} ELSE {_SWAP.format('c.hist')} END AS word, round(c.logp + coalesce(c.bow, 0) + CASE WHEN c.n = 2 THEN (CASE WHEN c.hist = '<s>' THEN 0 ELSE coalesce(a.logp, 0) END) - coalesce(b.logp, 0) ELSE 0 END, 6) + 0.0::DOUBLE AS logp FROM cm c LEFT JOIN cm a ON a.n = 1 AND a.word = c.hist LEFT JOIN cm b ON b.n = 1 AND b.word = c.word")
+def e12_reversed_model(spark, d):
+    return L.reverse(_counted_model(spark, d, "the").filter("n < 3").withColumn("bow", F.when(F.col("n") < 2, F.col("bow")))).select("n", "hist", "word", X.plain(F.col("logp")).alias("logp"))

@@ -10,10 +10,15 @@ from __future__ import annotations
 import glob
 import gzip
 import io
+import os
 import struct
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
@@ -78,6 +83,49 @@ def read_value(f: io.BufferedIOBase) -> np.ndarray:
     raise ValueError(f"unknown archive token {kind!r}")
 
 
+#: A record of a posterior archive: a number and a value, each with its size in front.
+_POSTERIOR = np.dtype([("size", "i1"), ("index", "<i4"), ("size2", "i1"), ("value", "<f4")])
+_SPAN = np.dtype([("size", "i1"), ("begin", "<f4"), ("size2", "i1"), ("end", "<f4")])
+
+
+def _records(f: io.BufferedIOBase, kind: np.dtype) -> list[tuple]:
+    n = _int(f)
+    a = np.frombuffer(f.read(n * kind.itemsize), kind)
+    return list(zip(a[kind.names[1]].tolist(), a[kind.names[3]].tolist(), strict=True))
+
+
+def read_posteriors(path: str) -> Iterator[tuple[str, list[list[tuple[int, float]]]]]:
+    """Keys with, for each frame (or bin of a confusion network), its (index, value) records."""
+    with gzip.open(path) if path.endswith(".gz") else open(path, "rb") as f:
+        while key := read_key(f):
+            assert f.read(2) == b"\0B"
+            yield key, [_records(f, _POSTERIOR) for _ in range(_int(f))]
+
+
+def read_bin_times(path: str) -> Iterator[tuple[str, list[tuple[float, float]]]]:
+    """Keys with the (begin, end) of each bin of a confusion network."""
+    with gzip.open(path) if path.endswith(".gz") else open(path, "rb") as f:
+        while key := read_key(f):
+            assert f.read(2) == b"\0B"
+            yield key, _records(f, _SPAN)
+
+
+def write_posteriors(path: str, rows: Iterator[tuple[str, list[list[tuple[int, float]]]]]) -> None:
+    with open(path, "wb") as f:
+        for key, frames in rows:
+            f.write(f"{key} ".encode() + b"\0B\4" + struct.pack("<i", len(frames)))
+            for frame in frames:
+                a = np.array([(4, i, 4, v) for i, v in frame], _POSTERIOR)
+                f.write(b"\4" + struct.pack("<i", len(a)) + a.tobytes())
+
+
+def write_bin_times(path: str, rows: Iterator[tuple[str, list[tuple[float, float]]]]) -> None:
+    with open(path, "wb") as f:
+        for key, spans in rows:
+            a = np.array([(4, b, 4, e) for b, e in spans], _SPAN)
+            f.write(f"{key} ".encode() + b"\0B\4" + struct.pack("<i", len(a)) + a.tobytes())
+
+
 def read_archive(path: str) -> Iterator[tuple[str, np.ndarray]]:
     with gzip.open(path) if path.endswith(".gz") else open(path, "rb") as f:
         while key := read_key(f):
@@ -107,6 +155,27 @@ def write_archive(path: str, rows: Iterator[tuple[str, np.ndarray]]) -> list[tup
     return out
 
 
+def write_matrices(rows: DataFrame, key: str, order: str, vector: str, path: str) -> None:
+    """One archive per key, with the key's vectors as the rows of a matrix, in order; path: a folder that all executors reach as a file system."""
+    folder = path.removeprefix("file://")
+
+    def write(t: pa.Table) -> pa.Table:
+        t = t.sort_by(order)
+        name = t.column(key)[0].as_py()
+        os.makedirs(folder, exist_ok=True)
+        draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
+        write_archive(draft, iter([(name, np.array(t.column(vector).to_pylist(), "<f4"))]))
+        os.replace(draft, f"{folder}/{name}.ark")  # a task that is run again leaves one whole file
+        return pa.table({"key": [name]})
+
+    some = rows.select(F.col(key).cast("string").alias(key), order, vector)
+    some.groupBy(key).applyInArrow(write, "key string").write.format("noop").mode("overwrite").save()
+
+
+def register(spark: SparkSession) -> None:
+    spark.dataSource.register(ArkSource)
+
+
 class ArkSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -124,7 +193,8 @@ class ArkReader(DataSourceReader):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in sorted(glob.glob(self.path))]
+        path = self.path.removeprefix("file://")
+        return [InputPartition(p) for p in sorted(glob.glob(f"{path}/*.ark" if os.path.isdir(path) else path))]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for key, v in read_archive(partition.value):

@@ -86,6 +86,18 @@ def read_segments(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return parse_segments(spark.read.text(path).withColumnRenamed("value", "line"))
 
 
+def read_domains(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(domain, uri) of a tab-separated table of recordings with a heading."""
+    return spark.read.option("sep", "\t").option("header", True).csv(path).select("domain", "uri")
+
+
+def plda_parameters(text: str) -> dict[str, list]:
+    """Mean, transform (rows) and between-class variances of a model in text form: a vector, a matrix and a vector in brackets."""
+    parts = [[[float(v) for v in row.split()] for row in block.split("]")[0].strip().split("\n") if row.strip()] for block in text.split("[")[1:]]
+    mean, transform, between = parts
+    return {"mean": mean[0], "transform": transform, "between": between[0]}
+
+
 def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Any keyed file: (key, rest)."""
     return _fields(spark, path).select(F.col("f")[0].alias("key"), F.slice("f", 2, F.size("f") - 1).alias("rest"))
@@ -130,7 +142,7 @@ def parse_arpa(lines: DataFrame) -> DataFrame:
     head = F.regexp_extract("line", r"^\\([0-9]+)-grams:", 1)
     t = lines.withColumn("h", F.when(head != "", head.cast("int")).when(F.col("line").startswith("\\"), 0))
     heads = t.filter("h is not null").agg(F.array_sort(F.collect_list(F.struct("number", "h"))).alias("heads"))
-    t = t.join(F.broadcast(heads)).withColumn("n", F.element_at(F.filter("heads", lambda x: x["number"] <= F.col("number")), -1)["h"])
+    t = t.join(F.broadcast(heads)).withColumn("n", F.try_element_at(F.filter("heads", lambda x: x["number"] <= F.col("number")), F.lit(-1))["h"])
     t = t.filter((F.col("n") > 0) & F.col("h").isNull() & (F.trim("line") != "")).withColumn("f", F.split(F.trim("line"), r"\s+"))
     bow = F.when(F.size("f") > F.col("n") + 1, F.get("f", F.col("n") + 1).try_cast("double"))
     return t.select("n", F.col("f")[0].cast("double").alias("logp"), F.array_join(F.slice("f", 2, F.col("n")), " ").alias("ngram"), bow.alias("bow"))
