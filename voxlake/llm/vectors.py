@@ -5,6 +5,8 @@ is the nearest signed axis after three rounds of random sign flips and fast Hada
 its next best ones (multiprobe). The number of parts grows with the number of vectors, and the number of tables follows from the
 chance, simulated on random pairs at exactly the threshold, that one table finds such a pair, so that the target recall holds at every size.
 
+Buckets hold ids and a sketch of SKETCH sign bits, never vectors. A member without any other whose sketch is within the bits that a pair at the threshold differs in, and five standard
+deviations more, leaves its bucket (buckets of more than TILE members skip this); vectors are joined to what is left.
 Bucket members meet in tiles of bounded size: a bucket of more than TILE members is cut into chunks, and every two chunks meet in a task of their own.
 A tile is verified by matrix products in double precision; it returns a count per member and a spanning forest of its links, never the
 links themselves. A pair that meets in several places counts where it meets first, which both ends can tell from their hashes.
@@ -27,7 +29,7 @@ from voxlake.llm.tiles import deal_tiles, forest, groups, longs
 from voxlake.operators.components import connected_components
 from voxlake.session import stash
 
-THRESHOLD, RECALL, PROBES, TILE, PER_BUCKET = 0.93, 0.9995, 2, 1024, 64
+THRESHOLD, RECALL, PROBES, TILE, PER_BUCKET, SKETCH = 0.93, 0.9995, 2, 1024, 64, 128
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -99,6 +101,76 @@ def tables_needed(d: int, parts: int, probes: int, threshold: float, recall: flo
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - p)))
 
 
+def sketches(x: np.ndarray, seed: int = 13) -> np.ndarray:
+    """(rows, SKETCH / 64) bits: on which side of random planes a vector lies."""
+    planes = np.random.default_rng(seed).standard_normal((SKETCH, x.shape[1]))
+    return np.packbits(x @ planes.T >= 0, axis=1).view(np.int64)
+
+
+def most_bits(threshold: float) -> int:
+    """Sketch bits in which a pair at the threshold differs at most, but for chances of five standard deviations."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(SKETCH * p + 5 * math.sqrt(SKETCH * p * (1 - p)))
+
+
+def likely_members(tile: int, most: int) -> object:
+    """Rows (label, table, bucket, id, probe, s0, s1) in order of their buckets: those with a likely partner in their bucket, one of the two being in its own. The stream holds at most
+    a tile's rows of one bucket; beyond that all go on."""
+    key = ["label", "table", "bucket"]
+    carry = [*key, "id", "probe"]
+
+    def some(t: pa.Table) -> pa.RecordBatch | pa.Table:
+        k = np.stack([t.column(c).to_numpy() for c in key])
+        bits = np.stack([t.column(c).to_numpy() for c in ("s0", "s1")])
+        own = t.column("probe").to_numpy() == 0
+        fresh = np.append(True, (k[:, 1:] != k[:, :-1]).any(0))
+        group = np.cumsum(fresh) - 1
+        size = np.bincount(group)
+        stays = size[group] > tile
+        for step in range(1, min(tile, int(size.max()))):
+            i = np.flatnonzero(group[:-step] == group[step:])
+            i = i[~(stays[i] & stays[i + step])]
+            if not len(i):
+                if not (group[:-step] == group[step:]).any():
+                    break
+                continue
+            j = i + step
+            near = np.bitwise_count((bits[:, i] ^ bits[:, j]).view(np.uint64)).sum(0) <= most
+            near &= own[i] | own[j]
+            stays[i[near]] = stays[j[near]] = True
+        return t.select(carry).filter(pa.array(stays))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        crowded = None  # the bucket that has passed a tile's rows
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b])
+            if held is not None:
+                t = pa.concat_tables([held, t]).combine_chunks()
+            k = np.stack([t.column(c).to_numpy() for c in key])
+            if crowded is not None:
+                through = int((k == np.array(crowded)[:, None]).all(0).sum())  # they come first
+                yield from t.slice(0, through).select(carry).to_batches()
+                if through == t.num_rows:
+                    held = None
+                    continue
+                t, k, crowded = t.slice(through), k[:, through:], None
+            last = int(np.flatnonzero((k != k[:, -1:]).any(0))[-1]) + 1 if (k != k[:, -1:]).any() else 0
+            if last:
+                yield from some(t.slice(0, last)).to_batches(max_chunksize=50_000)
+            held = t.slice(last)
+            if held.num_rows > tile:
+                crowded = [held.column(c)[0].as_py() for c in key]
+                yield from held.select(carry).to_batches(max_chunksize=50_000)
+                held = None
+        if held is not None and held.num_rows:
+            yield from some(held).to_batches(max_chunksize=50_000)
+
+    return run
+
+
 def _verify(tile: dict[str, np.ndarray], table_: int, bucket: int, threshold: float) -> tuple[list, list]:
     """Counts (id, partners) and forest links (id, id) of one tile: side 0 within itself (lone) or side 0 against side 1."""
     side, x, sig, own = tile["side"], tile["x"], tile["sig"], tile["n"]
@@ -136,40 +208,56 @@ def _verify(tile: dict[str, np.ndarray], table_: int, bucket: int, threshold: fl
 
 
 def link_classes(classes: DataFrame, total: int, d: int, threshold: float, recall: float, probes: int, tile: int) -> DataFrame:
-    """classes: id, label, n, x (binary doubles of the unit vector). (id, partners, other): counts where other is null, else forest links."""
+    """classes: id, label, n, x (the vector, binary). (id, partners, other): counts where other is null, else forest links."""
     width = 1 << max(1, (d - 1).bit_length())
     parts = max(1, math.ceil(math.log(max(2, total / PER_BUCKET)) / math.log(2 * width)))
     tables = tables_needed(d, parts, probes, threshold, recall)
 
+    def vectors_of(b: pa.RecordBatch) -> np.ndarray:
+        """Unit vectors in double precision: values arrive in single precision where that loses nothing."""
+        x = np.stack([np.frombuffer(r, "<f4" if len(r) == 4 * d else "<f8") for r in b.column("x").to_pylist()]).astype(np.float64)
+        x = x / np.abs(x).max(1, keepdims=True)
+        return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+    small = "<i4" if (2 * width) ** parts < 1 << 31 else "<i8"
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 1000):
+                b = whole.slice(lo, 1000)
+                sig = hashes(vectors_of(b), tables, parts, probes).astype(small)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in sig], pa.binary())], [*b.schema.names, "sig"])
+
+    def sig_of(b: pa.RecordBatch | pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(b.column("sig").to_pylist()), small).reshape(-1, tables, probes).astype(np.int64)
+
+    classes = stash(classes.select("id", "label", "n", "x").mapInArrow(hashed, "id long, label long, n long, x binary, sig binary"), "vectors-hashed")
+
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 1000):
                 b = whole.slice(lo, 1000)
-                x = np.frombuffer(b"".join(b.column("x").to_pylist()), "<f8").reshape(-1, d)
-                sig = hashes(x, tables, parts, probes)
-                n, one = len(x), pa.array([s.tobytes() for s in sig], pa.binary())
+                sig, sketch = sig_of(b), sketches(vectors_of(b))
+                n = len(sig)
                 for t in range(tables):
                     for k in range(probes):
-                        yield pa.RecordBatch.from_arrays(
-                            [b.column("label"), pa.array(np.full(n, t)), pa.array(sig[:, t, k]), b.column("id"), b.column("n"), pa.array(np.full(n, k)), b.column("x"), one],
-                            ["label", "table", "bucket", "id", "n", "probe", "x", "sig"],
-                        )
+                        columns = [b.column("label"), pa.array(np.full(n, t, np.int16)), pa.array(sig[:, t, k]), b.column("id"), pa.array(np.full(n, k, np.int16)), pa.array(sketch[:, 0]), pa.array(sketch[:, 1])]
+                        yield pa.RecordBatch.from_arrays(columns, ["label", "table", "bucket", "id", "probe", "s0", "s1"])
 
-    filed = stash(classes.select("id", "label", "n", "x").mapInArrow(file, "label long, table long, bucket long, id long, n long, probe long, x binary, sig binary"), "vectors-filed")
     key = ["label", "table", "bucket"]
-    sizes = filed.groupBy(*key).agg(F.count("*").alias("members"), F.min("probe").alias("least")).filter("members > 1 and least = 0").select(*key, F.ceil(F.col("members") / tile).alias("chunks"))
-    rows = deal_tiles(filed.join(sizes, key), key, "chunks", "id", ["n", "x", "sig"])
+    filed = classes.select("id", "label", "x", "sig").mapInArrow(file, "label long, table short, bucket long, id long, probe short, s0 long, s1 long")
+    filed = filed.repartition(*key).sortWithinPartitions(*key)
+    members = stash(filed.mapInArrow(likely_members(tile, most_bits(threshold)), "label long, table short, bucket long, id long, probe short"), "vectors-members")
+    sizes = members.groupBy(*key).agg(F.count("*").alias("members"), F.min("probe").alias("least")).filter("members > 1 and least = 0").select(*key, F.ceil(F.col("members") / tile).alias("chunks"))
+    rows = members.drop("probe").join(sizes, key).join(classes.select("id", "n", "x", "sig"), "id")
+    rows = deal_tiles(rows.withColumn("table", F.col("table").cast("long")), key, "chunks", "id", ["n", "x", "sig"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for k, t in groups(batches, [*key, "u", "v"]):
                 if t.num_rows < 2:
                     continue
-                data = {
-                    "side": t.column("side").to_numpy(), "id": t.column("id").to_numpy(), "n": t.column("n").to_numpy(), "crossed": k[3] != k[4],
-                    "x": np.frombuffer(b"".join(t.column("x").to_pylist()), "<f8").reshape(-1, d),
-                    "sig": np.frombuffer(b"".join(t.column("sig").to_pylist()), np.int64).reshape(-1, tables, probes),
-                }
+                data = {"side": t.column("side").to_numpy(), "id": t.column("id").to_numpy(), "n": t.column("n").to_numpy(), "crossed": k[3] != k[4], "x": vectors_of(t), "sig": sig_of(t)}
                 counts, links = _verify(data, k[1], k[2], threshold)
                 yield from ((i, c, None) for i, c in counts)
                 yield from ((i, None, j) for i, j in links)
@@ -197,9 +285,11 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float =
         def unit(batches: Iterator[pa.RecordBatch], d: int = d) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 x = b.column("embedding").values.to_numpy(zero_copy_only=False)[b.column("embedding").offsets[0].as_py() : b.column("embedding").offsets[-1].as_py()].reshape(-1, d)
-                x = x / np.abs(x).max(1, keepdims=True)
-                x = x / np.sqrt((x * x).sum(1, keepdims=True))
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), b.column("n"), pa.array([r.tobytes() for r in x], pa.binary())], ["id", "label", "n", "x"])
+                with np.errstate(over="ignore"):
+                    single = x.astype("<f4")
+                exact = (single == x).all(1)
+                packed = [a.tobytes() if e else r.astype("<f8").tobytes() for a, r, e in zip(single, x, exact, strict=True)]
+                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), b.column("n"), pa.array(packed, pa.binary())], ["id", "label", "n", "x"])
 
         ready = classes.filter(F.size("embedding") == d).select("id", "label", "n", "embedding").mapInArrow(unit, "id long, label long, n long, x binary")
         part = link_classes(ready, s["classes"], d, threshold, recall, probes, tile)
