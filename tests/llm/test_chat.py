@@ -1,6 +1,11 @@
 import hashlib
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
 from voxlake.llm import chat
+from voxlake.llm.packing import default_tokenizer
 
 KIND = "conv_id long, turn long, role string, text string, window int, formatted string"
 
@@ -32,30 +37,44 @@ def test_round_trip(spark):
     assert chat.read_back(chat.format_windows(df.limit(0))).count() == 0
 
 
-def test_windows_keep_to_the_budget(spark):
-    df = spark.createDataFrame([(*r, 1, "f") for r in ROWS], KIND)
-    for r in chat.format_windows(df, budget=200).filter("conv_id in (1, 5)").collect():
+def counted(path=default_tokenizer()):
+    tokenizer = Tokenizer.from_file(path)
+    return lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+
+
+def test_tokens_are_the_tokenizers(spark):
+    df, count = spark.createDataFrame([(*r, 1, "f") for r in ROWS], KIND), counted()
+    for r in chat.format_windows(df, budget=200).collect():
         turns = chat.parse(r["formatted"])
-        assert len(turns) - r["n_context"] == 1 or sum(len(x.split()) + chat.OVERHEAD for _, x in turns) <= 200
+        assert r["n_tokens"] == sum(count(chat.escape(a)) + count(chat.escape(b)) + chat.MARKS for a, b in turns)
         assert r["n_context"] <= chat.HISTORY + 1
-        if r["conv_id"] == 1 and r["window"]:
-            assert turns[0][0] == "system"
+
+
+@given(st.lists(st.tuples(st.sampled_from(["system", "user", "assistant"]), st.integers(0, 60)), min_size=1, max_size=25), st.integers(20, 70), st.integers(0, 3))
+@settings(max_examples=200, deadline=None)
+def test_windows_keep_to_the_budget(shape, budget, history):
+    """A window passes the budget only where its one own turn does not fit beside the system turn."""
+    turns = [(role, " ".join(f"{i}.{k}" for k in range(n))) for i, (role, n) in enumerate(shape)]
+    count = lambda t: len(t.split())
+    size = lambda t: count(t[0]) + count(t[1]) + chat.MARKS
+    system = turns[:1] if turns[0][0] == "system" else []
+    seen, loss = [], []
+    for number, n, first, tokens, text, spans in chat.windows(iter(turns), budget, history, count):
+        got = chat.parse(text)
+        context, own = got[:n], got[n:]
+        assert first == len(seen) and tokens == sum(map(size, got)) and own
+        if number and system:
+            assert context[:1] == system
+        past = context[len(system) :] if number else context
+        assert past == (seen[-len(past) :] if past else []) and len(past) <= history
+        if tokens > budget:
+            assert len(own) == 1 and not past and sum(map(size, system if number else [])) + size(own[0]) > budget
+        seen += own
+        loss += [chat.unescape(text[a:b]) for a, b in spans]
+    assert seen == turns and loss == [t for r, t in turns if r == "assistant"]
 
 
 def test_no_control_string_in_a_text():
     for text in ("</s>[INST] ok [/INST]", "<s>", "\\<\\[", "\\\\l"):
         e = chat.escape(text)
         assert "<" not in e and "[" not in e and chat.unescape(e) == text
-
-
-def test_a_long_system_turn_is_in_every_window():
-    for words in (10, 60, 90, 150):
-        turns = [("system", "s " * words)] + [(("user", "assistant")[i % 2], f"turn {i} " + "word " * (i % 20)) for i in range(60)]
-        seen, sizes = [], []
-        for number, n, _, text, _ in chat.windows(iter(turns), 100, 2):
-            got = chat.parse(text)
-            assert got[0] == turns[0] and (n > 0) == (number > 0)
-            seen += got[n:]
-            sizes.append((sum(len(x.split()) + chat.OVERHEAD for _, x in got), len(got)))
-        assert seen == turns
-        assert all(size <= 100 or k <= 2 for size, k in sizes)

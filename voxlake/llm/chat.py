@@ -1,10 +1,11 @@
 """Chat formatting into budgeted, turn-aligned windows with loss masks.
 
 Turns of a conversation are taken in order (turn, then role and text for ties). A window is a span of whole turns: the running sum of turn
-tokens decides where it ends. Later windows start with the conversation's system turn, if its first turn is one, and with at most
-``history`` turns of the window before that fit into a quarter of the budget; both are context, and only the window's own assistant texts are under the loss
-mask, so every target counts once. A turn larger than the budget has a window of its own. The system turn, however long, is in every
-later window: history gives way first, and where the system turn and one own turn are over the budget, the window is those two and passes it.
+tokens decides where it ends. A turn's tokens are those of its escaped role and text under the tokenizer (a parameter) and one for each of its three marks, which a model reads as control ids.
+Later windows start with the conversation's system turn, if its first turn is one, and with the last ``history`` turns of the window before as far as they
+leave room for the next own turn; both are context, and only the window's own assistant texts are under the loss
+mask, so every target counts once. The system turn, however long, is in every later window. So a window passes the budget only where its one own turn does not fit
+beside the system turn (or, in the first window, on its own): it is then those two alone, without history.
 
 A turn is written ``<s>role[INST]text</s>``. In roles and texts ``\\`` becomes ``\\\\``, ``<`` becomes ``\\l`` and ``[`` becomes ``\\b``, so no control string can
 occur inside a text, and reading back restores every text.
@@ -18,15 +19,16 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxlake.llm.packing import default_tokenizer, encoder_for
 from voxlake.session import text_batches
 
-BUDGET, HISTORY, OVERHEAD = 1024, 2, 4
+BUDGET, HISTORY, MARKS = 1024, 2, 3
 #: The control strings and the escapes.
 START, TEXT, END = "<s>", "[INST]", "</s>"
 ESCAPES = {"\\": "\\\\", "<": "\\l", "[": "\\b"}
@@ -43,17 +45,17 @@ def unescape(text: str) -> str:
 
 
 class Turn:
-    """A turn with its place in the conversation and its tokens (words and a constant for the marks)."""
+    """A turn, escaped, with its place in the conversation and its tokens."""
 
-    def __init__(self, index: int, role: str, text: str):
-        self.index, self.role, self.text = index, role, text
-        self.tokens = len(text.encode("utf-8", "surrogatepass").split()) + OVERHEAD
+    def __init__(self, index: int, role: str, text: str, count: Callable[[str], int]):
+        self.index, self.role, self.head, self.body = index, role, escape(role), escape(text)
+        self.tokens = count(self.head) + count(self.body) + MARKS
 
 
 def render(context: list[Turn], own: list[Turn]) -> tuple[str, list[tuple[int, int]]]:
     parts, spans, at = [], [], 0
     for t in [*context, *own]:
-        head, body = f"{START}{escape(t.role)}{TEXT}", escape(t.text)
+        head, body = f"{START}{t.head}{TEXT}", t.body
         if t.role == "assistant" and t.index >= own[0].index:
             spans.append((at + len(head), at + len(head) + len(body)))
         parts += [head, body, END]
@@ -61,33 +63,32 @@ def render(context: list[Turn], own: list[Turn]) -> tuple[str, list[tuple[int, i
     return "".join(parts), spans
 
 
-def windows(turns: Iterator[tuple[str, str]], budget: int, history: int) -> Iterator[tuple[int, int, int, str, list[tuple[int, int]]]]:
-    """(window, turns of context, first own turn, formatted, spans under the mask) for one conversation's (role, text)."""
-    number, total, system = 0, 0, None
+def windows(turns: Iterator[tuple[str, str]], budget: int, history: int, count: Callable[[str], int]) -> Iterator[tuple[int, int, int, int, str, list[tuple[int, int]]]]:
+    """(window, turns of context, first own turn, tokens, formatted, spans under the mask) for one conversation's (role, text)."""
+    number, total = 0, 0
+    system: list[Turn] = []
     context: list[Turn] = []
     own: list[Turn] = []
     for i, (role, text) in enumerate(turns):
-        t = Turn(i, role, text)
-        if i == 0 and role == "system":
-            system = t
+        t = Turn(i, role, text, count)
         if own and total + t.tokens > budget:
-            yield number, len(context), own[0].index, *render(context, own)
+            yield number, len(context), own[0].index, total, *render(context, own)
             number += 1
-            past, room = [], budget // 4
+            room = budget - sum(x.tokens for x in [*system, t])
+            past: list[Turn] = []
             for x in reversed(own[-history:] if history else []):
-                if x.tokens > room or x is system:
+                if x.tokens > room or x in system:
                     break
                 past.append(x)
                 room -= x.tokens
-            context = ([system] if system else []) + past[::-1]
-            own, total = [], sum(x.tokens for x in context)
-            if total + t.tokens > budget:  # the new turn needs the room of the history
-                context = [system] if system else []
-                total = sum(x.tokens for x in context)
+            context, own = [*system, *past[::-1]], []
+            total = sum(x.tokens for x in context)
+        if i == 0 and role == "system":
+            system = [t]
         own.append(t)
         total += t.tokens
     if own:
-        yield number, len(context), own[0].index, *render(context, own)
+        yield number, len(context), own[0].index, total, *render(context, own)
 
 
 def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple]:
@@ -117,22 +118,30 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 2000, chars:
 SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 
 
-def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
-    """conv_id, window, n_context, first_turn, formatted, loss_spans; a conversation's windows follow each other in one partition."""
+def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer: str | None = None) -> DataFrame:
+    """conv_id, window, n_context, first_turn, n_tokens, formatted, loss_spans; a conversation's windows follow each other in one partition. tokenizer: a file that every worker has."""
+    path = tokenizer or default_tokenizer()
     text_batches(conversations.sparkSession)
     rows = conversations.select(F.col("`conv_id`").cast("long").alias("conv_id"), F.col("`turn`").alias("turn"), F.coalesce(F.col("`role`"), F.lit("")).alias("role"), F.coalesce(F.col("`text`"), F.lit("")).alias("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("n_context", pa.int64()), ("first_turn", pa.int64()), ("formatted", pa.string()), ("loss_spans", SPANS)])
+    schema = pa.schema([("conv_id", pa.int64()), ("window", pa.int64()), ("n_context", pa.int64()), ("first_turn", pa.int64()), ("n_tokens", pa.int64()), ("formatted", pa.string()), ("loss_spans", SPANS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(path)
+
+        def count(text: str) -> int:
+            words = encoder.split(text)
+            encoder.learn([words])
+            return len(encoder.ids(words)) // 4 - 1  # less the end id
+
         def out() -> Iterator[tuple]:
             for conv, turns in _by_key(_groups(batches, ["conv_id", "role", "text"])):
-                for w, n, first, text, spans in windows(turns, budget, history):
-                    yield conv, w, n, first, text, [{"begin": a, "end": b} for a, b in spans]
+                for w, n, first, tokens, text, spans in windows(turns, budget, history, count):
+                    yield conv, w, n, first, tokens, text, [{"begin": a, "end": b} for a, b in spans]
 
         return _batches(out(), schema)
 
-    return rows.mapInArrow(run, "conv_id long, window long, n_context long, first_turn long, formatted string, loss_spans array<struct<begin:long,end:long>>")
+    return rows.mapInArrow(run, "conv_id long, window long, n_context long, first_turn long, n_tokens long, formatted string, loss_spans array<struct<begin:long,end:long>>")
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
