@@ -101,3 +101,17 @@ def test_mixed_rows_are_dealt_by_shard(spark, make_docs, partitions):
         got.setdefault(r["p"] // pieces, []).append(r["doc_id"])
     assert {s: sorted(x) for s, x in got.items()} == {s: sorted(x) for s, x in want.items()}
     assert all(x != sorted(x) for x in got.values() if len(set(x)) > 9)
+
+
+def test_rows_without_an_id_are_told_apart(make_docs):
+    """Half of the ids are null, others are repeated: every source is within one document of its target."""
+    rows = [(None if i % 2 else i // 4, f"text {i} " + "w " * (i * 7 % 40), f"s{i % 4 // 2}") for i in range(900)]
+    docs = make_docs(rows)
+    size = {}
+    for _, t, s in rows:
+        size[s] = size.get(s, 0) + len(t.split())
+    taken = dict.fromkeys(size, 0)
+    for r in mixing.mix_rows(docs).collect():
+        taken[r["source"]] += len(r["text"].split())
+    assert all(abs(taken[s] - t) <= 42 for s, t in targets(size).items())
+    assert sum(r["taken"] for r in mixing.mix_report(docs).collect()) == sum(taken.values())

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (DataFrame functions only).
 
-Every source is cut into about sqrt(documents / sources) / 4 blocks by a hash of the document id, so neither the number of blocks that one
+Every source is cut into about sqrt(documents / sources) / 4 blocks by a hash of the document's id and text, so neither the number of blocks that one
 task ranks nor the number of documents in a block exceeds the order of sqrt(documents * sources), whatever one source holds.
 A source's target fixes its quota of blocks: whole passes over it, then a prefix of its permuted blocks, the last
 of them cut between two documents. The quotas are split down a binary tree over the output shards: a node with t
@@ -8,8 +8,8 @@ blocks gives its left child a fixed number of them, and which sources they come
 hypergeometric draw (an urn emptied one block at a time with hashed, so repeatable, uniforms). A leaf owns disjoint
 ranges of permuted blocks, whose documents are shuffled locally.
 
-Defined results: null text has size 0; a null source is a source of its own, last in order; rows that share a
-document id (null included) fall into one block and one position, so they are taken together; sources without words have target 0
+Defined results: null text has size 0; a very long text is one document, hashed and counted inside JVM code; a null source is a source of its own, last in order; rows
+that share a document id (null included) are told apart by their texts, and only rows equal in id, text and source are taken together; sources without words have target 0
 and no document of theirs is taken; an empty table gives an empty mix; extra columns are kept by ``mix_rows``.
 """
 
@@ -27,8 +27,12 @@ SRC, SHARDS = ["__null", "__src"], 16
 TWO53 = float(1 << 53)
 
 
-def _keyed(docs: DataFrame, blocks: int, id_col: str, source_col: str, seed: int) -> DataFrame:
-    doc = F.col(f"`{id_col}`")
+def mark(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+
+
+def _keyed(docs: DataFrame, blocks: int, doc: Column, source_col: str, seed: int) -> DataFrame:
+    """doc: what tells documents apart."""
     return docs.withColumns({
         "__null": F.col(f"`{source_col}`").isNull(),
         "__src": F.coalesce(F.col(f"`{source_col}`"), F.lit("")),
@@ -87,12 +91,12 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 def plan_mix(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, shards: int = SHARDS, seed: int = 17,
-             id_col: str = "doc_id", source_col: str = "source", size_col: str = "size") -> tuple[DataFrame, int]:
+             mark_col: str = "mark", source_col: str = "source", size_col: str = "size") -> tuple[DataFrame, int]:
     """One row per (source, block): source_size, target, the shards of its passes, and, in the block where a source's
     quota ends, the last document key of the final pass and the few keys beyond it that fill the rest of the quota. Also the number of blocks."""
     seen = sized.agg(F.count("*").alias("n"), F.approx_count_distinct(F.coalesce(F.col(f"`{source_col}`"), F.lit(""))).alias("sources")).first()
     blocks = max(1, math.ceil(math.sqrt(seen["n"] / max(1, seen["sources"])) / 4))
-    rows = _keyed(sized, blocks, id_col, source_col, seed).select(*SRC, "__block", "__key", F.col(f"`{size_col}`").alias("__size"))
+    rows = _keyed(sized, blocks, F.col(f"`{mark_col}`"), source_col, seed).select(*SRC, "__block", "__key", F.col(f"`{size_col}`").alias("__size"))
     block = rows.groupBy(*SRC, "__block").agg(F.sum("__size").alias("__words"))
     block = stash(block, "mix-blocks")
     targets = source_targets(block.groupBy(*SRC).agg(F.sum("__words").alias("source_size")), weights, max_epochs)
@@ -142,15 +146,16 @@ def plan_mix(sized: DataFrame, *, weights: tuple[int, ...] = (1, 2, 3), max_epoc
     return stash(out, "mix-shards"), blocks
 
 
-def assign(docs: DataFrame, plan: DataFrame, blocks: int, *, seed: int = 17, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def assign(docs: DataFrame, plan: DataFrame, blocks: int, doc: Column, *, seed: int = 17, source_col: str = "source") -> DataFrame:
     """docs with __copies (the shards that get the document, one entry a copy), source_size and target."""
-    out = _keyed(docs, blocks, id_col, source_col, seed).join(plan, [*SRC, "__block"])
+    out = _keyed(docs, blocks, doc, source_col, seed).join(plan, [*SRC, "__block"])
     beyond = F.col("__edge") & (F.col("__cut").isNull() | (F.col("__key") > F.col("__cut"))) & ~F.coalesce(F.array_contains("__extra", F.col("__key")), F.lit(False))
     return out.withColumn("__copies", F.when(beyond, F.slice("__copies", F.lit(1), F.col("__full"))).otherwise(F.col("__copies")))
 
 
 def sized_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    return stash(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size")), "mix-sizes")
+    columns = [F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size"), mark(id_col, text_col).alias("mark")]
+    return stash(docs.select(*columns), "mix-sizes")
 
 
 def mix_rows(docs: DataFrame, *, shards: int = SHARDS, **options) -> DataFrame:
@@ -158,12 +163,11 @@ def mix_rows(docs: DataFrame, *, shards: int = SHARDS, **options) -> DataFrame:
     as many as fill the session's shuffle partitions, over which its rows are shuffled as a whole."""
     names = docs.columns
     plan, blocks = plan_mix(sized_documents(docs), shards=shards, **options)
-    out = assign(docs, plan, blocks)
+    out = assign(docs, plan, blocks, mark("doc_id", "text"))
     out = out.select(*[F.col(f"`{c}`") for c in names], F.posexplode("__copies").alias("__copy", "__shard"))
-    out = out.withColumn("__place", F.xxhash64(F.lit(29), F.col("`doc_id`"), "__copy"))
+    out = out.withColumn("__place", F.xxhash64(F.lit(29), mark("doc_id", "text"), "__copy"))
     pieces = max(1, -(-int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // shards))
-    # rows without an id or under one id differ by text, or one piece would take them all
-    piece = F.pmod(F.xxhash64(F.lit(31), "__place", F.col("`text`")), F.lit(pieces))
+    piece = F.pmod(F.xxhash64(F.lit(31), "__place"), F.lit(pieces))
     out = out.repartitionById(shards * pieces, (F.col("__shard") * pieces + piece).cast("int"))
     return out.sortWithinPartitions("__place").select(*[F.col(f"`{c}`") for c in names])
 
@@ -172,5 +176,5 @@ def mix_report(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, shards."""
     sized = sized_documents(docs)
     plan, blocks = plan_mix(sized, **options)
-    out = assign(sized, plan, blocks)
+    out = assign(sized, plan, blocks, F.col("mark"))
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("__copies")).alias("taken"), F.col("__copies").alias("shards"))
