@@ -59,7 +59,7 @@ def test_windows_keep_to_the_budget(shape, budget, history):
     size = lambda t: count(t[0]) + count(t[1]) + chat.MARKS
     system = turns[:1] if turns[0][0] == "system" else []
     seen, loss = [], []
-    for number, n, first, tokens, text, spans in chat.windows(iter(turns), budget, history, count):
+    for number, n, first, tokens, text, spans in chat.windows(((*t, size(t)) for t in turns), budget, history):
         got = chat.parse(text)
         context, own = got[:n], got[n:]
         assert first == len(seen) and tokens == sum(map(size, got)) and own

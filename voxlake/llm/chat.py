@@ -19,13 +19,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.packing import default_tokenizer, encoder_for
+from voxlake.llm.packing import Encoder, default_tokenizer, encoder_for
 from voxlake.session import text_batches
 
 BUDGET, HISTORY, MARKS = 1024, 2, 3
@@ -47,9 +47,15 @@ def unescape(text: str) -> str:
 class Turn:
     """A turn, escaped, with its place in the conversation and its tokens."""
 
-    def __init__(self, index: int, role: str, text: str, count: Callable[[str], int]):
-        self.index, self.role, self.head, self.body = index, role, escape(role), escape(text)
-        self.tokens = count(self.head) + count(self.body) + MARKS
+    def __init__(self, index: int, role: str, text: str, tokens: int):
+        self.index, self.role, self.head, self.body, self.tokens = index, role, escape(role), escape(text), tokens
+
+
+def turn_tokens(encoder: Encoder, roles: list[str], texts: list[str]) -> list[int]:
+    """Tokens of turns, their chunks learnt many at a time."""
+    words = [encoder.split(escape(role)) + encoder.split(escape(text)) for role, text in zip(roles, texts, strict=True)]
+    encoder.learn(words)
+    return [len(encoder.ids(w)) // 4 - 1 + MARKS for w in words]  # less the end id
 
 
 def render(context: list[Turn], own: list[Turn]) -> tuple[str, list[tuple[int, int]]]:
@@ -63,14 +69,14 @@ def render(context: list[Turn], own: list[Turn]) -> tuple[str, list[tuple[int, i
     return "".join(parts), spans
 
 
-def windows(turns: Iterator[tuple[str, str]], budget: int, history: int, count: Callable[[str], int]) -> Iterator[tuple[int, int, int, int, str, list[tuple[int, int]]]]:
-    """(window, turns of context, first own turn, tokens, formatted, spans under the mask) for one conversation's (role, text)."""
+def windows(turns: Iterator[tuple[str, str, int]], budget: int, history: int) -> Iterator[tuple[int, int, int, int, str, list[tuple[int, int]]]]:
+    """(window, turns of context, first own turn, tokens, formatted, spans under the mask) for one conversation's (role, text, tokens)."""
     number, total = 0, 0
     system: list[Turn] = []
     context: list[Turn] = []
     own: list[Turn] = []
-    for i, (role, text) in enumerate(turns):
-        t = Turn(i, role, text, count)
+    for i, (role, text, tokens) in enumerate(turns):
+        t = Turn(i, role, text, tokens)
         if own and total + t.tokens > budget:
             yield number, len(context), own[0].index, total, *render(context, own)
             number += 1
@@ -129,14 +135,14 @@ def format_windows(conversations: DataFrame, budget: int = BUDGET, history: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(path)
 
-        def count(text: str) -> int:
-            words = encoder.split(text)
-            encoder.learn([words])
-            return len(encoder.ids(words)) // 4 - 1  # less the end id
+        def rows() -> Iterator[tuple]:
+            for b in batches:
+                conv, roles, texts = (b.column(c).to_pylist() for c in ("conv_id", "role", "text"))
+                yield from zip(conv, roles, texts, turn_tokens(encoder, roles, texts), strict=True)
 
         def out() -> Iterator[tuple]:
-            for conv, turns in _by_key(_groups(batches, ["conv_id", "role", "text"])):
-                for w, n, first, tokens, text, spans in windows(turns, budget, history, count):
+            for conv, turns in _by_key(rows()):
+                for w, n, first, tokens, text, spans in windows(turns, budget, history):
                     yield conv, w, n, first, tokens, text, [{"begin": a, "end": b} for a, b in spans]
 
         return _batches(out(), schema)
