@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -75,11 +76,25 @@ def drop_stashes(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def drop_part(df: DataFrame, part: str) -> None:
+    """Deletes the folders part (column=value) of a table that stash() has written by that column; the caller reads them no more."""
+    spark = df.sparkSession
+    for folder in {f[: f.index(part) + len(part)] for f in df.inputFiles() if f"/{part}/" in f}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Has the driver's JVM collect plans that are done, on which Spark deletes their shuffle files; it does so by itself every half hour only."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def stash(df: DataFrame, label: str, compression: str | None = None, by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and returns the written table: lineage ends here, so a lost executor costs
     a re-read, and values such as row marks are fixed for every later use."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _STASHES.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
