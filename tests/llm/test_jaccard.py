@@ -1,7 +1,11 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from voxlake.llm import jaccard
+
 from .conftest import prose
 
 
@@ -66,8 +70,45 @@ def test_empty_table(make_docs, odd_rows):
     assert jaccard.jaccard_join(make_docs(odd_rows).limit(0)).count() == 0
 
 
-def test_depth_follows_the_recall():
-    assert jaccard.depth_for(0.9995, 16, 6, 0.8) == 4 and jaccard.depth_for(0.5, 16, 6, 0.8) == 6 and jaccard.depth_for(1.0, 1, 6, 0.8) == 1
+def test_trie_nodes_are_the_shared_prefixes():
+    rng = np.random.default_rng(2)
+    rows = sorted((int(t), tuple(int(x) for x in p), i) for i, (t, p) in enumerate(zip(rng.integers(0, 2, 300), rng.integers(0, 3, (300, 4)), strict=True)))
+    schema = pa.schema([("tree", pa.int16()), ("path", pa.binary()), ("id", pa.int64())])
+    for size in (1, 7, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int16()), pa.array([np.array(r[1], ">u2").tobytes() for r in part], pa.binary()), pa.array([r[2] for r in part])], schema=schema) for part in (rows[k : k + size] for k in range(0, 300, size))]
+        got = {}
+        for b in jaccard.trie_nodes(4, 2)(iter(batches)):
+            for d, node, _, i in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                got.setdefault((d, node), set()).add(i)
+        want = {}
+        for t, path, i in rows:
+            for d in (2, 3, 4):
+                want.setdefault((d, t, path[:d]), set()).add(i)
+        assert sorted((k[0], sorted(v)) for k, v in got.items()) == sorted((k[0], sorted(v)) for k, v in want.items() if len(v) > 1)
+
+
+def planted(rng, share, n=400):
+    """Pairs of texts that have about a share of their shingles in common."""
+    rows = []
+    for i in range(n):
+        w = prose(rng, 200, 10**6).split()
+        v = list(w)
+        cut = round(196 * (1 - 2 * share / (1 + share)))
+        v[:cut] = prose(rng, cut, 10**6).split()
+        rows += [(2 * i, " ".join(w), "s"), (2 * i + 1, " ".join(v), "s")]
+    return rows
+
+
+def test_prefixes_shorten_until_the_recall(make_docs, monkeypatch):
+    rng = random.Random(3)
+    rounds = []
+    original = jaccard.found_share
+    monkeypatch.setattr(jaccard, "found_share", lambda links, width, trees, prefix, threshold: rounds.append(prefix) or original(links, width, trees, prefix, threshold))
+    for share, last in ((0.97, 6), (0.82, 4)):
+        rounds.clear()
+        got = jaccard.jaccard_join(make_docs(planted(rng, share))).collect()
+        assert sum(r["n_links"] == 1 for r in got) >= 0.995 * 800
+        assert rounds == list(range(6, rounds[-1] - 1, -1)) and (rounds[-1] == last if share > 0.9 else rounds[-1] <= last)
 
 
 def test_rows_of_one_id_are_decided_each(make_docs):

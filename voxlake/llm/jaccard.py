@@ -1,17 +1,20 @@
-"""N-gram Jaccard join by MinHash LSH bands with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Documents with the same set of shingles (SHINGLE words; a shorter text is one shingle of all its words) are one class with a count, so
-exact copies never meet each other. Each class has ``trees`` signatures of ``depth`` MinHash values.
-The prefix that is matched is fixed beforehand, whatever the data: the longest at which a pair at exactly the threshold shares one in some tree
-with at least the target recall. It is hashed once; classes under one such node are candidates. Inside a node a pair is dropped only if the agreement of all their MinHash
-values is more than five standard deviations below the threshold. Surviving pairs give candidate groups (connected components), and inside
+exact copies never meet each other. Each class has ``trees`` signatures of ``depth`` MinHash values, its paths in as many prefix tries. Tries are sorted lists: the paths of a tree, dealt by
+their first LEAST values and sorted, where neighbours' common prefixes tell the nodes.
+
+Matching starts at whole paths and shortens the prefix by one value a round, so a round compares only classes that part at this node. After each round the recall so far is measured on the
+links found: a link whose values agree in a share s is found in some tree at prefix k with chance 1 - (1 - s**k)**trees, and stands for as many links as the inverse. Rounds stop when the
+links found are the target share of those that they stand for, or at LEAST values (where a pair at the threshold is found with chance 0.99999). Inside a node a pair is dropped only if the agreement of all
+their MinHash values is more than five standard deviations below the threshold. Surviving pairs give candidate groups (connected components), and inside
 those every pair is verified exactly on its shingle sets.
 
 Nodes and candidate groups of more than TILE members meet in tiles, two chunks at a time, and a tile returns counts and a spanning
 forest only, never its pairs. Classes are known by a 64-bit hash of their shingles.
 
 Defined results: null or wordless texts link with nothing; a null id links with nothing and has no class; rows that repeat an id are
-separate copies; ties go to the smaller id; an empty table gives no rows; other columns are not read.
+separate copies; ties go to the smaller id; a very long text is one set of shingles, held by one task at a time; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +35,7 @@ from voxlake.llm.tiles import deal_tiles, forest, groups, longs
 from voxlake.operators.components import connected_components
 from voxlake.session import stash, text_batches
 
-SHINGLE, THRESHOLD, RECALL, TREES, DEPTH, NODE_TILE, TILE = 5, 0.8, 0.9995, 16, 6, 8192, 1024
+SHINGLE, THRESHOLD, RECALL, TREES, DEPTH, LEAST, NODE_TILE, TILE = 5, 0.8, 0.9999, 16, 6, 3, 8192, 1024
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,14 +82,6 @@ def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def depth_for(recall: float, trees: int, depth: int, threshold: float) -> int:
-    """The longest prefix at which a pair at the threshold is found with the target recall (1 if none is)."""
-    k = depth
-    while k > 1 and 1 - (1 - threshold**k) ** trees < recall:
-        k -= 1
-    return k
-
-
 def sketch(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     """doc_id, class (16 bytes; null without words or id), sig (trees * depth values of 4 bytes)."""
     rng = np.random.default_rng(5)
@@ -108,51 +103,91 @@ def sketch(docs: DataFrame, trees: int, depth: int) -> DataFrame:
     return docs.select(F.col("`doc_id`").cast("long").alias("doc_id"), F.col("`text`").alias("text")).mapInArrow(run, "doc_id long, class binary, sig binary")
 
 
-def crowded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (node, id) in order: members of nodes with more than one, with the number of chunks of their node."""
+def tree_paths(trees: int, depth: int) -> object:
+    """(id, sig) to (tree, path, id): the low 16 bits of a tree's values, big end first, so that bytes sort as values do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u4").reshape(-1, trees, depth).astype(">u2")
+            ids = b.column("id").to_numpy()
+            for t in range(trees):
+                flat = pa.py_buffer(np.ascontiguousarray(sig[:, t]).tobytes())
+                path = pa.Array.from_buffers(pa.binary(2 * depth), len(ids), [None, flat]).cast(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), t, np.int16)), path, pa.array(ids)], ["tree", "path", "id"])
+
+    return run
+
+
+def trie_nodes(depth: int, least: int) -> object:
+    """Sorted (tree, path, id) to (depth, node, child, id): members of nodes that have more than one, at every depth from least on. child tells the members of a node apart by their next value.
+    Only the row before is remembered, however many members a node has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail: tuple | None = None  # the last row, whose common prefix with the next is not known yet
+        shared = 0  # values that the first row at hand has in common with the row before it
+
+        def emit(tree: np.ndarray, path: np.ndarray, ids: np.ndarray, common: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """common[i]: of rows i - 1 and i; one more than rows."""
+            h = tree.astype(np.uint64) + np.uint64(1)
+            prefix = []
+            for k in range(depth):
+                h = mixed(h * _ODD + path[:, k].astype(np.uint64) + np.uint64(1))
+                prefix.append(h.view(np.int64))
+            most = np.maximum(common[:-1], common[1:])
+            for k in range(least, depth + 1):
+                i = np.flatnonzero(most >= k)
+                if len(i):
+                    child = prefix[k][i] if k < depth else ids[i]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), k, np.int16)), pa.array(prefix[k - 1][i]), pa.array(child), pa.array(ids[i])], ["depth", "node", "child", "id"])
 
-    def members(node: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, inverse, count = np.unique(node, return_inverse=True, return_counts=True)
-        some = np.flatnonzero(count[inverse] > 1)
-        chunks = -(-count[inverse[some]] // NODE_TILE)
-        yield from pa.table({"node": node[some], "id": ids[some], "chunks": chunks}).to_batches(max_chunksize=50_000)
+        for b in batches:
+            if not b.num_rows:
+                continue
+            tree, ids = b.column("tree").to_numpy(), b.column("id").to_numpy()
+            path = np.frombuffer(b"".join(b.column("path").to_pylist()), ">u2").reshape(-1, depth)
+            if tail is not None:
+                tree, path, ids = (np.concatenate([x, y]) for x, y in zip(tail, (tree, path, ids), strict=True))
+            same = ((path[1:] == path[:-1]) & (tree[1:] == tree[:-1])[:, None]).cumprod(1).sum(1)
+            if len(ids) > 1:
+                yield from emit(tree[:-1], path[:-1], ids[:-1], np.concatenate([[shared], same]))
+                shared = int(same[-1])
+            tail = tree[-1:], path[-1:], ids[-1:]
+        if tail is not None:
+            yield from emit(*tail, np.array([shared, 0]))
 
-    node = ids = np.empty(0, np.int64)
-    for b in batches:
-        node, ids = np.concatenate([node, b.column("node").to_numpy()]), np.concatenate([ids, b.column("id").to_numpy()])
-        cut = int(np.searchsorted(node, node[-1])) if len(node) else 0  # the last node may go on
-        if cut:
-            yield from members(node[:cut], ids[:cut])
-            node, ids = node[cut:], ids[cut:]
-    yield from members(node, ids)
+    return run
 
 
-def likely(a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
-    return (a == b).sum(axis=-1) >= least
+def found_share(links: DataFrame, width: int, trees: int, prefix: int, threshold: float) -> float:
+    """Links (agreeing values of width) over the links that they stand for at a prefix; of those at the threshold at least."""
+    s = F.col("agree") / width
+    chance = 1 - F.pow(1 - F.pow(s, prefix), trees)
+    r = links.filter(s >= threshold).agg(F.count("*").alias("n"), F.sum(1 / chance).alias("all")).first()  # one row
+    return r["n"] / r["all"] if r["n"] else 0.0
 
 
 def node_links(least: int, width: int) -> object:
-    """Tiles of trie nodes to links between candidates: each row is compared with the rows that are not yet in its group."""
+    """Tiles of trie nodes to links between candidates and the number of their agreeing values: each row is compared with the rows of other children that are not yet in its group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out() -> Iterator[tuple]:
             for (_, u, v), t in groups(batches, ["node", "u", "v"]):
-                ids, side = t.column("id").to_numpy(), t.column("side").to_numpy()
+                ids, side, child = (t.column(c).to_numpy() for c in ("id", "side", "child"))
                 sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, width)
                 root = np.arange(len(ids))
                 for x in range(len(ids)):
                     if u != v and side[x]:
                         continue
-                    others = np.flatnonzero((root != root[x]) & (side == 1)) if u != v else x + 1 + np.flatnonzero(root[x + 1 :] != root[x])
+                    others = np.flatnonzero((root != root[x]) & (side == 1) & (child != child[x])) if u != v else x + 1 + np.flatnonzero((root[x + 1 :] != root[x]) & (child[x + 1 :] != child[x]))
                     for lo in range(0, len(others), 4096):
-                        near = others[lo : lo + 4096][likely(sig[others[lo : lo + 4096]], sig[x], least)]
-                        for y in near:
+                        agree = (sig[others[lo : lo + 4096]] == sig[x]).sum(axis=-1)
+                        for y, n in zip(others[lo : lo + 4096][agree >= least], agree[agree >= least], strict=True):
                             if root[y] != root[x]:
-                                yield int(ids[x]), int(ids[y])
+                                yield int(ids[x]), int(ids[y]), int(n)
                                 old = root[y]
                                 root[root == old] = root[x]
 
-        return longs(out(), ["a", "b"])
+        return longs(out(), ["a", "b", "agree"])
 
     return run
 
@@ -221,6 +256,30 @@ def jaccard_join(docs: DataFrame, *, threshold: float = THRESHOLD, recall: float
     return linked(docs, threshold, recall, trees, depth).drop("class", "first")
 
 
+def forest_links(sigs: DataFrame, threshold: float, recall: float, trees: int, depth: int) -> DataFrame:
+    """(a, b, agree) between candidates: links that connect what matches in the tries down to the prefix at which the target recall is measured."""
+    width = trees * depth
+    shortest = min(LEAST, depth)
+    paths = sigs.mapInArrow(tree_paths(trees, depth), "tree short, path binary, id long")
+    top = F.substring("path", 1, 2 * shortest)
+    tries = paths.repartition("tree", top).sortWithinPartitions("tree", "path")
+    nodes = stash(tries.mapInArrow(trie_nodes(depth, shortest), "depth short, node long, child long, id long"), "jaccard-nodes", by="depth")
+    least = math.ceil(width * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / width)))
+    low_bytes = F.concat(*[F.substring("sig", 4 * k + 1, 1) for k in range(width)])
+    found = None
+    for prefix in range(depth, shortest - 1, -1):
+        here = nodes.filter(F.col("depth") == prefix)
+        sizes = here.groupBy("node").agg(F.count("*").alias("n"), F.min("child").alias("x"), F.max("child").alias("y")).filter("n > 1 and x <> y")  # others have the members of their one child
+        members = here.join(sizes.select("node", F.ceil(F.col("n") / NODE_TILE).alias("chunks")), "node").select("node", "child", "id", "chunks")
+        few = sigs.join(members.select("id").distinct(), "id", "left_semi").select("id", low_bytes.alias("sig"))
+        dealt = deal_tiles(members.join(few, "id"), ["node"], "chunks", "id", ["child", "sig"])
+        links = stash(dealt.mapInArrow(node_links(least, width), "a long, b long, agree long"), "jaccard-matches")
+        found = links if found is None else found.unionByName(links)
+        if found_share(found, width, trees, prefix, threshold) >= recall:
+            break
+    return found
+
+
 def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
     """What jaccard_join gives, with the row's class (null without words or id) and whether it is its group's first: of the classes that have the least id, the least."""
     text_batches(docs.sparkSession)
@@ -230,16 +289,7 @@ def linked(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL
     first = sketched.join(classes.select("class", F.col("rep").alias("doc_id")), ["class", "doc_id"], "left_semi").dropDuplicates(["class"])
     sigs = stash(first.select(F.xxhash64("class").alias("id"), "sig"), "jaccard-signatures")
 
-    prefix = depth_for(recall, trees, depth, threshold)
-    paths = F.explode(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.xxhash64(t, F.substring(F.col("sig"), t * (4 * depth) + 1, F.lit(4 * prefix)))))
-    nodes = sigs.select(paths.alias("node"), "id").repartition("node").sortWithinPartitions("node")
-    members = stash(nodes.mapInArrow(crowded, "node long, id long, chunks long"), "jaccard-nodes")
-    width = trees * depth
-    least = math.ceil(width * (threshold - 5 * math.sqrt(threshold * (1 - threshold) / width)))
-    low_bytes = F.concat(*[F.substring("sig", 4 * k + 1, 1) for k in range(width)])
-    dealt = deal_tiles(members.join(sigs.join(members.select("id").distinct(), "id", "left_semi").select("id", low_bytes.alias("sig")), "id"), ["node"], "chunks", "id", ["sig"])
-    candidates = connected_components(dealt.mapInArrow(node_links(least, width), "a long, b long"))
-    candidates = stash(candidates, "jaccard-candidates")
+    candidates = stash(connected_components(forest_links(sigs, threshold, recall, trees, depth).select("a", "b")), "jaccard-candidates")
 
     sizes = candidates.groupBy("component").agg(F.ceil(F.count("*") / TILE).alias("chunks"))
     grouped = stash(candidates.withColumnRenamed("node", "id").join(sizes, "component").join(classes, "id"), "jaccard-candidates")
