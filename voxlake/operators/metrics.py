@@ -240,3 +240,9 @@ def score_lines(scores: DataFrame) -> DataFrame:
     total = scores.agg((100.0 * F.sum(F.col("miss") + F.col("fa") + F.col("error")) / F.sum("scored")).alias("der"), F.avg("jer").alias("jer"))
     rows = scores.select("file_id", "der", "jer").unionByName(total.select(F.lit(name).alias("file_id"), "der", "jer"))
     return rows.select("file_id", F.format_string("%-12s %8.2f %8.2f", "file_id", "der", "jer").alias("line"))
+
+
+def type_confusion(pairs: DataFrame) -> DataFrame:
+    """(ref_type, sys_type, pairs, ms, percent): confusion of speaker types by number of speaker pairs and by their time, with the share of the reference type's time. pairs: ref_type, sys_type, ms."""
+    t = pairs.groupBy("ref_type", "sys_type").agg(F.count("*").alias("pairs"), F.sum("ms").alias("ms"))
+    return t.withColumn("percent", F.round(100.0 * F.col("ms") / F.sum("ms").over(Window.partitionBy("ref_type")), 4))

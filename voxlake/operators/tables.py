@@ -244,6 +244,29 @@ def with_rank(rows: DataFrame, order: str) -> DataFrame:
     return running_sum(slices(rows, order), F.lit(1), "__rank", order).drop("__slice")
 
 
+def out_of_order(rows: DataFrame, place: str, key: str) -> DataFrame:
+    """Rows, in order of place (unique), whose key is below the one before."""
+    t = previous(slices(rows, place), key, "__was", place)
+    return t.filter(F.col(key) < F.col("__was")).drop("__was", "__slice")
+
+
+def repeated_keys(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter("__n > 1").drop("__n")
+
+
+def position_phones(word: Column) -> Column:
+    """Letters of a word with the mark of their place: begin, inside, end, or single."""
+    n = F.length(word)
+    mark = lambda i: F.when(n == 1, "_S").when(i == 1, "_B").when(i == n, "_E").otherwise("_I")
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(word.substr(i, F.lit(1)), mark(i)))
+
+
+def position_free(phones: DataFrame) -> DataFrame:
+    """(id, phone) to (id, phone, base_id, base): marks of place taken off, bases numbered from 0 by their first phone."""
+    t = phones.withColumn("base", F.regexp_replace("phone", "_[BESI]$", ""))
+    return t.join(dense_ids(t, "base", "id").withColumnRenamed("id", "base_id"), "base").select("id", "phone", "base_id", "base")
+
+
 def shuffled(rows: DataFrame, key: str, seed: int) -> DataFrame:
     """Adds place (from 0): rows in order of a digest of seed and key, compared as text. The same order in every run and layout."""
     t = rows.withColumn("__draw", F.md5(F.concat(F.lit(f"{seed}-"), F.col(key).cast("string"))))

@@ -149,12 +149,6 @@ def d16_der_rollup(spark, d):
     return t.select(F.coalesce("decade", F.lit("ALL")).alias("decade"), F.coalesce("file_id", F.lit("ALL")).alias("file_id"), "scored", "miss", "fa", "error", M.error_rate().alias("der"))
 
 
-@R.add(f"{FULL}, {MATRIX} SELECT ref, " + ", ".join(f"CAST(coalesce(sum(ms) FILTER (sys = 'spk{k}'), 0) AS BIGINT) AS spk{k}" for k in range(5)) + " FROM mat GROUP BY ref")
-def d17_type_confusion(spark, d):
-    names = [f"spk{k}" for k in range(5)]
-    return _matrix(spark, d).groupBy("ref").pivot("sys", names).agg(F.sum("ms")).na.fill(0).select("ref", *names)
-
-
 _TOTALS = "ra AS (SELECT file_id, speaker_id AS ref, sum(offset_ms - onset_ms) AS a FROM merged_ref GROUP BY 1, 2), sa AS (SELECT file_id, speaker_id AS sys, sum(offset_ms - onset_ms) AS b FROM merged_sys GROUP BY 1, 2)"
 
 
@@ -228,3 +222,13 @@ def d28_word_confusion(spark, d):
 def d29_best_run(spark, d):
     r = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("run")).agg(F.avg("l_discount").alias("wer"))
     return r.agg(F.min_by("run", F.struct("wer", "run")).alias("run"), F.round(F.min("wer"), 6).alias("wer"))
+
+
+_TYPED = "CASE WHEN {0} IN ('click', 'spk0', 'spk3') THEN 'adult_female' WHEN {0} IN ('error', 'spk1') THEN 'child' ELSE 'adult_male' END"
+
+
+@R.add(f"{FULL}, {MATRIX}, t AS (SELECT {_TYPED.format('ref')} AS ref_type, {_TYPED.format('sys')} AS sys_type, ms FROM mat) SELECT ref_type, sys_type, count(*) AS pairs, CAST(sum(ms) AS BIGINT) AS ms, round(100.0::DOUBLE * sum(ms) / sum(sum(ms)) OVER (PARTITION BY ref_type), 4) AS percent FROM t GROUP BY 1, 2")
+def d17_type_confusion(spark, d):
+    """Types of reference speakers against those of the system speakers that overlap them, by pairs of speakers and by time."""
+    t = _matrix(spark, d).select(F.expr(_TYPED.format("ref")).alias("ref_type"), F.expr(_TYPED.format("sys")).alias("sys_type"), "ms")
+    return M.type_confusion(t)

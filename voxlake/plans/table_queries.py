@@ -154,14 +154,6 @@ def a18_initial_final(spark, d):
     return t.select("token", F.regexp_extract(F.upper("token"), _PIN, 1).alias("initial"), F.regexp_extract(F.upper("token"), _PIN, 2).alias("final"))
 
 
-@R.add(f"WITH {TOKENS} SELECT DISTINCT token, CASE WHEN length(token) = 1 THEN concat(token, '_S') ELSE concat(substr(token, 1, 1), '_B', repeat(' x_I', length(token) - 2), ' ', substr(token, length(token), 1), '_E') END AS phones FROM tokens WHERE regexp_matches(token, '^[a-z]+$')")
-def a19_position_phones(spark, d):
-    t = T.tokens_of(_lines(spark, d), "id", "text").filter(F.col("token").rlike("^[a-z]+$")).select("token").distinct()
-    n = F.length("token")
-    many = F.concat(F.substring("token", 1, 1), F.lit("_B"), F.repeat(F.lit(" x_I"), n - 2), F.lit(" "), F.col("token").substr(n, F.lit(1)), F.lit("_E"))
-    return t.select("token", F.when(n == 1, F.concat("token", F.lit("_S"))).otherwise(many).alias("phones"))
-
-
 @R.add("SELECT o_custkey AS spk, string_agg(CAST(o_orderkey AS STRING), ' ' ORDER BY o_orderkey) AS utts FROM orders GROUP BY 1")
 def a22_spk2utt(spark, d):
     t = T.group_list(view(spark, d, "utt2spk"), "spk", "utt", "utt")
@@ -266,12 +258,6 @@ def a38_restrict_together(spark, d):
     return T.restrict_together({"documents": (docs, "doc_id"), "labels": (labels, "doc_id")})["documents"].select("doc_id", "lang")
 
 
-@R.add("SELECT 'no orders' AS check, CAST(c_custkey AS STRING) AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT 'negative', CAST(c_custkey AS STRING) FROM customer WHERE c_acctbal < 0")
-def a39_validate(spark, d):
-    c = table(spark, d, "customer")
-    return T.violations(("no orders", c.join(table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti"), "c_custkey"), ("negative", c.filter("c_acctbal < 0"), "c_custkey"))
-
-
 @R.add("SELECT doc_id, CASE WHEN contains(text, chr(13)) THEN 'carriage return' WHEN regexp_matches(text, '[\\x{00a0}\\x{2000}-\\x{200b}\\x{3000}]') THEN 'odd blank' WHEN regexp_matches(text, '^\\s|\\s$') THEN 'outer blank' WHEN regexp_matches(text, '[<>#]') THEN 'reserved symbol' END AS fault FROM documents")
 def a40_text_faults(spark, d):
     return table(spark, d, "documents").select("doc_id", T.text_faults(F.col("text")).alias("fault"))
@@ -288,12 +274,6 @@ def a42_set_checks(spark, d):
     return a.intersect(b).select(F.lit("both").alias("part"), "doc_id").unionByName(a.subtract(b).select(F.lit("only documents").alias("part"), "doc_id"))
 
 
-@R.add("SELECT p_partkey, CASE WHEN p_size <= 0 THEN 'size' WHEN NOT regexp_matches(p_brand, '^[A-Za-z]+#[0-9]+$') THEN 'brand' WHEN trim(p_name) = '' THEN 'name' END AS fault FROM part")
-def a43_validate_lexicon(spark, d):
-    f = F.when(F.col("p_size") <= 0, "size").when(~F.col("p_brand").rlike("^[A-Za-z]+#[0-9]+$"), "brand").when(F.trim("p_name") == "", "name")
-    return table(spark, d, "part").select("p_partkey", f.alias("fault"))
-
-
 @R.add("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100")
 def a45_first_n(spark, d):
     return T.first_n(table(spark, d, "orders").select("o_orderkey"), 100, "o_orderkey")
@@ -352,3 +332,56 @@ def a60_shift_features(spark, d):
 @R.add("SELECT vec_id, round(list_sum(list_transform(embedding[3:6], lambda x: CAST(x AS DOUBLE))), 5) AS s FROM embeddings")
 def a61_select_columns(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(F.aggregate(F.slice("embedding", 3, 4), F.lit(0.0), lambda a, x: a + x), 5).alias("s"))
+
+
+_PHONES = "list_transform(range(1, length(token) + 1), lambda i: concat(substr(token, i, 1), CASE WHEN length(token) = 1 THEN '_S' WHEN i = 1 THEN '_B' WHEN i = length(token) THEN '_E' ELSE '_I' END))"
+_SPELT = f"WITH {TOKENS}, sp AS (SELECT DISTINCT token, {_PHONES} AS phones FROM tokens WHERE regexp_matches(token, '^[a-z]+$'))"
+
+
+def _spelt(spark, d):
+    t = T.tokens_of(_lines(spark, d), "id", "text").filter(F.col("token").rlike("^[a-z]+$")).select("token").distinct()
+    return t.select("token", T.position_phones(F.col("token")).alias("phones"))
+
+
+@R.add(f"{_SPELT} SELECT token, array_to_string(phones, ' ') AS phones FROM sp")
+def a19_position_phones(spark, d):
+    return _spelt(spark, d).select("token", F.array_join("phones", " ").alias("phones"))
+
+
+@R.add(f"{_SPELT}, u AS (SELECT DISTINCT unnest(phones) AS phone FROM sp), p AS (SELECT row_number() OVER (ORDER BY phone) - 1 AS id, phone, regexp_replace(phone, '_[BESI]$', '') AS base FROM u), b AS (SELECT base, row_number() OVER (ORDER BY min(id)) - 1 AS base_id FROM p GROUP BY 1) SELECT id, phone, base_id, base FROM p JOIN b USING (base)")
+def a19_position_map(spark, d):
+    u = _spelt(spark, d).select(F.explode("phones").alias("phone")).distinct()
+    return T.position_free(T.with_rank(u, "phone").select(F.col("__rank").cast("long").alias("id"), "phone"))
+
+
+@R.add("""WITH o AS (SELECT event_id, ts, lag(ts) OVER (ORDER BY event_id) AS was FROM events) SELECT 'no orders' AS check, CAST(c_custkey AS STRING) AS key FROM customer ANTI JOIN orders ON o_custkey = c_custkey
+ UNION ALL SELECT 'negative', CAST(c_custkey AS STRING) FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'no customer', CAST(o_orderkey AS STRING) FROM orders ANTI JOIN customer ON o_custkey = c_custkey
+ UNION ALL SELECT 'repeated', CAST(l_orderkey AS STRING) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1) x UNION ALL SELECT 'out of order', CAST(event_id AS STRING) FROM o WHERE ts < was
+ UNION ALL SELECT 'outside its domain', CAST(l_orderkey AS STRING) FROM lineitem WHERE NOT (l_discount BETWEEN 0.01 AND 0.08) UNION ALL SELECT 'unknown type', CAST(event_id AS STRING) FROM events WHERE event_type NOT IN ('click', 'error', 'purchase', 'view')
+ UNION ALL SELECT 'no line', CAST(o_orderkey AS STRING) FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey""")
+def a39_validate(spark, d):
+    """Violations of a directory of tables: keys that the other side lacks, repeats, order and domains of values."""
+    c, o, li, e = (table(spark, d, n) for n in ("customer", "orders", "lineitem", "events"))
+    return T.violations(
+        ("no orders", c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left_anti"), "c_custkey"), ("negative", c.filter("c_acctbal < 0"), "c_custkey"),
+        ("no customer", o.join(c, F.col("o_custkey") == F.col("c_custkey"), "left_anti"), "o_orderkey"), ("repeated", T.repeated_keys(li, "l_orderkey", "l_linenumber"), "l_orderkey"),
+        ("out of order", T.out_of_order(e.select("event_id", "ts"), "event_id", "ts"), "event_id"), ("outside its domain", li.filter("not (l_discount between 0.01 and 0.08)"), "l_orderkey"),
+        ("unknown type", e.filter("event_type not in ('click', 'error', 'purchase', 'view')"), "event_id"), ("no line", o.join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left_anti"), "o_orderkey"),
+    )
+
+
+_LEX = "lex AS (SELECT p_partkey, p_name AS word, trim(replace(p_type, ' ', '_B ')) AS pron FROM part), ph AS (SELECT phone FROM (SELECT unnest(string_split(pron, ' ')) AS phone FROM lex) x GROUP BY 1 HAVING count(*) >= 10)"
+
+
+@R.add(f"""WITH {_LEX} SELECT 'repeated entry' AS check, word AS key FROM lex GROUP BY word, pron HAVING count(*) > 1 UNION ALL SELECT 'no pronunciation', word FROM lex WHERE pron = '' UNION ALL SELECT 'no word', CAST(p_partkey AS STRING) FROM lex WHERE trim(word) = ''
+ UNION ALL SELECT 'reserved symbol', word FROM lex WHERE regexp_matches(word, '[<>#]') UNION ALL SELECT 'unknown phone', x.phone FROM (SELECT DISTINCT unnest(string_split(pron, ' ')) AS phone FROM lex) x ANTI JOIN ph ON ph.phone = x.phone
+ UNION ALL SELECT 'unmarked last phone', word FROM lex WHERE NOT regexp_matches(pron, '_[BESI]$')""")
+def a43_validate_lexicon(spark, d):
+    lex = table(spark, d, "part").select("p_partkey", F.col("p_name").alias("word"), F.trim(F.replace("p_type", F.lit(" "), F.lit("_B "))).alias("pron"))
+    used = lex.select(F.explode(F.split("pron", " ")).alias("phone"))
+    known = used.groupBy("phone").agg(F.count("*").alias("n")).filter("n >= 10").select("phone")
+    return T.violations(
+        ("repeated entry", T.repeated_keys(lex, "word", "pron"), "word"), ("no pronunciation", lex.filter("pron = ''"), "word"), ("no word", lex.filter("trim(word) = ''"), "p_partkey"),
+        ("reserved symbol", lex.filter(F.col("word").rlike("[<>#]")), "word"), ("unknown phone", used.distinct().join(known, "phone", "left_anti"), "phone"),
+        ("unmarked last phone", lex.filter(~F.col("pron").rlike("_[BESI]$")), "word"),
+    )
