@@ -76,10 +76,11 @@ def drop_stashes(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def drop_part(df: DataFrame, part: str) -> None:
-    """Deletes the folders part (column=value) of a table that stash() has written by that column; the caller reads them no more."""
+def drop_part(df: DataFrame, part: str | None = None) -> None:
+    """Deletes the folders part (column=value) of a table that stash() has written by that column, or the whole of one written plainly; the caller reads them no more."""
     spark = df.sparkSession
-    for folder in {f[: f.index(part) + len(part)] for f in df.inputFiles() if f"/{part}/" in f}:
+    files = df.inputFiles()
+    for folder in {f[: f.index(part) + len(part)] for f in files if f"/{part}/" in f} if part else {f.rpartition("/")[0] for f in files}:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
