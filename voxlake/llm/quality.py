@@ -115,13 +115,14 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[Text]:
         yield Text(x.as_py())
 
 
-def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[int]:
+def plan_cascade(docs: DataFrame, rules: list[Rule], text_col: str = "text", sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id") -> list[int]:
     """Order of the rules by estimated rejection per cost; one row per rule and task comes back to the driver."""
     text_batches(docs.sparkSession)
     total = docs.count()
-    some = docs.select(F.col(f"`{text_col}`").alias("text"))
-    if total > sample_rows:
-        some = some.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1e6 * sample_rows / total) + 1)
+    text, own = F.col(f"`{text_col}`"), [F.col(f"`{id_col}`")] if id_col in docs.columns else []
+    some = docs.select(text.alias("text"))
+    if total > sample_rows:  # by id and text: copies of one text are not drawn together
+        some = docs.filter(F.pmod(F.xxhash64(*own, text), F.lit(1_000_000)) < int(1e6 * sample_rows / total) + 1).select(text.alias("text"))
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, cost, out = 0, [0.0] * len(rules), [0] * len(rules)
@@ -147,7 +148,7 @@ def passes(text: Text, ordered: list[Rule]) -> bool:
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
     """One row per document: id, the base measures, base_failed, kept."""
     rules = RULES if rules is None else rules
-    ordered = [rules[i] for i in plan_cascade(docs, rules, text_col)]
+    ordered = [rules[i] for i in plan_cascade(docs, rules, text_col, id_col=id_col)]
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
