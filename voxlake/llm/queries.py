@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import chat, jaccard, mixing, packing, quality, scoring, sharding, substrings, vectors, warc
+from voxlake.llm import chat, jaccard, mixing, packing, pieces, quality, scoring, sharding, substrings, vectors, warc
 from voxlake.session import table
 
 
@@ -55,7 +55,11 @@ def op10_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=8)
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_lm_scores, op3_repeated_substrings, op4_chat_windows, op5_mix_sources, op6_warc_revisits, op7_near_vectors, op8_pack_documents, op9_quality_rules, op10_shard_documents)}
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_lm_scores, op3_repeated_substrings, op4_chat_windows, op5_mix_sources, op6_warc_revisits, op7_near_vectors, op8_pack_documents, op9_quality_rules, op10_shard_documents, op11_sentence_pieces)}
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda t: t <> '')"
 
 _JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
