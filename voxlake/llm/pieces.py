@@ -5,7 +5,7 @@ character, no merge reaches over a chunk's edge, so a text's ids are those of it
 `chunk_table` counts the distinct chunks of all texts (combined in each task before the shuffle) and segments each of the frequent ones once.
 `encode` sends that table to every task, as it has at most TABLE_ROWS rows of at most LONGEST characters, splits each text into chunks and takes the ids
 of each by its position. A chunk beyond the table is segmented by the task that meets it, once while the task remembers it. Texts never leave their task, so nothing is shuffled but
-distinct chunks. `decode` works the same way backwards: ids are cut before each piece that starts with a marker, each distinct run is decoded once.
+distinct chunks. `decode` gives ids to the library a block of rows at a time: measured, that is four times as fast as cutting ids into runs and joining their texts.
 
 Models whose pieces cross markers, or that normalise texts, are applied to whole texts instead (`Pieces.by_chunk` is False).
 
@@ -58,11 +58,8 @@ class Pieces:
         crosses = any(MARK in p.piece.lstrip(MARK) for p in spec.pieces) or any(p.type == kinds.USER_DEFINED for p in spec.pieces)
         self.mark = self.model.piece_to_id(MARK)
         self.by_chunk = bool(plain and not crosses and self.mark != self.model.unk_id() and spec.trainer_spec.model_type in (1, 2))
-        #: Ids of pieces that start with a marker, and of those that decode by their own characters or byte.
-        self.starts = np.array([p.piece.startswith(MARK) for p in spec.pieces])
-        self.ordinary = np.array([p.type in (kinds.NORMAL, kinds.BYTE) for p in spec.pieces])
+        self.size = len(spec.pieces)
         self.ids: dict[str, bytes] = {}
-        self.texts: dict[bytes, str] = {}
 
     split = staticmethod(re.compile(f"{MARK}+[^{MARK}]*").findall)
 
@@ -81,7 +78,7 @@ class Pieces:
         if len(self.ids) > len(table) + REMEMBERED or not self.ids:
             self.ids = dict(table)
         known, once = self.ids, {}
-        new = list(set().union(*parts) - known.keys())
+        new = [c for c in set().union(*parts) if c not in known]
         for c, ids in zip(new, self.segment(new), strict=True):
             (known if len(c) <= LONGEST else once)[c] = ids
         if once:
@@ -89,25 +86,10 @@ class Pieces:
         return [b"".join(map(known.__getitem__, p)) for p in parts]
 
     def decode(self, rows: list[np.ndarray]) -> list[str]:
-        out = []
         for ids in rows:
-            if not len(ids):
-                out.append("")
-            elif ids.min() < 0 or ids.max() >= len(self.starts):
-                raise ValueError(f"id outside the model's {len(self.starts)} pieces")
-            elif not (self.by_chunk and self.starts[ids[0]] and self.ordinary[ids].all()):
-                out.append(self.model.decode(ids.tolist()))
-            else:
-                raw, cuts = ids.astype("<i4").tobytes(), (4 * np.flatnonzero(self.starts[ids])).tolist()
-                keys = [raw[lo:hi] for lo, hi in zip(cuts, [*cuts[1:], len(raw)], strict=True)]
-                if len(self.texts) > REMEMBERED:
-                    self.texts.clear()
-                known, once = self.texts, {}
-                new = list(set(keys) - known.keys())
-                for k, t in zip(new, self.model.decode([[self.mark, *np.frombuffer(k, "<i4").tolist()] for k in new], num_threads=1) if new else [], strict=True):
-                    (known if len(k) <= 4 * LONGEST else once)[k] = t
-                out.append("".join([known[k] if k in known else once[k] for k in keys])[1:])  # the first marker is the model's own
-        return out
+            if len(ids) and (ids.min() < 0 or ids.max() >= self.size):
+                raise ValueError(f"id outside the model's {self.size} pieces")
+        return self.model.decode([ids.tolist() for ids in rows], num_threads=1) if rows else []
 
 
 @cache

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import chat, jaccard, mixing, packing, pieces, quality, scoring, sharding, substrings, vectors, warc
+from voxlake.llm import chat, infill, jaccard, mixing, packing, pieces, quality, scoring, sharding, spelling, substrings, vectors, warc
 from voxlake.session import table
 
 
@@ -59,7 +59,15 @@ def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_lm_scores, op3_repeated_substrings, op4_chat_windows, op5_mix_sources, op6_warc_revisits, op7_near_vectors, op8_pack_documents, op9_quality_rules, op10_shard_documents, op11_sentence_pieces)}
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill_report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_jaccard_join, op2_lm_scores, op3_repeated_substrings, op4_chat_windows, op5_mix_sources, op6_warc_revisits, op7_near_vectors, op8_pack_documents, op9_quality_rules, op10_shard_documents, op11_sentence_pieces, op12_spelling_variants, op13_fill_in_middle)}
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda t: t <> '')"
 
 _JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -98,4 +106,26 @@ _WARC = f"""WITH p AS (SELECT page_id, url, md5(html) AS digest, strlen(html) AS
  CASE WHEN digest = stored THEN source END AS source_page, CASE WHEN digest = stored THEN stored END AS source_digest,
  CASE WHEN digest = stored THEN concat('cache-control: max-age=60', chr(10), 'content-length: ', length, chr(10), 'content-type: text/html', chr(10), 'date: ', page_id + {warc.LAG}, chr(10), 'etag: "', digest, '"') END AS headers FROM a WHERE rn = 1"""
 
-ORACLE = {"op1_jaccard_join": _JACCARD, "op6_warc_revisits": _WARC, "op7_near_vectors": _VECTORS, "op9_quality_rules": _QUALITY}
+_SPELLING = r"""WITH RECURSIVE c(t) AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END))),
+ r AS (SELECT doc_id, x AS run, count(*) AS k FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS x FROM documents) y WHERE length(x) >= 7 GROUP BY 1, 2),
+ b AS (SELECT *, hex(concat(doc_id, ':', run)) AS hx FROM r),
+ h AS (SELECT run, k, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(hx) // 2), lambda i: CAST('0x' || substr(hx, 2 * i + 1, 2) AS BIGINT))), lambda v, z: xor(v >> 8, t[(xor(v, z) & 255) + 1])), 4294967295) AS h FROM b, c),
+ w AS (SELECT CASE WHEN h % 31 = 0 THEN concat(substr(run, 1, h % length(run)), substr(run, h % length(run) + 2)) ELSE run END AS word, k FROM h),
+ n AS (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM w WHERE length(word) >= 7 GROUP BY 1 HAVING sum(k) >= 2),
+ d AS (SELECT word, i, concat(substr(word, 1, i), substr(word, i + 2)) AS s FROM (SELECT word, unnest(range(length(word))) AS i FROM n) z),
+ p AS (SELECT a.word AS a, b.word AS b FROM d a JOIN d b ON a.i = b.i AND a.s = b.s AND a.word <> b.word UNION SELECT word, s FROM d WHERE s IN (SELECT word FROM n) UNION SELECT s, word FROM d WHERE s IN (SELECT word FROM n)),
+ g AS (SELECT a AS word, count(*) AS n_near, max(n.n) AS form_n FROM p JOIN n ON n.word = p.b GROUP BY 1),
+ f AS (SELECT p.a AS word, min(p.b) AS form, any_value(g.form_n) AS form_n FROM p JOIN n x ON x.word = p.a JOIN n y ON y.word = p.b JOIN g ON g.word = p.a WHERE y.n = g.form_n AND y.n >= 10 * x.n GROUP BY 1),
+ l AS (SELECT word, word AS root, 0 AS hops FROM n UNION ALL SELECT l.word, f.form, hops + 1 FROM l JOIN f ON f.word = l.root),
+ z AS (SELECT word, arg_max(root, hops) AS root FROM l GROUP BY 1)
+ SELECT n.word, n.n, coalesce(g.n_near, 0) AS n_near, f.form, f.form_n, z.root FROM n JOIN z USING (word) LEFT JOIN g USING (word) LEFT JOIN f USING (word)"""
+
+_INFILL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(concat('7:', doc_id)) AS hx FROM documents),
+ l AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS ln FROM d),
+ h AS (SELECT *, CAST(len(ln) AS BIGINT) AS n, CAST('0x' || substr(hx, 1, 8) AS BIGINT) % (len(ln) + 1) AS x, CAST('0x' || substr(hx, 9, 8) AS BIGINT) % (len(ln) + 1) AS y, CAST('0x' || substr(hx, 25, 8) AS BIGINT) % 100 AS z FROM l),
+ p AS (SELECT doc_id, text, n, array_to_string(ln[:least(x, y)], '') AS p, array_to_string(ln[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(ln[greatest(x, y) + 1:], '') AS s,
+ CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') THEN 'plain' WHEN z < 50 THEN 'spm' ELSE 'psm' END AS form FROM h)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+ sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN concat('<P>', p, '<S>', s, '<M>', m) ELSE concat('<S>', s, '<P>', p, '<M>', m) END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+ORACLE = {"op1_jaccard_join": _JACCARD, "op6_warc_revisits": _WARC, "op7_near_vectors": _VECTORS, "op9_quality_rules": _QUALITY, "op12_spelling_variants": _SPELLING, "op13_fill_in_middle": _INFILL}
