@@ -52,14 +52,6 @@ def vectors(spark, n=240, seed=2, spread=0.35):
     return spark.createDataFrame(rows, "reco string, node long, label int, embedding array<double>")
 
 
-def test_approximate_neighbours_have_the_recall(spark):
-    x = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").selectExpr("'r' as reco", "vec_id as node", "cast(embedding as array<double>) as embedding")
-    for t in (x, vectors(spark, 2000)):
-        exact = {(r["node"], r["nbr"]) for r in G.knn(t, 10).collect()}
-        found = {(r["node"], r["nbr"]): r["dist"] for r in G.approximate_knn(t, 10).collect()}
-        assert len(exact & set(found)) / len(exact) >= 0.9
-
-
 def test_predicted_clusters_follow_the_levels(spark):
     """The kernel of one recording against the same steps on tables."""
     from pyspark.sql import functions as F

@@ -48,38 +48,6 @@ def knn(x: DataFrame, k: int, group: str = "reco", node: str = "node", block: in
     return rows.groupBy(group).applyInArrow(run, f"{group} {kind}, node long, rank long, nbr long, dist double")
 
 
-def approximate_knn(x: DataFrame, k: int, lists: float = 4.0, probes: int = 48, passes: int = 4, seed: int = 3) -> DataFrame:
-    """(reco, node, rank, nbr, dist) by an inverted file: a recording's nodes are filed under the nearest of lists * sqrt(n) centres (k-means from drawn nodes), and a node meets those of its probes
-    nearest centres only. Distances are exact, clamped to [0, 1]. tests measure the recall."""
-    kind = dict(x.dtypes)["reco"]
-
-    def run(t: pa.Table) -> pa.Table:
-        nodes = t.column("node").to_numpy()
-        order = np.argsort(nodes, kind="stable")
-        nodes, v = nodes[order], np.array(t.column("embedding").to_pylist(), float)[order]
-        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        m = max(1, min(len(v), int(lists * np.sqrt(len(v)))))
-        c = v[np.random.default_rng(seed).choice(len(v), m, replace=False)]
-        for _ in range(passes):
-            own = (v @ c.T).argmax(1)
-            c = np.stack([v[own == i].sum(0) if (own == i).any() else c[i] for i in range(m)])
-            c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-300)
-        near = v @ c.T
-        filed = [np.flatnonzero(near.argmax(1) == i) for i in range(m)]
-        out = []
-        for i in range(len(v)):
-            some = np.concatenate([filed[j] for j in np.argsort(-near[i])[:probes]])
-            some = some[some != i]
-            d = np.round(np.clip(1 - np.round(v[some] @ v[i], DIGITS), 0, 1), DIGITS)
-            best = np.lexsort((some, d))[: k - 1]
-            out.append((np.full(len(best) + 1, nodes[i]), np.arange(len(best) + 1), np.append(nodes[i], nodes[some[best]]), np.append(0.0, d[best])))
-        node, rank, nbr, dist = (np.concatenate(col) for col in zip(*out, strict=True))
-        return pa.table({"reco": pa.array(t.column("reco").slice(0, 1).to_pylist() * len(node), t.schema.field("reco").type), "node": node, "rank": rank, "nbr": nbr, "dist": dist})
-
-    rows = x.select("reco", F.col("node").cast("long").alias("node"), F.col("embedding").cast("array<double>").alias("embedding"))
-    return rows.groupBy("reco").applyInArrow(run, f"reco {kind}, node long, rank long, nbr long, dist double")
-
-
 def rerank(candidates: DataFrame, x: DataFrame, k: int) -> DataFrame:
     """Exact distances for candidate pairs (node, nbr), clamped to [0, 1] and ranked again."""
     a = x.select("node", F.col("embedding").alias("u"))
