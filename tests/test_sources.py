@@ -57,15 +57,6 @@ def test_hits_xml(spark, tmp_path):
     assert [tuple(r) for r in S.read_hits(spark, str(tmp_path / "x")).collect()] == [("k1", "u", 1.5, 0.2, 0.9)]
 
 
-def test_posteriors_and_bin_times(tmp_path):
-    path, times = str(tmp_path / "p"), str(tmp_path / "t")
-    rows = [("u1", [[(3, 0.5), (7, 0.25)], [], [(1, 1.0)]]), ("u2", [])]
-    ark.write_posteriors(path, iter(rows))
-    assert list(ark.read_posteriors(path)) == rows
-    ark.write_bin_times(times, iter([("u1", [(0.0, 0.5), (0.5, 2.0)])]))
-    assert list(ark.read_bin_times(times)) == [("u1", [(0.0, 0.5), (0.5, 2.0)])]
-
-
 def test_model_in_text_form():
     got = S.plda_parameters("<Plda>  [ 0.5 -1 ]\n [\n  1 2 \n  3 4 ]\n [ 9 8 ]\n</Plda> ")
     assert got == {"mean": [0.5, -1.0], "transform": [[1.0, 2.0], [3.0, 4.0]], "between": [9.0, 8.0]}
