@@ -53,7 +53,7 @@ def test_round_trip(make_docs, odd_rows, model, table_rows):
 def test_table_holds_the_most_frequent(make_docs):
     docs = make_docs([(i, " ".join(f"w{k}" for k in range(i)), "s") for i in range(60)])
     table = {r["chunk"]: r["n"] for r in pieces.chunk_table(docs, rows=20).collect()}
-    assert 0 < len(table) <= 20 and table == {f"{pieces.MARK}w{k}": 59 - k for k in range(len(table))}
+    assert 0 < len(table) <= 20 and table == {f"w{k}": 59 - k for k in range(len(table))}
 
 
 def test_empty_table_and_null_ids(spark, make_docs, odd_rows):

@@ -64,26 +64,32 @@ class Pieces:
     split = staticmethod(re.compile(f"{MARK}+[^{MARK}]*").findall)
 
     def chunks(self, text: str | None) -> list[str]:
-        """Chunks of a text, each with its markers; the model puts one marker before a text."""
-        return self.split(MARK + text.replace(" ", MARK)) if text else []
+        """Chunks of a text, each without its first marker. The model puts one marker before a text."""
+        if not text:
+            return []
+        if text[0] != " " and "  " not in text and MARK not in text:
+            return text.split(" ")
+        return [c[1:] for c in self.split(MARK + text.replace(" ", MARK))]
 
     def segment(self, chunks: list[str]) -> list[bytes]:
         """Ids of chunks as little-endian 32-bit bytes. The model adds the first marker itself; a marker alone is its own piece."""
-        return [np.array(ids, "<i4").tobytes() if c != MARK else self.mark.to_bytes(4, "little") for c, ids in zip(chunks, self.model.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
+        return [np.array(ids, "<i4").tobytes() if c else self.mark.to_bytes(4, "little") for c, ids in zip(chunks, self.model.encode(chunks, num_threads=1), strict=True)]
 
     def encode(self, texts: list[str | None], table: dict[str, bytes]) -> list[bytes]:
         if not self.by_chunk:
             return [np.array(ids, "<i4").tobytes() for ids in self.model.encode([t or "" for t in texts], num_threads=1)]
-        parts = [self.chunks(t) for t in texts]
         if len(self.ids) > len(table) + REMEMBERED or not self.ids:
             self.ids = dict(table)
         known, once = self.ids, {}
-        new = [c for c in set().union(*parts) if c not in known]
+        parts = [self.chunks(t) for t in texts]
+        found = [list(map(known.get, p)) for p in parts]
+        lacks = [i for i, f in enumerate(found) if None in f]
+        new = list({c for i in lacks for c, ids in zip(parts[i], found[i], strict=True) if ids is None})
         for c, ids in zip(new, self.segment(new), strict=True):
             (known if len(c) <= LONGEST else once)[c] = ids
-        if once:
-            return [b"".join([known[c] if c in known else once[c] for c in p]) for p in parts]
-        return [b"".join(map(known.__getitem__, p)) for p in parts]
+        for i in lacks:
+            found[i] = [known[c] if c in known else once[c] for c in parts[i]]
+        return [b"".join(f) for f in found]
 
     def decode(self, rows: list[np.ndarray]) -> list[str]:
         for ids in rows:
@@ -116,7 +122,7 @@ def count_chunks(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 
 def chunk_table(docs: DataFrame, model: str | None = None, text_col: str = "text", rows: int = TABLE_ROWS) -> DataFrame:
-    """chunk, n (occurrences in all texts), ids: the most frequent distinct chunks, at most `rows`, each segmented once.
+    """chunk (without its first marker), n (occurrences in all texts), ids: the most frequent distinct chunks, at most `rows`, each segmented once.
     The least count is the lowest step of a scale of eighths of a power of two at which they are not more than that."""
     path = model or default_model()
     text_batches(docs.sparkSession)
