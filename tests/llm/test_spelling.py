@@ -3,7 +3,10 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from voxlake.llm import spelling
@@ -55,6 +58,18 @@ def test_variants_equal_brute_force(make_docs, odd_rows, tile):
     assert sorted(map(tuple, got)) == sorted(want, key=lambda r: r[0]) and sum(r[3] is not None for r in want) > 20
 
 
+@given(st.text("abé", min_size=1, max_size=6), st.text("abé", min_size=1, max_size=6))
+def test_one_edit(a, b):
+    assert spelling.one_edit(a, b) == near(a, b)
+
+
+@given(st.lists(st.integers(1, 6), max_size=8), st.integers(1, 9))
+def test_pairs_of_groups(size, most):
+    got = [(int(a), int(b)) for i, j in spelling.pairs_of(np.array(size, int), most) for a, b in zip(i, j, strict=True)]
+    ends = np.cumsum([0, *size])
+    assert sorted(got) == sorted((a, b) for lo, hi in zip(ends, ends[1:], strict=False) for a in range(lo, hi) for b in range(a + 1, hi)) and len(got) == len(set(got))
+
+
 def test_chains_of_forms_are_followed(spark):
     forms = spark.createDataFrame([(f"w{i:02}", f"w{i + 1:02}") for i in range(19)] + [("x", "y")], "word string, form string")
     assert {r["word"]: r["root"] for r in spelling.last_forms(forms).collect()} == {**{f"w{i:02}": "w19" for i in range(19)}, "x": "y"}
@@ -71,5 +86,18 @@ def test_one_key_of_very_many_words(spark):
     assert tiles > 16
 
 
+def test_many_letters(spark):
+    rng = random.Random(9)
+    stems = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzàéïöü") for _ in range(rng.randint(7, 11))) for _ in range(150)]
+    letters = "abcdefghijklmnopqrstuvwxyzàéïöü"
+    words = {*stems}
+    for s in stems * 3:
+        i = rng.randrange(len(s))
+        words.add(rng.choice([s[:i] + s[i + 1 :], s[:i] + rng.choice(letters) + s[i:], s[:i] + rng.choice(letters) + s[i + 1 :]]))
+    words = sorted(w for w in words if len(w) >= 7)
+    got = {(r["a"], r["b"]) for r in spelling.near_words(spark.createDataFrame([(w, 2) for w in words], "word string, n long")).collect()}
+    assert got == {(a, b) for a in words for b in words if a < b and near(a, b)} and len(got) > 300
+
+
 def test_empty_table(make_docs, odd_rows):
     assert spelling.group_variants(make_docs(odd_rows).limit(0)).count() == 0
