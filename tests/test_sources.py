@@ -57,6 +57,12 @@ def test_hits_xml(spark, tmp_path):
     assert [tuple(r) for r in S.read_hits(spark, str(tmp_path / "x")).collect()] == [("k1", "u", 1.5, 0.2, 0.9)]
 
 
-def test_model_in_text_form():
-    got = S.plda_parameters("<Plda>  [ 0.5 -1 ]\n [\n  1 2 \n  3 4 ]\n [ 9 8 ]\n</Plda> ")
-    assert got == {"mean": [0.5, -1.0], "transform": [[1.0, 2.0], [3.0, 4.0]], "between": [9.0, 8.0]}
+def test_models_in_text_form(spark, tmp_path):
+    text = "<Plda>  [ 0.5 -1 ]\n [\n  1 2 \n  3 4 ]\n [ 9 8 ]\n</Plda> "
+    (tmp_path / "m").write_text(text)
+    got = S.model_arrays(S.read_models(spark, str(tmp_path / "m"), ["mean", "transform", "between"]))
+    assert {k: v.tolist() for k, v in got.items()} == {"mean": [0.5, -1.0], "transform": [[1.0, 2.0], [3.0, 4.0]], "between": [9.0, 8.0]}
+    (tmp_path / "n").write_text(S.model_text("Plda", [got["mean"], got["transform"], got["between"]]))
+    again = S.model_arrays(S.read_models(spark, str(tmp_path / "n"), ["mean", "transform", "between"]))
+    assert all((again[k] == got[k]).all() for k in got)
+    assert S.parse_models(spark.createDataFrame([("a", None), ("b", "none"), ("c", "[ ]")], "model string, text string"), ["mean"]).count() == 0

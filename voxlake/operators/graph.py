@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +15,12 @@ from voxlake.session import stash
 DIGITS = 6
 
 
+def matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Rows of a list column of equal lengths, without a Python object for any value."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(float)
+
+
 def cosine_pairs(x: DataFrame, group: str = "reco", node: str = "node") -> DataFrame:
     """(group, i, j, sim) for all pairs of a group, itself included, rounded."""
     a = x.select(group, F.col(node).alias("i"), l2_normalize(F.col("embedding")).alias("u"))
@@ -31,7 +37,7 @@ def knn(x: DataFrame, k: int, group: str = "reco", node: str = "node", block: in
         nodes = t.column("node").to_numpy()
         order = np.argsort(nodes, kind="stable")
         nodes = nodes[order]
-        v = np.array(t.column("embedding").to_pylist(), float)[order]
+        v = matrix(t.column("embedding"))[order]
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
         n, out = len(nodes), []
         for lo in range(0, n, block):
@@ -168,7 +174,7 @@ def linear(x: DataFrame, weights: list[list[float]], bias: list[float] | None =
     out = []
     for i, row in enumerate(weights):
         v = dot(F.col("embedding"), F.array(*[F.lit(float(w)) for w in row])) + F.lit(float(bias[i]) if bias else 0.0)
-        out.append(F.round(F.greatest(F.lit(0.0), v) if relu else v, DIGITS))
+        out.append(F.greatest(F.lit(0.0), v) if relu else v)
     return x.select("node", F.array(*out).alias("embedding"))
 
 
@@ -195,7 +201,7 @@ def edge_probabilities(edges: DataFrame, x: DataFrame, w: list[float], slope: fl
     z = F.col("hs") + F.col("hd")
     z = F.when(z > 0, z).otherwise(slope * z)
     p1 = 1 / (1 + F.exp(-z))
-    return t.withColumns({"p1": F.round(p1, DIGITS), "p0": F.round(1 - p1, DIGITS)}).drop("hs", "hd")
+    return t.withColumns({"p1": p1, "p0": 1 - p1}).drop("hs", "hd")
 
 
 def predicted_density(scored: DataFrame) -> DataFrame:
@@ -210,7 +216,7 @@ def agglomerate(x: DataFrame, threshold: float, group: str = "reco", least: int
         nodes = t.column("node").to_numpy()
         order = np.argsort(nodes)
         nodes = nodes[order]
-        v = np.array(t.column("embedding").to_pylist(), float)[order]
+        v = matrix(t.column("embedding"))[order]
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
         sim, size = v @ v.T, np.ones(len(v))
         np.fill_diagonal(sim, -np.inf)
@@ -242,27 +248,6 @@ def agglomerate(x: DataFrame, threshold: float, group: str = "reco", least: int
     return rows.groupBy(group).applyInArrow(run, f"{group} {kind}, node long, cluster long")
 
 
-def plda_scores(batches: Iterator[pa.RecordBatch], within: np.ndarray, between: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Two-covariance log-likelihood ratios of pairs (i, j, u, w), diagonal within- and between-class variances."""
-    total = within + between
-    for b in batches:
-        u, w = (np.array(b.column(c).to_pylist(), float) for c in ("u", "w"))
-        det = total**2 - between**2
-        same = -0.5 * ((total * (u**2 + w**2) - 2 * between * u * w) / det).sum(1) - 0.5 * np.log(det).sum()
-        apart = -0.5 * ((u**2 + w**2) / total).sum(1) - np.log(total).sum()
-        yield pa.RecordBatch.from_arrays([b.column("reco"), b.column("i"), b.column("j"), pa.array(same - apart)], ["reco", "i", "j", "llr"])
-
-
-def plda_affinity(x: DataFrame, within: list[float], between: list[float]) -> DataFrame:
-    """(reco, i, j, sim): sigmoid of the log-likelihood ratio, over the recording's greatest."""
-    a, b = np.array(within), np.array(between)
-    left = x.select("reco", F.col("node").alias("i"), F.col("embedding").cast("array<double>").alias("u"))
-    right = x.select("reco", F.col("node").alias("j"), F.col("embedding").cast("array<double>").alias("w"))
-    t = left.join(right, "reco").select("reco", "i", "j", "u", "w").mapInArrow(lambda it: plda_scores(it, a, b), "reco string, i long, j long, llr double")
-    s = t.withColumn("s", 1 / (1 + F.exp(-F.col("llr"))))
-    return s.select("reco", "i", "j", (F.col("s") / F.max("s").over(Window.partitionBy("reco"))).alias("sim"))
-
-
 # --- training ----------------------------------------------------------------------------------------------------------
 
 
@@ -303,9 +288,9 @@ def joint_loss(scored: DataFrame, truth: DataFrame, labelled: DataFrame, *, beta
     return mse.join(edge).select(*[F.round(c, 6).alias(n) for c, n in ((F.col("mse"), "mse"), (F.col("ce"), "ce"), (F.col("focal"), "focal"), (weigh("ce"), "loss"), (weigh("focal"), "focal_loss"))])
 
 
-def cluster_recording(nodes: np.ndarray, v: np.ndarray, k: int, tau: float, levels: int, slope: float, bias: float) -> np.ndarray:
+def cluster_recording(nodes: np.ndarray, v: np.ndarray, k: int, tau: float, levels: int, density: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
     """Cluster (its peak's node) of each node of one recording. A level links every node to its nearest denser neighbour, if nearer than 1 - tau; the peaks, with the means of their clusters, are
-    the next level. Density is predicted: the mean over a node's edges of sim * (p1 - p0), p1 the logistic of slope * sim + bias, that both ends are one speaker."""
+    the next level. density(unit vectors, neighbours, similarities) of a level's nodes is predicted."""
     own, at = np.arange(len(nodes)), np.arange(len(nodes))  # peak of each node; the level's nodes
     for number in range(levels):
         n = len(at)
@@ -319,9 +304,7 @@ def cluster_recording(nodes: np.ndarray, v: np.ndarray, k: int, tau: float, leve
             d[np.arange(len(d)), lo + np.arange(len(d))] = 0.0
             near[lo : lo + 512] = np.argsort(d, axis=1, kind="stable")[:, :kk]
             far[lo : lo + 512] = np.take_along_axis(d, near[lo : lo + 512], 1)
-        sim = 1 - far[:, 1:]
-        p = 1 / (1 + np.exp(-(slope * sim + bias)))
-        dens = np.round((sim * (2 * p - 1)).mean(1), DIGITS)
+        dens = density(u, near[:, 1:], 1 - far[:, 1:])
         fits = (dens[near[:, 1:]] > dens[:, None]) & (far[:, 1:] < 1 - tau)
         up = np.where(fits.any(1), near[np.arange(n), 1 + fits.argmax(1)], np.arange(n))
         if (up == np.arange(n)).all():
@@ -335,15 +318,41 @@ def cluster_recording(nodes: np.ndarray, v: np.ndarray, k: int, tau: float, leve
     return nodes[at[own]]
 
 
-def predicted_clusters(x: DataFrame, k: int = 10, tau: float = 0.0, levels: int = 15, slope: float = 20.0, bias: float = -5.0) -> DataFrame:
-    """(reco, node, cluster) by cluster_recording; a recording is one task's call, all recordings run side by side in one stage. Labels are not read."""
+def logistic_density(slope: float, bias: float) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """Mean over a node's edges of sim * (p1 - p0), p1 the logistic of slope * sim + bias."""
+    return lambda u, near, sim: np.round((sim * (2 / (1 + np.exp(-(slope * sim + bias))) - 1)).mean(1), DIGITS)
+
+
+def model_density(model) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:  # noqa: ANN001
+    """The same with the probabilities of an edge model (edge_model.EdgeModel)."""
+
+    def density(u: np.ndarray, near: np.ndarray, sim: np.ndarray) -> np.ndarray:
+        w = np.maximum(0.0, sim)
+        total = w.sum(1, keepdims=True)
+        w = w / np.where(total > 0, total, 1.0)
+        out = np.empty(len(u))
+        f = np.concatenate([u, np.stack([(w * c[near]).sum(1) for c in u.T], 1)], 1)
+        for lo in range(0, len(u), 512):
+            out[lo : lo + 512] = model.densities(f[lo : lo + 512], f[near[lo : lo + 512]], sim[lo : lo + 512])
+        return out
+
+    return density
+
+
+#: Nodes of the largest recording that one task clusters by itself; larger ones go by tables (plans.diarization.cluster_levels).
+KERNEL_NODES = 20_000
+
+
+def predicted_clusters(x: DataFrame, k: int = 10, tau: float = 0.0, levels: int = 15, slope: float = 20.0, bias: float = -5.0, model=None) -> DataFrame:  # noqa: ANN001
+    """(reco, node, cluster) by cluster_recording; a recording is one task's call, all recordings run side by side in one stage. Densities are the model's, or the logistic's without one. Labels are not read."""
     kind = dict(x.dtypes)["reco"]
+    density = model_density(model) if model is not None else logistic_density(slope, bias)
 
     def run(t: pa.Table) -> pa.Table:
         nodes = t.column("node").to_numpy()
         order = np.argsort(nodes, kind="stable")
-        nodes, v = nodes[order], np.array(t.column("embedding").to_pylist(), float)[order]
-        return pa.table({"reco": pa.array(t.column("reco").slice(0, 1).to_pylist() * len(nodes), t.schema.field("reco").type), "node": nodes, "cluster": cluster_recording(nodes, v, k, tau, levels, slope, bias)})
+        nodes, v = nodes[order], matrix(t.column("embedding"))[order]
+        return pa.table({"reco": pa.array(t.column("reco").slice(0, 1).to_pylist() * len(nodes), t.schema.field("reco").type), "node": nodes, "cluster": cluster_recording(nodes, v, k, tau, levels, density)})
 
     rows = x.select("reco", F.col("node").cast("long").alias("node"), F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.groupBy("reco").applyInArrow(run, f"reco {kind}, node long, cluster long")

@@ -61,11 +61,6 @@ def c03_mapped_cosine(spark, d):
     return G.cosine_pairs(x(spark, d)).withColumn("sim", F.col("sim") / 2 + 0.5)
 
 
-@R.add()
-def c04_plda_affinity(spark, d):
-    return G.plda_affinity(x(spark, d), [0.5] * 64, [1.0] * 64)
-
-
 _BETA = [95**k * 100 ** (5 - k) for k in range(6)]  # 0.95**k in units of 1e-10: products of integers round the same way everywhere
 
 
@@ -269,7 +264,7 @@ def c37_symmetric_normalize(spark, d):
 #: Weights of an output: one pattern for a node's own dimensions, one for its neighbours', repeated along them.
 _W = [[1.0, -0.5, 0.25, 2.0, 1.0, -1.0], [-1.0, 0.5, 1.0, 0.0, 3.0, 1.0]]
 _PATTERN = "list_sum(list_transform({v}, lambda a, i: a * {w}[(i - 1) % 3 + 1]))"
-_OUT = ", ".join(f"round(round(greatest(0, {_PATTERN.format(v='v', w=w[:3])} + coalesce({_PATTERN.format(v='m', w=w[3:])}, 0)), 6), 5) AS o{k}" for k, w in enumerate(_W, 1))
+_OUT = ", ".join(f"greatest(0, {_PATTERN.format(v='v', w=w[:3])} + coalesce({_PATTERN.format(v='m', w=w[3:])}, 0)) AS o{k}" for k, w in enumerate(_W, 1))
 
 
 @R.add(f"{BASE}, {EDGES}, {_AFF}, f AS (SELECT node, unnest(embedding)::DOUBLE AS v, unnest(range(0, len(embedding))) AS dim FROM xvec), g AS (SELECT dst AS node, dim, sum(affine * v) AS v FROM aff JOIN f ON f.node = src GROUP BY 1, 2), h AS (SELECT node, list(v ORDER BY dim) AS m FROM g GROUP BY 1), z AS (SELECT x.node, list_transform(embedding, lambda a: a::DOUBLE) AS v, m FROM xvec x LEFT JOIN h USING (node)) SELECT node, {_OUT} FROM z")
@@ -277,7 +272,7 @@ def c38_graph_conv(spark, d):
     s = x(spark, d)
     n = s.select(F.max(F.size("embedding"))).first()[0] or 0
     t = G.graph_conv(G.row_normalize(edges(spark, d)), s.select("node", "embedding"), [[w[k % 3 + at] for at in (0, 3) for k in range(n)] for w in _W])
-    return t.select("node", F.round(F.col("embedding")[0], 5).alias("o1"), F.round(F.col("embedding")[1], 5).alias("o2"))
+    return t.select("node", F.col("embedding")[0].alias("o1"), F.col("embedding")[1].alias("o2"))
 
 
 @R.add(f"{BASE}, {EDGES} SELECT src, dst, round(exp(sim) / sum(exp(sim)) OVER (PARTITION BY dst), 6) AS attention FROM edges")
@@ -285,11 +280,15 @@ def c39_edge_softmax(spark, d):
     return G.edge_softmax(edges(spark, d)).select("src", "dst", "attention")
 
 
-_P = "h AS (SELECT node, round(embedding[1]::DOUBLE * 4 - embedding[2]::DOUBLE * 2, 6) AS h FROM xvec), sc AS (SELECT e.*, CASE WHEN a.h + b.h > 0 THEN a.h + b.h ELSE 0.25::DOUBLE * (a.h + b.h) END AS z FROM edges e JOIN h a ON a.node = src JOIN h b ON b.node = dst), pr AS (SELECT *, round(1 / (1 + exp(-z)), 6) AS p1, round(1 - 1 / (1 + exp(-z)), 6) AS p0 FROM sc)"
+#: Weights of a projection, one pattern repeated along all dimensions. The learnt model of edges is in operators.edge_model; SQL can follow one with given weights.
+_WEIGHTS = [4.0, -2.0, 1.0]
+_P = f"h AS (SELECT node, list_sum(list_transform(embedding, lambda a, i: a::DOUBLE * {_WEIGHTS}[(i - 1) % 3 + 1])) AS h FROM xvec), sc AS (SELECT e.*, CASE WHEN a.h + b.h > 0 THEN a.h + b.h ELSE 0.25::DOUBLE * (a.h + b.h) END AS z FROM edges e JOIN h a ON a.node = src JOIN h b ON b.node = dst), pr AS (SELECT *, 1 / (1 + exp(-z)) AS p1, 1 - 1 / (1 + exp(-z)) AS p0 FROM sc)"
 
 
 def _scored(spark, d):
-    return G.edge_probabilities(edges(spark, d), x(spark, d).select("node", F.slice("embedding", 1, 2).alias("embedding")), [4.0, -2.0])
+    s = x(spark, d)
+    n = s.select(F.max(F.size("embedding"))).first()[0] or 0
+    return G.edge_probabilities(edges(spark, d), s.select("node", "embedding"), [_WEIGHTS[k % 3] for k in range(n)])
 
 
 @R.add(f"{BASE}, {EDGES}, {_P} SELECT src, dst, p0, p1 FROM pr")
@@ -302,11 +301,11 @@ def c41_predicted_density(spark, d):
     return G.predicted_density(_scored(spark, d))
 
 
-@R.add(f"{BASE}, {EDGES}, {_P} SELECT src, dst, round(p1 * power(0.95::DOUBLE, least(abs(x.seq - y.seq), 5)), 6) AS p1 FROM pr JOIN xvec x ON x.node = src JOIN xvec y ON y.node = dst")
+@R.add(f"{BASE}, {EDGES}, {_P} SELECT src, dst, p1 * power(0.95::DOUBLE, least(abs(x.seq - y.seq), 5)) AS p1 FROM pr JOIN xvec x ON x.node = src JOIN xvec y ON y.node = dst")
 def c42_temporal_probability(spark, d):
     s = x(spark, d)
     t = _scored(spark, d).join(s.select(F.col("node").alias("src"), F.col("seq").alias("a")), "src").join(s.select(F.col("node").alias("dst"), F.col("seq").alias("b")), "dst")
-    return t.select("src", "dst", F.round(F.col("p1") * G.temporal_weight(F.col("a"), F.col("b")), 6).alias("p1"))
+    return t.select("src", "dst", (F.col("p1") * G.temporal_weight(F.col("a"), F.col("b"))).alias("p1"))
 
 
 @R.add()

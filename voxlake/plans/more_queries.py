@@ -185,28 +185,6 @@ def f01_density_loss(spark, d):
     return G.joint_loss(scored, C.dens(spark, d), scored.join(C.c18_edge_labels(spark, d), ["src", "dst"]), beta=0.8, gamma=2.0, alpha=0.25)
 
 
-def _rows(spark, d, labels=None):
-    t = G.training_edges(C.x(spark, d) if labels is None else labels, (C.K,))
-    return stash(t.select("sim", "affine", "same"), "edge-rows")
-
-
-@R.add()
-def f03_fit_edge_model(spark, d):
-    """Weights of the last step and their average over the last quarter of the steps."""
-    last, mean = N.fit_logistic(_rows(spark, d), ["sim", "affine"], "same", epochs=20, average_from=15)
-    return spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(last, mean, strict=True))], "term int, weight double, averaged double")
-
-
-@R.add()
-def f05_pseudo_labels(spark, d):
-    """Clusters that a model predicts, without labels, become the labels that the next model is fitted to."""
-    x = C.x(spark, d)
-    found = predicted_clusters(x).select("node", F.col("cluster").alias("label"))
-    _, mean = N.fit_logistic(_rows(spark, d, x.drop("label").join(found, "node")), ["sim", "affine"], "same", epochs=20, average_from=15)
-    again = predicted_clusters(x, slope=float(mean[0]), bias=float(mean[2]))
-    return again.select("reco", "node", "cluster")
-
-
 @R.add("SELECT vec_id AS node, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) AS total FROM embeddings")
 def f07_saved_parameters(spark, d):
     """A checkpoint of parameters by (layer, place), written, read again and used."""

@@ -91,11 +91,46 @@ def read_domains(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.option("sep", "\t").option("header", True).csv(path).select("domain", "uri")
 
 
-def plda_parameters(text: str) -> dict[str, list]:
-    """Mean, transform (rows) and between-class variances of a model in text form: a vector, a matrix and a vector in brackets."""
-    parts = [[[float(v) for v in row.split()] for row in block.split("]")[0].strip().split("\n") if row.strip()] for block in text.split("[")[1:]]
-    mean, transform, between = parts
-    return {"mean": mean[0], "transform": transform, "between": between[0]}
+def parse_models(texts: DataFrame, parts: list[str]) -> DataFrame:
+    """(model, text) to (model, part, row, col, value): the bracketed vectors and matrices of models in text form, in the order of `parts`. Words outside brackets, such as tags, are no values; a vector is row 0."""
+    blocks = F.slice(F.split("text", r"\["), 2, len(parts))
+    t = texts.select("model", F.posexplode(blocks).alias("at", "block")).select("model", F.get(F.lit(parts), F.col("at")).alias("part"), F.split("block", r"\]")[0].alias("body"))
+    lines = F.filter(F.split("body", "\n"), lambda r: F.trim(r) != "")
+    rows = t.select("model", "part", F.posexplode(lines).alias("row", "line"))
+    return rows.select("model", "part", "row", F.posexplode(F.split(F.trim("line"), r"\s+")).alias("col", "v")).select("model", "part", "row", "col", F.col("v").try_cast("double").alias("value"))
+
+
+def read_models(spark: SparkSession, path: str | list[str], parts: list[str]) -> DataFrame:
+    """Model files: mean, transform and between-class variances of one kind; one matrix of another. A file is one row until it is parsed: its size goes with the square of the dimensions."""
+    return parse_models(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("model"), F.col("value").alias("text")), parts)
+
+
+def model_arrays(model: DataFrame) -> dict:
+    """Arrays by part of one model's table; its size goes with the square of the dimensions."""
+    import numpy as np
+
+    found: dict[str, dict] = {}
+    for r in model.select("part", "row", "col", "value").collect():
+        found.setdefault(r["part"], {})[r["row"], r["col"]] = r["value"]
+    out = {}
+    for part, cells in found.items():
+        a = np.full((1 + max(i for i, _ in cells), 1 + max(j for _, j in cells)), np.nan)
+        for (i, j), v in cells.items():
+            a[i, j] = v
+        if np.isnan(a).any():
+            raise ValueError(f"{part} has gaps")
+        out[part] = a[0] if len(a) == 1 else a
+    return out
+
+
+def model_text(tag: str, arrays: list) -> str:
+    """Vectors and matrices between tags, all digits kept."""
+    def one(a) -> str:  # noqa: ANN001
+        if a.ndim == 1:
+            return " [ " + " ".join(repr(float(v)) for v in a) + " ]"
+        return " [\n" + "\n".join("  " + " ".join(repr(float(v)) for v in r) for r in a) + " ]"
+
+    return f"<{tag}> " + "\n".join(map(one, arrays)) + f"\n</{tag}> "
 
 
 def read_table(spark: SparkSession, path: str | list[str]) -> DataFrame:
