@@ -115,3 +115,23 @@ def test_rows_without_an_id_are_told_apart(make_docs):
         taken[r["source"]] += len(r["text"].split())
     assert all(abs(taken[s] - t) <= 42 for s, t in targets(size).items())
     assert sum(r["taken"] for r in mixing.mix_report(docs).collect()) == sum(taken.values())
+
+
+@pytest.mark.parametrize("rows", [
+    [(i, f"text number {i} " * (1 + i % 9), "s") for i in range(300)] + [(900 + i, "the same text again", "s") for i in range(30)],
+    [(i, f"text number {i} " * (1 + i % 9), "s") for i in range(600)] + [(9000 + i, "the same text again", "s") for i in range(400)],
+])
+def test_shards_do_not_depend_on_the_layout(make_docs, rows):
+    """Groups up to a shard stay whole; those that are cut are cut in the same way however the input is partitioned."""
+    docs = make_docs(rows)
+    first = sorted(map(tuple, sharding.shard_documents(docs.repartition(1)).collect()))
+    assert first == sorted(map(tuple, sharding.shard_documents(docs.repartition(6)).collect())) == sorted(map(tuple, sharding.shard_documents(docs.orderBy("n_chars")).collect()))
+    same = [r for r in first if r[0] >= 900 and r[1] == 20]
+    assert len({r[4] for r in same}) == 1 if len(same) * 8 <= len(rows) else len({r[4] for r in same}) > 1
+
+
+def test_a_hot_id_is_spread(make_docs):
+    """Half of the rows are one document."""
+    got = sharding.shard_documents(make_docs([(i, f"text {i}", "s") for i in range(400)] + [(7777, "hot", "s")] * 400)).collect()
+    count = [sum(r["shard"] == s for r in got) for s in range(8)]
+    assert max(count) - min(count) <= 12

@@ -44,3 +44,14 @@ def test_recall_of_the_chosen_tables():
         y = 0.93 * x + np.sqrt(1 - 0.93**2) * y / np.linalg.norm(y, axis=1, keepdims=True)
         found = (vectors.meet(vectors.hashes(x, tables, parts, 2), vectors.hashes(y, tables, parts, 2)) >= 0).any(1)
         assert found.mean() > 0.99
+
+
+def test_very_small_and_very_large_vectors(spark):
+    """Only the angle counts, down to the least numbers."""
+    rows = [[1e-200, 2e-200], [1e-200, 2.01e-200], [1e200, 2e200], [1e200, 2.01e200], [1.0, 2.0], [5e-324, 1e-323], [1.7e308, 1.7e308 / 2], [0.0, 1e-300], [-1e200, -2e200]]
+    got = {r["vec_id"]: r for r in vectors.near_vectors(spark.createDataFrame([(i, v, 1) for i, v in enumerate(rows)], "vec_id long, embedding array<double>, label int")).collect()}
+    unit = [np.array(v) / np.abs(v).max() for v in rows]
+    hit = np.array([[a @ b / np.linalg.norm(a) / np.linalg.norm(b) >= 0.93 for b in unit] for a in unit])
+    np.fill_diagonal(hit, False)
+    assert [got[i]["n_links"] for i in range(len(rows))] == hit.sum(1).tolist()
+    assert {got[i]["component_id"] for i in range(6)} == {0}

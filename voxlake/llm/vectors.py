@@ -271,6 +271,11 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, recall: float =
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
     v = F.col("embedding")
     rows = rows.select(F.col("`vec_id`").cast("long").alias("vec_id"), F.col("`embedding`").cast("array<double>").alias("embedding"), F.col("`label`").cast("long").alias("label"))
+    most = F.array_max(F.transform(v, F.abs))
+    extreme = ((most > 0) & (most < 1e-100)) | ((most > 1e100) & (most < float("inf")))  # squares of their components would be 0 or infinite
+    shift = F.floor(-F.log2(most))
+    half = F.floor(shift / 2)
+    rows = rows.withColumn("embedding", F.when(extreme, F.transform(v, lambda x: x * F.pow(F.lit(2.0), half) * F.pow(F.lit(2.0), shift - half))).otherwise(v))  # by powers of two: angles stay as they are
     norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     sound = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm > 0), F.lit(False))
     sound = sound & F.coalesce(F.abs(norm) < float("inf"), F.lit(False))
