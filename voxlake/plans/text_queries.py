@@ -19,10 +19,10 @@ def lines(spark, d):
 
 LINES = "WITH RECURSIVE lines AS (SELECT concat_ws('-', conv_id, turn) AS id, list_filter(regexp_split_to_array(trim(lower(text)), '\\s+'), lambda t: t <> '') AS w FROM conversations)"
 NG = f"""{LINES}, m AS (SELECT id, list_concat(['<s>'], w, ['</s>']) AS w FROM lines), p AS (SELECT id, w, unnest(range(2, len(w) + 1)) AS p FROM m), g AS (SELECT id, w, p, unnest(range(1, least(3, p) + 1)) AS n FROM p),
- cnt AS (SELECT CAST(n AS INT) AS n, array_to_string(w[p - n + 1:p - 1], ' ') AS hist, w[p] AS word, count(*) AS cnt FROM g GROUP BY ALL)"""
+ cnt AS MATERIALIZED (SELECT CAST(n AS INT) AS n, array_to_string(w[p - n + 1:p - 1], ' ') AS hist, w[p] AS word, count(*) AS cnt FROM g GROUP BY ALL)"""
 CTX = ", ctx AS (SELECT n - 1 AS n, CASE WHEN contains(hist, ' ') THEN substr(hist, instr(hist, ' ') + 1) ELSE '' END AS hist, word, count(*) AS n_ctx FROM cnt WHERE n > 1 GROUP BY 1, 2, 3)"
 DISC = ", dsc AS (SELECT n, CASE WHEN n = 1 THEN 0.0::DOUBLE ELSE round(greatest(0.001::DOUBLE, count(*) FILTER (cnt = 1)) / (greatest(0.001::DOUBLE, count(*) FILTER (cnt = 1)) + 2 * count(*) FILTER (cnt = 2)), 6) END AS d FROM cnt GROUP BY n)"
-PROB = CTX + DISC + ", adj AS (SELECT n, hist, word, CASE WHEN n = 3 OR starts_with(hist, '<s>') THEN cnt ELSE coalesce(n_ctx, cnt) END AS c FROM cnt LEFT JOIN ctx USING (n, hist, word)), f0 AS (SELECT n, hist, word, greatest(0.0::DOUBLE, c - d) / sum(c) OVER (PARTITION BY n, hist) AS f FROM adj JOIN dsc USING (n)), pr AS (SELECT n, hist, word, round(f, 6) AS f, CASE WHEN abs(1 - sum(f) OVER (PARTITION BY n, hist)) < 0.0000005 THEN 0.0::DOUBLE ELSE round(1 - sum(f) OVER (PARTITION BY n, hist), 6) END AS \"left\" FROM f0)"
+PROB = CTX + DISC + ", adj AS (SELECT n, hist, word, CASE WHEN n = 3 OR starts_with(hist, '<s>') THEN cnt ELSE coalesce(n_ctx, cnt) END AS c FROM cnt LEFT JOIN ctx USING (n, hist, word)), f0 AS (SELECT n, hist, word, greatest(0.0::DOUBLE, c - d) / sum(c) OVER (PARTITION BY n, hist) AS f FROM adj JOIN dsc USING (n)), pr AS MATERIALIZED (SELECT n, hist, word, round(f, 6) AS f, CASE WHEN abs(1 - sum(f) OVER (PARTITION BY n, hist)) < 0.0000005 THEN 0.0::DOUBLE ELSE round(1 - sum(f) OVER (PARTITION BY n, hist), 6) END AS \"left\" FROM f0)"
 
 
 @R.add(f"{LINES}, t AS (SELECT unnest(list_concat(w, ['</s>'])) AS token FROM lines) SELECT token, round(-ln(count(*) / sum(count(*)) OVER ()), 6) AS cost FROM t GROUP BY 1")
@@ -129,7 +129,7 @@ def e14_bpe_apply(spark, d):
     return X.apply_bpe(t, "id", "text", m, glossaries=["http"], vocabulary={r["w"] for r in pieces.filter(F.length("w") <= 32).limit(100_000).collect()})
 
 
-_LM = ", uni AS (SELECT word, f AS g FROM pr WHERE n = 1 AND f > 0), bi AS (SELECT pr.hist, pr.word, f, g FROM pr JOIN uni USING (word) WHERE n = 2 AND f > 0), ms AS (SELECT hist, 1 - sum(f) AS num, 1 - sum(g) AS den FROM bi GROUP BY 1), bw AS (SELECT *, CASE WHEN num > 1e-12 AND den > 1e-12 THEN ln(num / den) ELSE 0.0 END AS bow FROM ms)"
+_LM = ", uni AS (SELECT word, f AS g FROM pr WHERE n = 1 AND f > 0), bi AS MATERIALIZED (SELECT pr.hist, pr.word, f, g FROM pr JOIN uni USING (word) WHERE n = 2 AND f > 0), ms AS (SELECT hist, 1 - sum(f) AS num, 1 - sum(g) AS den FROM bi GROUP BY 1), bw AS (SELECT *, CASE WHEN num > 1e-12 AND den > 1e-12 THEN ln(num / den) ELSE 0.0 END AS bow FROM ms)"
 _NG2 = NG.replace("least(3, p)", "least(2, p)") + PROB.replace("n = 3 OR", "n = 2 OR")
 _CHANGE = ", ch AS (SELECT bi.*, num, den, bow, h.g AS ph, ln(greatest(1e-12::DOUBLE, num + f)) - ln(greatest(1e-12::DOUBLE, den + bi.g)) AS new FROM bi JOIN bw USING (hist) JOIN uni h ON h.word = CASE WHEN bi.hist = '<s>' THEN '</s>' ELSE bi.hist END), pc AS (SELECT hist, word, f, g, exp(-ph * (f * (ln(g) + new - ln(f)) + num * (new - bow))) - 1 AS change FROM ch)"
 
