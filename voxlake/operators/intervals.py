@@ -75,6 +75,49 @@ def collar_regions(uem: DataFrame, turns: DataFrame, keys: list[str], collar: in
     return subtract(uem, holes, keys)
 
 
+def extended_zones(zones: DataFrame, words: DataFrame, segments: DataFrame, keys: list[str], extend: int, bucket: int = 600_000) -> DataFrame:
+    """Exclusion zones, each extended on both sides by up to `extend`, but not over a word, nor over a begin or end of a segment. A zone that begins (ends) inside a word is not extended there; zones whose gap
+    has neither and is at most twice the extension become one; the last zone of a key, with no word or boundary behind it, lasts for good (its end is null). Zones, words and segments of no length do not count.
+
+    The nearest word end or boundary on each side is sought among those of one time bucket and its edges, so a key is many tasks, whatever its length."""
+    some = lambda t: t.filter(F.col(END) > F.col(BEGIN)).select(*keys, BEGIN, END)
+    z, w = merge(some(zones), keys, touching=True), merge(some(words), keys, touching=True)
+    bounds = some(segments).select(*keys, F.explode(F.array(BEGIN, END)).alias("t"))
+    stops = {"left": bounds.unionByName(w.select(*keys, F.col(END).alias("t"))), "right": bounds.unionByName(w.select(*keys, F.col(BEGIN).alias("t")))}
+    width = max(bucket, 2 * extend + 1)
+
+    def reach(side: str) -> DataFrame:
+        """(keys, at, reach): how far the zones' begins or ends may go."""
+        sign = -1 if side == "left" else 1
+        ends = z.select(*keys, F.col(BEGIN if side == "left" else END).alias("at"))
+        span = F.array_distinct(F.array(F.floor(F.col("t") / width), F.floor((F.col("t") - sign * extend) / width)))  # a stop counts for zones up to `extend` away
+        near = stops[side].withColumn("b", F.explode(span)).select(*keys, "b", "t", F.lit(None).cast("long").alias("at"))
+        both = near.unionByName(ends.select(*keys, F.floor(F.col("at") / width).alias("b"), F.col("at").alias("t"), "at"))
+        order = (F.col("t") * (-sign)).asc(), F.col("at").isNotNull().asc()
+        seen = Window.partitionBy(*keys, "b").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        stop = F.last(F.when(F.col("at").isNull(), F.col("t")), ignorenulls=True).over(seen)
+        far = F.col("at") + sign * extend
+        r = both.withColumn("stop", stop).filter("at is not null").select(*keys, "at", F.coalesce(F.greatest(far, "stop") if side == "left" else F.least(far, "stop"), far).alias("reach"))
+        # A word that runs over the place: from before it, for ends; from it or before, for begins.
+        lo = 0 if side == "left" else 1
+        point = ends.select(*keys, (F.col("at") - lo).alias(BEGIN), (F.col("at") + 1).alias(END), "at")
+        inside = overlap_join(point, w, keys, width=width).filter((F.col("b_begin") <= F.col(BEGIN)) & (F.col("b_end") >= F.col(END))).select(*keys, "at", F.lit(True).alias("inside")).distinct()
+        return r.join(inside, [*keys, "at"], "left").select(*keys, F.col("at").alias(side), F.when(F.col("inside"), F.col("at")).otherwise(F.col("reach")).alias(f"{side}_reach"))
+
+    out = z.withColumnsRenamed({BEGIN: "left", END: "right"}).join(reach("left"), [*keys, "left"]).join(reach("right"), [*keys, "right"])
+    # What comes last in a key: a stop, or the end of a word (inside which a zone may end).
+    last = stops["right"].unionByName(w.select(*keys, (F.col(END) - 1).alias("t"))).groupBy(*keys).agg(F.max("t").alias("last_stop"))
+    final = z.groupBy(*keys).agg(F.max(END).alias("last_zone"))
+    out = out.join(last, keys, "left").join(final, keys)
+    open_ = (F.col("right") == F.col("last_zone")) & (F.coalesce(F.col("last_stop"), F.lit(-1)) < F.col("right"))
+    return out.select(*keys, F.col("left_reach").alias(BEGIN), F.when(~open_, F.col("right_reach")).alias(END))
+
+
+def without_zones(regions: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
+    """Regions less zones, of which one without an end lasts for good."""
+    return subtract(regions, zones.withColumn(END, F.coalesce(F.col(END), F.lit((1 << 62)))).filter(F.col(END) > F.col(BEGIN)), keys)
+
+
 def crowded(turns: DataFrame, keys: list[str], least: int = 2) -> DataFrame:
     """Where at least so many turns run at once."""
     both = F.explode(F.array(F.struct(F.col(BEGIN).alias("t"), F.lit(1).alias("d")), F.struct(F.col(END).alias("t"), F.lit(-1).alias("d"))))
@@ -214,3 +257,30 @@ def contained_in(points: DataFrame, regions: DataFrame, keys: list[str], at: str
     p = points.withColumns({BEGIN: F.col(at), END: F.col(at) + 1})
     hit = overlap_join(p, regions.select(*keys, BEGIN, END), keys)
     return hit.select(*points.columns).distinct()
+
+
+def resolve_word_overlaps(words: DataFrame, utterances: DataFrame) -> DataFrame:
+    """words (utt, pos, start_ms from the utterance's begin, dur_ms, ..) less those that overlapping neighbours also hold; utterances: (reco, utt, start_ms, end_ms), in order of start (ties: utt) within a recording;
+    those without words do not count. Of two neighbours the former keeps its words before the first whose middle lies behind the middle of their overlap, the latter those from the first such word on.
+    A latter utterance that ends inside the former is emptied and leaves it whole; one without such a word is emptied too. What was emptied cuts nothing.
+
+    Whether an utterance was emptied depends on whether the one before was. That alternates along runs of utterances that would be emptied by a live neighbour, so parity within a run tells, without a fold."""
+    held = words.select("utt").distinct()
+    u = utterances.join(held, "utt", "left_semi").select("reco", "utt", "start_ms", "end_ms")
+    w = Window.partitionBy("reco").orderBy("start_ms", "utt")
+    before = F.lag("end_ms").over(w) - F.col("start_ms")  # overlap with the one before; not positive where there is none
+    u = u.select("*", before.alias("own"), (F.lag("end_ms").over(w) >= F.col("end_ms")).alias("ends_inside"), (F.col("end_ms") - F.lead("start_ms").over(w)).alias("ahead"), (F.lead("end_ms").over(w) <= F.col("end_ms")).alias("holds_next"))
+    middle = 2 * F.col("w.start_ms") + F.col("w.dur_ms")
+    first = words.alias("w").join(u.select("utt", "own"), "utt").groupBy("utt").agg(F.min(F.when(middle > F.col("own"), F.col("pos"))).alias("from_pos"))
+    u = u.join(first, "utt")
+    dies = F.coalesce(((F.col("own") > 0) & F.col("ends_inside")) | F.col("from_pos").isNull(), F.lit(False)) & F.col("own").isNotNull()
+    u = u.withColumn("dies", dies).withColumn("run", F.sum(F.when(F.col("dies"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    u = u.withColumn("empty", F.sum(F.col("dies").cast("int")).over(Window.partitionBy("reco", "run").orderBy("start_ms", "utt").rowsBetween(Window.unboundedPreceding, Window.currentRow)) % 2 == 1)
+    u = u.withColumn("cut_before", F.coalesce(~F.lag("empty").over(w), F.lit(False)))
+    live = u.filter("not empty").select(
+        "utt", F.when(F.col("cut_before"), F.col("from_pos")).alias("from_pos"),
+        F.when(F.col("ahead").isNotNull() & ~F.coalesce((F.col("ahead") > 0) & F.col("holds_next"), F.lit(False)), 2 * (F.col("end_ms") - F.col("start_ms")) - F.col("ahead")).alias("until"),
+    )
+    kept = words.alias("w").join(live, "utt").filter(F.col("from_pos").isNull() | (F.col("pos") >= F.col("from_pos")))
+    stop = kept.groupBy("utt").agg(F.min(F.when(middle > F.col("until"), F.col("pos"))).alias("stop"))
+    return kept.join(stop, "utt").filter(F.col("stop").isNull() | (F.col("pos") < F.col("stop"))).select(*words.columns)

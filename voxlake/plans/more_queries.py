@@ -60,6 +60,43 @@ def b09_noscore_zones(spark, d):
     return I.subtract(B.uem(spark, d), zones, ["file_id"])
 
 
+_EXTEND = 500
+_ZONES = f"""{B.FULL}, kind AS (SELECT file_id, speaker_id, onset_ms, offset_ms FROM turns_ref WHERE offset_ms > onset_ms),
+ lx AS (SELECT file_id, onset_ms, offset_ms FROM merged_ref WHERE speaker_id = 'purchase'), bd AS (SELECT file_id, unnest([onset_ms, offset_ms]) AS t FROM kind WHERE speaker_id IN ('signup', 'view')),
+ nz AS (SELECT file_id, min(onset_ms) AS b, max(offset_ms) AS e FROM (SELECT *, sum(new) OVER (PARTITION BY file_id ORDER BY onset_ms, offset_ms) AS g FROM (SELECT file_id, onset_ms, offset_ms, CASE WHEN onset_ms <= max(offset_ms) OVER (PARTITION BY file_id ORDER BY onset_ms, offset_ms ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM kind WHERE speaker_id IN ('click', 'error')) x) y GROUP BY file_id, g),
+ l AS (SELECT file_id, b, max(onset_ms <= b AND offset_ms > b) AS inside, max(offset_ms) FILTER (offset_ms <= b) AS stop FROM nz LEFT JOIN lx USING (file_id) GROUP BY 1, 2), r AS (SELECT file_id, e, max(onset_ms < e AND offset_ms > e) AS inside, min(onset_ms) FILTER (onset_ms >= e) AS stop, max(offset_ms) AS last FROM nz LEFT JOIN lx USING (file_id) GROUP BY 1, 2),
+ q AS (SELECT file_id, b, e, max(t) FILTER (t <= b) AS lb, min(t) FILTER (t >= e) AS rb FROM nz LEFT JOIN bd USING (file_id) GROUP BY 1, 2, 3),
+ holes AS (SELECT file_id, CASE WHEN l.inside THEN b ELSE greatest(b - {_EXTEND}, l.stop, lb) END AS onset_ms, CASE WHEN rb IS NULL AND r.stop IS NULL AND NOT coalesce(last > e, FALSE) AND e = max(e) OVER (PARTITION BY file_id) THEN 1000000000000 WHEN r.inside THEN e ELSE least(e + {_EXTEND}, r.stop, rb) END AS offset_ms FROM q JOIN l USING (file_id, b) JOIN r USING (file_id, e))"""
+
+
+@R.add(B._minus(_ZONES))
+def b09_extended_zones(spark, d):
+    """Zones of two kinds, extended to the nearest word or segment boundary, taken out of the scoring regions."""
+    t = view(spark, d, "turns_ref")
+    of = lambda *kinds: t.filter(F.col("speaker_id").isin(*kinds))
+    return I.without_zones(B.uem(spark, d), I.extended_zones(of("click", "error"), of("purchase"), of("signup", "view"), ["file_id"], _EXTEND), ["file_id"])
+
+
+@R.add(cte("turns_ref") + """, u0 AS (SELECT file_id AS reco, turn_id AS utt, onset_ms AS b, offset_ms AS e, (SELECT p_name FROM part WHERE p_partkey = turn_id % (SELECT count(*) FROM part)) AS name FROM turns_ref),
+ wd AS (SELECT utt, i AS pos, string_split(name, ' ')[i + 1] AS word, i * (e - b) // len(string_split(name, ' ')) AS s, (e - b) // len(string_split(name, ' ')) AS dur FROM (SELECT *, unnest(range(0, len(string_split(name, ' ')))) AS i FROM u0 WHERE name IS NOT NULL) x),
+ n AS (SELECT *, lag(e) OVER w - b AS own, lag(e) OVER w >= e AS inside, e - lead(b) OVER w AS ahead, lead(e) OVER w <= e AS holds FROM u0 WHERE name IS NOT NULL WINDOW w AS (PARTITION BY reco ORDER BY b, utt)),
+ f AS (SELECT n.*, (SELECT min(pos) FROM wd WHERE wd.utt = n.utt AND 2 * s + dur > own) AS first FROM n), k AS (SELECT *, own IS NOT NULL AND ((own > 0 AND inside) OR first IS NULL) AS dies FROM f),
+ g AS (SELECT *, sum(CASE WHEN dies THEN 0 ELSE 1 END) OVER (PARTITION BY reco ORDER BY b, utt) AS run FROM k), h AS (SELECT *, sum(CASE WHEN dies THEN 1 ELSE 0 END) OVER (PARTITION BY reco, run ORDER BY b, utt) % 2 = 1 AS empty FROM g),
+ v AS (SELECT *, NOT lag(empty) OVER (PARTITION BY reco ORDER BY b, utt) AS cut FROM h),
+ kept AS (SELECT wd.*, ahead, holds, e - b AS len FROM wd JOIN v USING (utt) WHERE NOT empty AND (NOT coalesce(cut, FALSE) OR pos >= first)),
+ st AS (SELECT utt, min(pos) FILTER (ahead IS NOT NULL AND NOT coalesce(ahead > 0 AND holds, FALSE) AND 2 * s + dur > 2 * len - ahead) AS stop FROM kept GROUP BY 1)
+ SELECT utt, CAST(pos AS INT) AS pos, word, s AS start_ms, dur AS dur_ms FROM kept JOIN st USING (utt) WHERE stop IS NULL OR pos < stop""")
+def b28_word_overlaps(spark, d):
+    """Words of turns (those of a part's name, spread over the turn) after neighbours' overlaps are resolved, turns inside others included."""
+    t = view(spark, d, "turns_ref")
+    part = table(spark, d, "part")
+    name = part.select(F.col("p_partkey").alias("k"), F.split("p_name", " ").alias("w"))
+    length = F.col("offset_ms") - F.col("onset_ms")
+    words = t.withColumn("k", F.col("turn_id") % F.lit(part.count())).join(name, "k").select(F.col("turn_id").alias("utt"), length.alias("len"), F.size("w").alias("n"), F.posexplode("w").alias("pos", "word"))
+    words = words.select("utt", "pos", "word", F.expr("pos * len div n").alias("start_ms"), F.expr("len div n").alias("dur_ms"))
+    return I.resolve_word_overlaps(words, t.select(F.col("file_id").alias("reco"), F.col("turn_id").alias("utt"), F.col("onset_ms").alias("start_ms"), F.col("offset_ms").alias("end_ms")))
+
+
 @R.add(cte("segments") + ", n AS (SELECT *, lag(end_ms) OVER w AS pe, lead(start_ms) OVER w AS ns FROM segments WINDOW w AS (PARTITION BY reco ORDER BY seq)), f AS (SELECT utt, start_ms, CASE WHEN pe > start_ms THEN (pe + start_ms) / 2.0 ELSE start_ms END AS b, CASE WHEN ns < end_ms THEN (ns + end_ms) / 2.0 ELSE end_ms END AS e FROM n), w AS (SELECT utt, start_ms + i * 250 AS t, b, e FROM f, (SELECT unnest(range(0, 6)) AS i) x) SELECT utt, t AS start_ms FROM w WHERE t + 125 >= b AND t + 125 < e")
 def b28_resolve_word_overlaps(spark, d):
     """Words of 250 ms whose middle lies inside their utterance after overlaps are cut at the middle."""
