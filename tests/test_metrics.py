@@ -3,6 +3,8 @@ import math
 import random
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 import pytest
 
 from voxlake.operators import intervals as I
@@ -68,3 +70,28 @@ def test_detection_costs_with_no_speech(spark):
     atoms = I.atoms({"ref": spark.createDataFrame([], TURN), "sys": spark.createDataFrame([("F", "x", 0, 500)], TURN)}, spark.createDataFrame([("F", 0, 1000)], "file_id string, onset_ms long, offset_ms long"), ["file_id"])
     r = M.detection_costs(atoms, ["file_id"]).first()
     assert r["miss_rate"] == 0 and r["fa_rate"] == 50.0
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(1, 6), st.integers(1, 6), st.integers(0, 10_000))
+def test_sparse_matching_equals_the_dense_solver(n, m, seed):
+    rng = np.random.default_rng(seed)
+    w = rng.integers(1, 8, (n, m)) * (rng.random((n, m)) < 0.5)
+    got = M.sparse_matching([[(j, int(w[i, j])) for j in range(m) if w[i, j]] for i in range(n)])
+    used = [j for j in got if j >= 0]
+    assert len(used) == len(set(used)) and all(w[i, j] > 0 for i, j in enumerate(got) if j >= 0)
+    square = np.zeros((max(n, m), max(n, m)))
+    square[:n, :m] = w
+    best = square[np.arange(len(square)), M.hungarian(-square)].sum()
+    assert sum(w[i, j] for i, j in enumerate(got) if j >= 0) == best
+
+
+def test_matching_by_component_and_of_very_many(spark):
+    rng = np.random.default_rng(5)
+    rows = [(f"f{i % 3}", f"r{i % 60}", f"s{int(rng.integers(0, 60))}", int(rng.integers(0, 9))) for i in range(180)]
+    pairs = spark.createDataFrame(sorted({r[:3]: r for r in rows}.values()), "file_id string, ref string, sys string, ms long")
+    total = lambda t: sorted((r["file_id"], r["ms"]) for r in t.groupBy("file_id").sum("ms").withColumnRenamed("sum(ms)", "ms").collect())
+    assert total(M.best_mapping(pairs, "file_id", "ms", by_component=True)) == total(M.best_mapping(pairs, "file_id", "ms"))
+    n = 20_000  # a dense matrix would take 3 GB; the best is to take every first pair
+    assert M.sparse_matching([[(i, 3), ((i + 1) % n, 2)] for i in range(n)]) == list(range(n))
+    assert M.best_mapping(pairs.limit(0), "file_id", "ms", by_component=True).count() == 0

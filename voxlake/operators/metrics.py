@@ -6,6 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.operators.components import connected_components
+from voxlake.session import stash
+
 
 def contingency(rows: DataFrame, keys: list[str], ref: str, sys: str) -> DataFrame:
     """(keys, ref, sys, n)."""
@@ -144,26 +147,75 @@ def hungarian(cost):
     return out
 
 
-def best_mapping(matrix: DataFrame, key: str, weight: str) -> DataFrame:
-    """One-to-one mapping of ref to sys of greatest total weight per key: (key, ref, sys, weight), pairs of weight > 0. A group is the
-    speakers-by-speakers matrix of one recording."""
+def sparse_matching(edges: list[list[tuple[int, float]]]) -> list[int]:
+    """Matching of greatest total weight, both sides free to stay unmatched: each row's column, or -1. edges: per row its (column, weight), weights above 0; absent pairs cost no memory.
+    Rows join one after another along the cheapest alternating path, found by reduced costs in order of distance; every row also has a column of its own that is worth nothing."""
+    import heapq
+
+    potential: dict[int, float] = {}
+    height = [-max((w for _, w in e), default=0) for e in edges]
+    owner: dict[int, int] = {}
+    match = [-1] * len(edges)
+    for start in range(len(edges)):
+        dist: dict[int, float] = {}
+        back: dict[int, int] = {}
+        settled: dict[int, float] = {}
+        heap: list[tuple[float, int]] = []
+        row, base = start, 0
+        while True:
+            for column, w in (*edges[row], (-1 - row, 0)):
+                if column not in settled:
+                    d = base - w - height[row] - potential.get(column, 0)
+                    if column not in dist or d < dist[column]:
+                        dist[column], back[column] = d, row
+                        heapq.heappush(heap, (d, column))
+            d, column = heapq.heappop(heap)
+            while column in settled or d > dist[column]:
+                d, column = heapq.heappop(heap)
+            if column not in owner:
+                break
+            settled[column] = d
+            row, base = owner[column], d
+        for c, at in settled.items():
+            potential[c] = potential.get(c, 0) + at - d
+            height[owner[c]] += d - at
+        height[start] += d
+        while True:
+            row = back[column]
+            owner[column], column, match[row] = row, match[row], column
+            if row == start:
+                break
+    return [c if c >= 0 else -1 for c in match]
+
+
+def best_mapping(matrix: DataFrame, key: str, weight: str, *, by_component: bool = False) -> DataFrame:
+    """One-to-one mapping of ref to sys of greatest total weight per key: (key, ref, sys, weight), pairs of weight > 0, of which only those given are held. A group is one recording's pairs or, by component, those of
+    one connected part of them, so that a recording of very many speakers or events is many tasks."""
     import pandas as pd
 
     kind = dict(matrix.dtypes)[weight]
+    rows = matrix.select(key, "ref", "sys", weight).filter(F.col(weight) > 0)
+    group = [key]
+    if by_component:
+        rows = stash(rows.withColumns({"a": F.xxhash64(key, F.lit("ref"), "ref"), "b": F.xxhash64(key, F.lit("sys"), "sys")}), "matching")  # a collision only joins two parts
+        rows = rows.join(connected_components(rows, "a", "b").withColumnRenamed("node", "a"), "a").drop("a", "b")
+        group.append("component")
 
     def solve(t: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        refs, syss = sorted(t["ref"].unique()), sorted(t["sys"].unique())
-        w = np.zeros((len(refs), len(syss)))
-        w[[refs.index(x) for x in t["ref"]], [syss.index(x) for x in t["sys"]]] = t[weight]
-        flip = len(refs) > len(syss)
-        pick = hungarian(-(w.T if flip else w))
-        pairs = [(j, i) if flip else (i, j) for i, j in enumerate(pick)]
-        rows = [(t[key].iloc[0], refs[i], syss[j], w[i, j]) for i, j in pairs if w[i, j] > 0]
-        return pd.DataFrame(rows, columns=[key, "ref", "sys", weight]).astype({weight: "int64" if kind == "bigint" else "float64"})
-
-    return matrix.select(key, "ref", "sys", weight).groupBy(key).applyInPandas(solve, f"{key} string, ref string, sys string, {weight} {kind}")
+        t = t.sort_values(["ref", "sys"])
+        ref, refs = pd.factorize(t["ref"])
+        sys, syss = pd.factorize(t["sys"])
+        edges: list[list[tuple[int, float]]] = [[] for _ in refs]
+        held: dict[tuple[int, int], float] = {}
+        for i, j, w in zip(ref.tolist(), sys.tolist(), t[weight].tolist(), strict=True):
+            held[i, j] = w
+        for (i, j), w in held.items():
+            edges[i].append((j, w))
+        got = [(t[key].iloc[0], refs[i], syss[j], held[i, j]) for i, j in enumerate(sparse_matching(edges)) if j >= 0]
+        return pd.DataFrame(got, columns=[key, "ref", "sys", weight]).astype({weight: "int64" if kind == "bigint" else "float64"})
+
+    of = dict(matrix.dtypes)
+    return rows.groupBy(*group).applyInPandas(solve, f"{key} {of[key]}, ref {of['ref']}, sys {of['sys']}, {weight} {kind}")
 
 
 def der(atoms: DataFrame, mapped: DataFrame, uem: DataFrame) -> DataFrame:

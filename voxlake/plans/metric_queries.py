@@ -137,6 +137,14 @@ def _der(spark, d):
 _DER = _BESTMS + ", a AS (SELECT file_id, sum((offset_ms - onset_ms) * n_ref) AS scored, sum((offset_ms - onset_ms) * greatest(n_ref - n_sys, 0)) AS miss, sum((offset_ms - onset_ms) * greatest(n_sys - n_ref, 0)) AS fa, sum((offset_ms - onset_ms) * least(n_sys, n_ref)) AS common FROM atoms GROUP BY 1), der AS (SELECT file_id, CAST(scored AS BIGINT) AS scored, CAST(miss AS BIGINT) AS miss, CAST(fa AS BIGINT) AS fa, CAST(common - total AS BIGINT) AS error FROM a JOIN best USING (file_id))"
 
 
+@R.add()
+def d14_sparse_matching(spark, d):
+    """Reference turns matched one to one with system turns by common time: thousands on each side of a file, few pairs."""
+    turn = lambda t: t.withColumn("speaker_id", F.col("turn_id"))
+    pairs = M.overlap_matrix(turn(view(spark, d, "turns_ref")), turn(view(spark, d, "turns_sys")), ["file_id"])
+    return M.best_mapping(pairs, "file_id", "ms", by_component=True).groupBy("file_id").agg(F.count("*").alias("pairs"), F.sum("ms").alias("ms"))
+
+
 @R.add(_DER + " SELECT *, round(100.0 * (miss + fa + error) / scored, 6)::DOUBLE AS der FROM der")
 def d15_der(spark, d):
     return _der(spark, d)
