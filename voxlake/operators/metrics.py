@@ -188,34 +188,36 @@ def sparse_matching(edges: list[list[tuple[int, float]]]) -> list[int]:
     return [c if c >= 0 else -1 for c in match]
 
 
+#: Pairs of one task's connected parts, about.
+PAIRS = 20_000
+
+
 def best_mapping(matrix: DataFrame, key: str, weight: str, *, by_component: bool = False) -> DataFrame:
-    """One-to-one mapping of ref to sys of greatest total weight per key: (key, ref, sys, weight), pairs of weight > 0, of which only those given are held. A group is one recording's pairs or, by component, those of
-    one connected part of them, so that a recording of very many speakers or events is many tasks."""
+    """One-to-one mapping of ref to sys of greatest total weight per key: (key, ref, sys, weight), pairs of weight > 0, of which only those given are held. A group is one recording's pairs or, by component, some connected
+    parts of all, so that a recording of very many speakers or events is many tasks."""
     import pandas as pd
 
-    kind = dict(matrix.dtypes)[weight]
+    of = dict(matrix.dtypes)
     rows = matrix.select(key, "ref", "sys", weight).filter(F.col(weight) > 0)
-    group = [key]
+    group = key
     if by_component:
         rows = stash(rows.withColumns({"a": F.xxhash64(key, F.lit("ref"), "ref"), "b": F.xxhash64(key, F.lit("sys"), "sys")}), "matching")  # a collision only joins two parts
-        rows = rows.join(connected_components(rows, "a", "b").withColumnRenamed("node", "a"), "a").drop("a", "b")
-        group.append("component")
+        parts = rows.count() // PAIRS + 1
+        rows = rows.join(connected_components(rows, "a", "b").withColumnRenamed("node", "a"), "a").withColumn("part", F.pmod(F.xxhash64("component"), F.lit(parts))).drop("a", "b", "component")
+        group = "part"
 
     def solve(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values(["ref", "sys"])
-        ref, refs = pd.factorize(t["ref"])
-        sys, syss = pd.factorize(t["sys"])
-        edges: list[list[tuple[int, float]]] = [[] for _ in refs]
-        held: dict[tuple[int, int], float] = {}
-        for i, j, w in zip(ref.tolist(), sys.tolist(), t[weight].tolist(), strict=True):
-            held[i, j] = w
-        for (i, j), w in held.items():
+        t = t.drop_duplicates([key, "ref", "sys"]).sort_values([key, "ref", "sys"], ignore_index=True)
+        ref = pd.factorize(pd.MultiIndex.from_frame(t[[key, "ref"]]))[0]
+        sys = pd.factorize(pd.MultiIndex.from_frame(t[[key, "sys"]]))[0]
+        edges: list[list[tuple[int, float]]] = [[] for _ in range(ref.max() + 1)]
+        place = {}
+        for k, (i, j, w) in enumerate(zip(ref.tolist(), sys.tolist(), t[weight].tolist(), strict=True)):
             edges[i].append((j, w))
-        got = [(t[key].iloc[0], refs[i], syss[j], held[i, j]) for i, j in enumerate(sparse_matching(edges)) if j >= 0]
-        return pd.DataFrame(got, columns=[key, "ref", "sys", weight]).astype({weight: "int64" if kind == "bigint" else "float64"})
+            place[i, j] = k
+        return t.loc[[place[i, j] for i, j in enumerate(sparse_matching(edges)) if j >= 0], [key, "ref", "sys", weight]]
 
-    of = dict(matrix.dtypes)
-    return rows.groupBy(*group).applyInPandas(solve, f"{key} {of[key]}, ref {of['ref']}, sys {of['sys']}, {weight} {kind}")
+    return rows.groupBy(group).applyInPandas(solve, f"{key} {of[key]}, ref {of['ref']}, sys {of['sys']}, {weight} {of[weight]}")
 
 
 def der(atoms: DataFrame, mapped: DataFrame, uem: DataFrame) -> DataFrame:
