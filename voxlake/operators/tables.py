@@ -116,6 +116,50 @@ def coverage_range(rows: DataFrame, dur: str, percent: float) -> DataFrame:
     return t.agg(F.min(F.when(F.col("u") > bar, F.col("d"))).alias("lo"), F.max(F.when(F.col("v") > bar, F.col("d"))).alias("hi"))
 
 
+def duration_ladder(lo: float, hi: float, factor: float, *, frame_ms: float = 25.0, shift_ms: float = 10.0, subsampling: int = 3, least_ms: float = 300.0) -> list[tuple[float, int]]:
+    """(duration in ms, length in frames) of the allowed durations from lo (but not below least_ms) to below hi, each `factor` times the one before, snapped down to a length that subsampling divides.
+    Their number is the logarithm of hi / lo."""
+    out, x = [], max(float(lo), least_ms)
+    if factor <= 1:
+        raise ValueError("durations grow by a factor over 1")
+    while x < hi:
+        length = int(x - frame_ms) / shift_ms + 1
+        if length % subsampling:
+            length = subsampling * (length // subsampling)
+            x = shift_ms * (length - 1) + frame_ms + shift_ms / 2
+        if out and x <= out[-1][0]:
+            raise ValueError("the factor is too small for the snapping")
+        out.append((x, int(length)))
+        x *= factor
+    return out
+
+
+def allowed_variants(rows: DataFrame, utt: str, dur: str, ladder: list[float], factor: float) -> DataFrame:
+    """(utt, variant, dur_ms, speed): an utterance's copies of allowed durations. pv1: played at the next lower one, pv2 at the next higher, pv3: filled up with silence to that (speed 1; none where it is that long already).
+    An utterance whose next lower duration is more than `factor` away has none at all, one whose next higher is has pv1 only. The steps of the ladder are met by an equi join on the logarithm's bucket."""
+    spark, ends = rows.sparkSession, sorted(ladder)
+    if not ends:
+        return rows.select(F.col(utt).alias("utt"), F.lit("").alias("variant"), F.lit(0.0).alias("dur_ms"), F.lit(0.0).alias("speed")).limit(0)
+    steps = [(None, ends[0]), *zip(ends, ends[1:], strict=False), (ends[-1], None)]
+    bucket = lambda c: F.floor(F.log(c) / F.log(F.lit(1.5)))
+    t = spark.createDataFrame([(k, lo, hi) for k, (lo, hi) in enumerate(steps)], "k int, lo double, hi double")
+    bounds = rows.agg(F.min(dur).cast("double").alias("least"), F.max(dur).cast("double").alias("most"))  # one row
+    t = t.join(F.broadcast(bounds)).withColumn("b", F.explode(F.sequence(bucket(F.greatest(F.coalesce("lo", "least"), F.lit(1e-3))), bucket(F.greatest(F.coalesce("hi", "most"), F.coalesce("lo", "least"), F.lit(1e-3))))))
+    d = F.col("d")
+    met = rows.filter(F.col(dur) > 0).select(F.col(utt).alias("utt"), F.col(dur).cast("double").alias("d")).withColumn("b", bucket(d)).join(F.broadcast(t), "b")  # a few rows a step
+    inside = F.when(F.col("k") == 0, d < F.col("hi")).when(F.col("k") == len(ends), d > F.col("lo")).otherwise((d > F.col("lo")) | ((F.col("k") == 1) & (d == F.col("lo")))) & (F.col("hi").isNull() | (d <= F.col("hi")))
+    if len(ends) == 1:
+        inside = F.when(F.col("k") == 0, d < F.col("hi")).otherwise(d >= F.col("lo"))
+    met = met.filter(inside)
+    near = lambda c: F.greatest(d / F.col(c), F.col(c) / d) <= factor
+    low, high = F.col("lo").isNotNull(), F.col("hi").isNotNull()
+    go = ~low | near("lo")
+    up = go & high & near("hi")
+    one = lambda ok, name, to, speed: F.when(ok, F.struct(F.lit(name).alias("variant"), to.alias("dur_ms"), speed.alias("speed")))
+    copies = F.array(one(low & near("lo"), "pv1", F.col("lo"), d / F.col("lo")), one(up, "pv2", F.col("hi"), d / F.col("hi")), one(up & (F.col("hi") - d > 0.1), "pv3", F.col("hi"), F.lit(1.0)))
+    return met.select("utt", F.explode(F.filter(copies, lambda c: c.isNotNull())).alias("c")).select("utt", "c.*")
+
+
 def pronunciation_probs(rows: DataFrame, word: str, pron: str, *, max_normalize: bool = False) -> DataFrame:
     """Add-one smoothed share of each pronunciation of a word, or its ratio to the word's commonest."""
     n = rows.groupBy(word, pron).agg((F.count("*") + 1).alias("n"))

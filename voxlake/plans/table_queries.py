@@ -209,9 +209,29 @@ def _ladder(spark):
     return spark.range(60).select(F.col("id").alias("rung"), (F.round(F.round(500 * F.pow(F.lit(1.1), "id")) / 10) * 10).cast("long").alias("dur_ms"))
 
 
-@R.add(_LADDER)
+_RANGE = "b AS (SELECT dur, sum(dur) AS s FROM utt2dur GROUP BY dur), c AS (SELECT dur, sum(s) OVER (ORDER BY dur) AS u, sum(s) OVER (ORDER BY dur DESC) AS v, sum(s) OVER () * 5.0 / 100 AS bar FROM b), e AS (SELECT min(dur) FILTER (u > bar) AS lo, max(dur) FILTER (v > bar) AS hi FROM c)"
+_SNAP = "CASE WHEN (trunc(x - 25) / 10 + 1) % 3 <> 0 THEN 10 * (3 * floor((trunc(x - 25) / 10 + 1) / 3) - 1) + 30 ELSE x END"
+_RUNGS = f"{_RANGE}, raw(x, hi) AS (SELECT greatest(lo, 300)::DOUBLE, hi FROM e UNION ALL SELECT ({_SNAP}) * 1.12::DOUBLE, hi FROM raw WHERE ({_SNAP}) * 1.12::DOUBLE < hi), ladder AS (SELECT {_SNAP} AS dur_ms FROM raw WHERE x < hi)"
+
+
+def _allowed(spark, d):
+    """Rungs over the range that covers all but five percent of the time at each end."""
+    r = T.coverage_range(view(spark, d, "utt2dur"), "dur", 5.0).first()
+    return T.duration_ladder(r["lo"], r["hi"], 1.12) if r["lo"] is not None else []
+
+
+@R.add(cte("utt2dur").replace("WITH ", "WITH RECURSIVE ", 1) + f", {_RUNGS} SELECT dur_ms, CAST(trunc(trunc(dur_ms - 25) / 10 + 1) AS BIGINT) AS length FROM ladder")
 def a31_duration_ladder(spark, d):
-    return _ladder(spark)
+    return spark.createDataFrame(_allowed(spark, d), "dur_ms double, length long")
+
+
+@R.add(cte("utt2dur").replace("WITH ", "WITH RECURSIVE ", 1) + f""", {_RUNGS}, m AS (SELECT min(dur_ms) AS first, max(dur_ms) AS last FROM ladder),
+ x AS (SELECT utt, dur::DOUBLE AS d, max(dur_ms) FILTER (dur_ms < dur OR (dur_ms = dur AND dur = first)) AS lo, min(dur_ms) FILTER (dur_ms > dur OR (dur_ms = dur AND dur > first)) AS hi FROM utt2dur, ladder, m GROUP BY utt, dur),
+ y AS (SELECT *, lo IS NULL OR greatest(d / lo, lo / d) <= 1.12::DOUBLE AS go, greatest(d / hi, hi / d) <= 1.12::DOUBLE AS near FROM x)
+ SELECT utt, 'pv1' AS variant, lo AS dur_ms, d / lo AS speed FROM y WHERE go AND lo IS NOT NULL UNION ALL SELECT utt, 'pv2', hi, d / hi FROM y WHERE go AND near UNION ALL SELECT utt, 'pv3', hi, 1.0::DOUBLE FROM y WHERE go AND near AND hi - d > 0.1""")
+def a32_allowed_variants(spark, d):
+    """Copies of every utterance at the allowed durations next to its own."""
+    return T.allowed_variants(view(spark, d, "utt2dur"), "utt", "dur", [x for x, _ in _allowed(spark, d)], 1.12)
 
 
 @R.add(cte("utt2dur") + f", ladder AS ({_LADDER}), x AS (SELECT utt, dur, max(dur_ms) FILTER (dur_ms <= dur) AS lo, min(dur_ms) FILTER (dur_ms > dur) AS hi FROM utt2dur, ladder GROUP BY utt, dur) SELECT utt, lo, hi, dur::DOUBLE / lo <= 1.06 AS down, hi::DOUBLE / dur <= 1.06 AS up FROM x")
