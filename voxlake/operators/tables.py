@@ -117,7 +117,7 @@ def coverage_range(rows: DataFrame, dur: str, percent: float) -> DataFrame:
 
 
 def duration_ladder(lo: float, hi: float, factor: float, *, frame_ms: float = 25.0, shift_ms: float = 10.0, subsampling: int = 3, least_ms: float = 300.0) -> list[tuple[float, int]]:
-    """(duration in ms, length in frames) of the allowed durations from lo (but not below least_ms) to below hi, each `factor` times the one before, snapped down to a length that subsampling divides.
+    """(duration in ms, length in frames) of the allowed durations from lo (but not below least_ms) to below hi, each `factor` times the one before, snapped to a length that subsampling divides (down, or up by less than half a shift).
     Their number is the logarithm of hi / lo."""
     out, x = [], max(float(lo), least_ms)
     if factor <= 1:
