@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.session import stash
+
 BOS, EOS = "<s>", "</s>"
 
 
@@ -59,12 +61,18 @@ def adjusted(counts: DataFrame, order: int) -> DataFrame:
 
 
 def kn_probabilities(counts: DataFrame, order: int) -> DataFrame:
-    """(n, hist, word, f, bow_mass): discounted share of each word after its history, and the mass the history leaves to lower orders."""
+    """(n, hist, word, f, left): discounted share of each word after its history, and the mass the history leaves to lower orders. Counts are made once. A history is a window of the words seen behind it;
+    words without a history, the whole vocabulary, are no window: their two sums are one row that is sent to all."""
+    counts = stash(counts, "ngram-counts")
     t = adjusted(counts, order).join(F.broadcast(discounts(counts)), "n")  # one row per order
+    less = F.greatest(F.lit(0.0), F.col("c") - F.col("d"))
     w = Window.partitionBy("n", "hist")
-    total = F.sum("c").over(w)
-    t = t.withColumn("f", F.greatest(F.lit(0.0), F.col("c") - F.col("d")) / total)
-    return t.select("n", "hist", "word", F.round("f", 6).alias("f"), plain(1 - F.sum("f").over(w)).alias("left"))
+    long_ = t.filter("n > 1").withColumn("f", less / F.sum("c").over(w)).withColumn("left", plain(1 - F.sum("f").over(w)))
+    one = stash(t.filter("n = 1"), "unigrams")
+    one = one.join(F.broadcast(one.agg(F.sum("c").alias("total")))).withColumn("f", less / F.col("total"))
+    one = one.join(F.broadcast(one.agg(plain(1 - F.sum("f")).alias("left"))))
+    names = ["n", "hist", "word", F.round("f", 6).alias("f"), "left"]
+    return long_.select(*names).unionByName(one.select(*names))
 
 
 def backoff_weights(probs: DataFrame) -> DataFrame:
