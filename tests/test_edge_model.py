@@ -80,6 +80,25 @@ def test_tables_and_one_task_give_the_same_clusters(spark):
     assert plain(cluster(both, model, most=60)) == plain(G.predicted_clusters(both, model=model))
 
 
+def test_levels_stop_early(spark):
+    """The recordings' levels end at the second, whose links are more than a (k - 1)th of the first's, or later; tables and tasks agree."""
+    x = vectors(spark, 300, labels=12, spread=0.6)
+    model = E.fit_edge_model(x, 8, epochs=4)
+    plain = lambda t: sorted((r["reco"], r["node"], r["cluster"]) for r in t.collect())
+    early = plain(G.predicted_clusters(x, k=4, model=model, early_stop=True))
+    assert early == plain(cluster_levels(x, k=4, model=model, early_stop=True))
+    two = plain(G.predicted_clusters(x, k=4, model=model, levels=2))
+    first = plain(G.predicted_clusters(x, k=4, model=model, levels=1))
+    count = lambda t, reco: len({c for r, _, c in t if r == reco})
+    for reco in ("rec0", "rec1"):
+        n = sum(r == reco for r, _, _ in first)
+        links = n - count(first, reco), count(first, reco) - count(two, reco)
+        if links[1] and links[0] / links[1] < 3:
+            assert [r for r in early if r[0] == reco] == [r for r in two if r[0] == reco]
+        else:
+            assert count(early, reco) <= count(two, reco)
+
+
 def test_no_rows(spark):
     x = vectors(spark).limit(0)
     with pytest.raises(ValueError):

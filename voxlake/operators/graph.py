@@ -288,9 +288,11 @@ def joint_loss(scored: DataFrame, truth: DataFrame, labelled: DataFrame, *, beta
     return mse.join(edge).select(*[F.round(c, 6).alias(n) for c, n in ((F.col("mse"), "mse"), (F.col("ce"), "ce"), (F.col("focal"), "focal"), (weigh("ce"), "loss"), (weigh("focal"), "focal_loss"))])
 
 
-def cluster_recording(nodes: np.ndarray, v: np.ndarray, k: int, tau: float, levels: int, density: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+def cluster_recording(nodes: np.ndarray, v: np.ndarray, k: int, tau: float, levels: int, density: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], early_stop: bool = False) -> np.ndarray:
     """Cluster (its peak's node) of each node of one recording. A level links every node to its nearest denser neighbour, if nearer than 1 - tau; the peaks, with the means of their clusters, are
-    the next level. density(unit vectors, neighbours, similarities) of a level's nodes is predicted."""
+    the next level. density(unit vectors, neighbours, similarities) of a level's nodes is predicted. The last level is that without a new link, the last of `levels` or, with early_stop, one that the level before exceeds
+    less than k - 1 times in links."""
+    before = np.inf
     own, at = np.arange(len(nodes)), np.arange(len(nodes))  # peak of each node; the level's nodes
     for number in range(levels):
         n = len(at)
@@ -307,7 +309,8 @@ def cluster_recording(nodes: np.ndarray, v: np.ndarray, k: int, tau: float, leve
         dens = density(u, near[:, 1:], 1 - far[:, 1:])
         fits = (dens[near[:, 1:]] > dens[:, None]) & (far[:, 1:] < 1 - tau)
         up = np.where(fits.any(1), near[np.arange(n), 1 + fits.argmax(1)], np.arange(n))
-        if (up == np.arange(n)).all():
+        added = int((up != np.arange(n)).sum())
+        if not added:
             break
         while not (up == (hop := up[up])).all():
             up = hop
@@ -315,6 +318,9 @@ def cluster_recording(nodes: np.ndarray, v: np.ndarray, k: int, tau: float, leve
         own = to[own]
         v = np.round(np.stack([np.bincount(to, c, len(peaks)) for c in v.T], 1) / np.bincount(to)[:, None], DIGITS)
         at = at[peaks]
+        if early_stop and before / added < k - 1:
+            break
+        before = added
     return nodes[at[own]]
 
 
@@ -343,7 +349,7 @@ def model_density(model) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.nd
 KERNEL_NODES = 20_000
 
 
-def predicted_clusters(x: DataFrame, k: int = 10, tau: float = 0.0, levels: int = 15, slope: float = 20.0, bias: float = -5.0, model=None) -> DataFrame:  # noqa: ANN001
+def predicted_clusters(x: DataFrame, k: int = 10, tau: float = 0.0, levels: int = 15, slope: float = 20.0, bias: float = -5.0, model=None, early_stop: bool = False) -> DataFrame:  # noqa: ANN001
     """(reco, node, cluster) by cluster_recording; a recording is one task's call, all recordings run side by side in one stage. Densities are the model's, or the logistic's without one. Labels are not read."""
     kind = dict(x.dtypes)["reco"]
     density = model_density(model) if model is not None else logistic_density(slope, bias)
@@ -352,7 +358,7 @@ def predicted_clusters(x: DataFrame, k: int = 10, tau: float = 0.0, levels: int
         nodes = t.column("node").to_numpy()
         order = np.argsort(nodes, kind="stable")
         nodes, v = nodes[order], matrix(t.column("embedding"))[order]
-        return pa.table({"reco": pa.array(t.column("reco").slice(0, 1).to_pylist() * len(nodes), t.schema.field("reco").type), "node": nodes, "cluster": cluster_recording(nodes, v, k, tau, levels, density)})
+        return pa.table({"reco": pa.array(t.column("reco").slice(0, 1).to_pylist() * len(nodes), t.schema.field("reco").type), "node": nodes, "cluster": cluster_recording(nodes, v, k, tau, levels, density, early_stop)})
 
     rows = x.select("reco", F.col("node").cast("long").alias("node"), F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.groupBy("reco").applyInArrow(run, f"reco {kind}, node long, cluster long")

@@ -14,9 +14,10 @@ from voxlake.operators.graph import predicted_clusters
 from voxlake.session import stash
 
 
-def cluster_levels(x: DataFrame, k: int = 10, tau: float = 0.0, levels: int = 15, model: EdgeModel | None = None) -> DataFrame:
+def cluster_levels(x: DataFrame, k: int = 10, tau: float = 0.0, levels: int = 15, model: EdgeModel | None = None, early_stop: bool = False) -> DataFrame:
     """(reco, node, cluster): densities are those of the labels, or predicted by an edge model, which reads no labels. Each level links the peaks of the one before; all recordings advance together, and those whose graph has become too
-    small for k neighbours drop out. One row per node is carried, whatever the level."""
+    small for k neighbours drop out, with early_stop also those whose level before has less than k - 1 times as many new links. One row per node is carried, whatever the level."""
+    before = None
     own = stash(x.select("reco", "node", F.col("node").alias("cluster")), "levels")
     kept = ["reco", "node"] if model else ["reco", "node", "label"]
     level = x.select(*kept, F.col("embedding").cast("array<double>").alias("embedding"))
@@ -32,6 +33,12 @@ def cluster_levels(x: DataFrame, k: int = 10, tau: float = 0.0, levels: int = 15
         own = stash(own.join(rooted.select(F.col("node").alias("cluster"), "root"), "cluster", "left").select("reco", "node", F.coalesce("root", "cluster").alias("cluster")), "levels")
         means = G.next_features(G.cluster_means(level, rooted)).withColumnRenamed("root", "node")
         level = level.drop("embedding").join(means, "node").select(*kept, "embedding")
+        if early_stop:
+            added = stash(parents.groupBy("reco").agg(F.count("*").alias("added")), "level-links")  # one row a recording
+            if before is not None:
+                go = added.join(before.withColumnRenamed("added", "before"), "reco").filter(F.col("before") / F.col("added") >= k - 1)
+                level = level.join(go, "reco", "left_semi")
+            before = added
     return own
 
 
