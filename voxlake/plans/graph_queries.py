@@ -231,9 +231,8 @@ def c33_adaptive_k(spark, d):
 
 @R.add(f"{FOREST} SELECT i, j, sim FROM sims WHERE i IN (SELECT root FROM roots) AND j IN (SELECT root FROM roots)")
 def c34_subset_affinity(spark, d):
-    r = rooted(spark, d).select("root").distinct()
-    p = G.cosine_pairs(x(spark, d)).join(r.withColumnRenamed("root", "i"), "i", "left_semi").join(r.withColumnRenamed("root", "j"), "j", "left_semi")
-    return p.select("i", "j", "sim")
+    r = rooted(spark, d).select(F.col("root").alias("node"))
+    return G.cosine_pairs(x(spark, d).join(r, "node", "left_semi")).select("i", "j", "sim")
 
 
 @R.add(f"{BASE}, {EDGES}, e AS (SELECT dst AS node, src AS nbr, round(2 - (CASE WHEN x.label = y.label THEN 1 ELSE 0 END + sim), 6) AS dist FROM edges JOIN xvec x ON x.node = src JOIN xvec y ON y.node = dst), r AS (SELECT *, row_number() OVER (PARTITION BY node ORDER BY dist, nbr) AS rn FROM e) SELECT node, nbr, dist / 2 AS dist FROM r WHERE rn <= {-(-K // 2)}")
