@@ -84,8 +84,8 @@ def join_keys(words: DataFrame, rarest: int = RAREST) -> DataFrame:
     bit = lambda salt: F.expr(f"bit_or(shiftleft(1L, pmod(hash(gram, {salt}), 64)))")
     at = F.sequence(F.lit(1), F.length("word") - 1)
     grams = words.select("word", F.length("word").alias("n_chars"), F.posexplode(F.transform(at, lambda i: F.substring("word", i, F.lit(2)))).alias("at", "gram"))
-    seen = grams.groupBy("gram").agg(F.count("*").alias("seen"))
-    ranked = grams.join(seen, "gram").groupBy("word", "n_chars").agg(F.array_sort(F.collect_list(F.struct("seen", "gram", "at"))).alias("grams"), bit(1).alias("bits"), bit(2).alias("more"))
+    seen = grams.groupBy("gram").agg(F.count("*").alias("seen"))  # at most 91 letters squared
+    ranked = grams.join(F.broadcast(seen), "gram").groupBy("word", "n_chars").agg(F.array_sort(F.collect_list(F.struct("seen", "gram", "at"))).alias("grams"), bit(1).alias("bits"), bit(2).alias("more"))
     rare = ranked.select("word", "n_chars", "bits", "more", F.explode(F.transform(F.slice("grams", 1, rarest), lambda g: g["at"])).alias("at"))
     left = F.concat(F.lit("<"), F.substring(F.col("word"), F.lit(1), F.col("at") + 2))
     right = F.concat(F.lit(">"), F.substring(F.col("word"), F.col("at") + 1, F.col("n_chars")))
