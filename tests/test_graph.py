@@ -100,3 +100,33 @@ def test_edge_model_against_arrays(spark):
     rows = spark.createDataFrame([(float(p), float(q), bool(t)) for (p, q), t in zip(a, y, strict=True)], "p double, q double, same boolean")
     last, mean = N.fit_logistic(rows, ["p", "q"], "same", epochs=12, average_from=8)
     assert np.allclose(last, w) and np.allclose(mean, np.mean(seen[8:], axis=0))
+
+
+def test_pairs_of_tiles_are_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    v = [[float(a) for a in r] for r in rng.standard_normal((37, 6))]
+    v[3], v[4], v[5] = None, [0.0] * 6, [1.0, None, 0.0, 0.0, 0.0, 0.0]
+    x = spark.createDataFrame([(f"r{i % 2}", i, i // 6, v[i]) for i in range(37)], "reco string, node long, place long, embedding array<double>")
+    known = [i for i in range(37) if i not in (3, 4, 5)]
+    u = {i: np.array(v[i]) / np.linalg.norm(v[i]) for i in known}
+    sim = {(i, j): round(float(u[i] @ u[j]), 6) if i in u and j in u else None for i in range(37) for j in range(37) if i % 2 == j % 2}
+    got = [((r["i"], r["j"]), r["sim"], r["place_i"], r["place_j"]) for r in G.cosine_pairs(x, carry=("place",), tile=4).collect()]
+    assert len(got) == len(sim) and {p: s for p, s, *_ in got} == sim and all((a, b) == (i // 6, j // 6) for (i, j), _, a, b in got)
+    above = {(r["i"], r["j"]) for r in G.cosine_pairs(x, above=0.3, tile=4).collect()}
+    assert above == {(i, j) for (i, j), s in sim.items() if i < j and s is not None and s > 0.3}
+    for r in G.cosine_extremes(x, tile=4).collect():
+        own = [s for (i, _), s in sim.items() if f"r{i % 2}" == r["reco"] and s is not None]
+        assert (r["lo"], r["hi"]) == (min(own), max(own))
+    cells = {}
+    for (i, j), s in sim.items():
+        key = (f"r{i % 2}", i // 6, j // 6)
+        total, n = cells.get(key, (None, 0))
+        cells[key] = (total if s is None else (total or 0) + round(s * 1e6), n + 1)
+    assert {(r["reco"], r["a"], r["b"]): (r["micro_sum"], r["n"]) for r in G.halve_affinity(x, "place", tile=4).collect()} == cells
+    near = {}
+    for r in G.nearest_pairs(x, 4, tile=4).collect():
+        near.setdefault(r["node"], {})[r["rank"]] = (r["nbr"], r["dist"])
+    for i in range(37):
+        dist = {j: 0.0 if i == j else None if s is None else round(1 - s, 6) for (a, j), s in sim.items() if a == i}
+        order = sorted(dist, key=lambda j: (dist[j] is None, dist[j] or 0.0, j))[:4]
+        assert [near[i][k] for k in range(4)] == [(j, dist[j]) for j in order]
