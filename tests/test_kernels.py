@@ -157,3 +157,30 @@ def test_metadata_lines(spark):
     lines = ["; x", "", "SPKR-INFO f 1 <NA> <NA> <NA> child s1 <NA>", "SPEAKER f 1 0.5 2 <NA> <NA> s1 <NA>", "SPEAKER f 1 1* 2 <NA> <NA> s2 <NA>", "lexeme f A 0 1 WORD fp s1 <NA>", "SU f 1 0 1 <NA> nothing s1 <NA>", "SU f 1 0"]
     got = {(r["type"], r["speaker"], r["subtype"], r["kind"], r["fault"], r["onset_ms"]) for r in V.parse_metadata(spark.createDataFrame([(x,) for x in lines], "line string")).collect()}
     assert got == {("SPEAKER", "s1", "child", None, None, 500), ("SPEAKER", "s2", "unknown", None, None, 1000), ("LEXEME", "s1", "fp", "fp", None, 0), ("SU", "s1", "nothing", None, "unknown type or subtype", 0), ("SU", None, None, None, "too few fields", 0)}
+
+
+def test_sparse_paths_are_the_dense_ones():
+    rng = np.random.default_rng(8)
+    for _ in range(400):
+        n, m = (int(x) for x in rng.integers(0, 12, 2))
+        i, j = np.nonzero(rng.random((n, m)) < 0.4)
+        value = rng.integers(-1, 4, len(i)).astype(float)
+        score = np.full((n, m), np.nan)
+        score[i, j] = value
+        deleted, inserted = (float(x) for x in rng.integers(-2, 1, 2))
+        assert N.sparse_path(n, m, i, j, value, deleted, inserted) == N.best_path(score, np.full(n, deleted), np.full(m, inserted))
+
+
+def test_events_of_a_long_file_are_mapped_without_all_pairs(spark):
+    n = 60_000
+    ref = spark.range(n).selectExpr("'f' as k", "id as i")
+    sys = spark.range(n).selectExpr("'f' as k", "id as j")
+    pairs = spark.range(n - 1).selectExpr("'f' as k", "id as i", "id + 1 as j", "1.0D as score").unionByName(spark.range(n).selectExpr("'f' as k", "id as i", "id as j", "0.5D as score"))
+    got = {r["i"]: r["j"] for r in V.map_events(ref, sys, "k", pairs).collect()}
+    assert len(got) == n + 1 and got[None] == 0 and got[n - 1] is None and all(got[i] == i + 1 for i in range(n - 1))
+
+
+def test_times_are_warped_without_a_frame_that_each_row_reads_to_its_end(spark):
+    points = spark.createDataFrame([("f", 5.0)], "k string, ts double")
+    anchors = spark.createDataFrame([("f", 0.0, 1.0, 0.0, 1.0)], "k string, begin double, end double, ref_begin double, ref_end double")
+    assert "unboundedfollowing" not in V.warp_times(points, anchors, "k")._jdf.queryExecution().toString().lower()

@@ -294,6 +294,49 @@ def best_path(score: np.ndarray, deleted: np.ndarray, inserted: np.ndarray, beam
     return out
 
 
+def sparse_path(n: int, m: int, i: np.ndarray, j: np.ndarray, score: np.ndarray, deleted: float, inserted: float) -> list[int]:
+    """best_path without a beam where few of n times m events may match: pairs (i, j) with their scores, sorted by i and j. Memory is that of the pairs and one row; a row's work is on the system events between
+    its first change and the last one reached so far."""
+    gain = score - deleted - inserted
+    best = np.full(m + 1, -np.inf)  # by the last system event used up: gain over mapping nothing
+    top, where = np.zeros(m + 1), np.zeros(m + 1, np.int64)  # greatest gain so far from the left, and the first place that has it
+    best[0], reached = 0.0, 0  # top is filled in up to reached and the same beyond
+    link = np.full(m + 1, -1, np.int64)  # step that led here
+    row, column, before, steps = [], [], [], 0
+    cuts = np.flatnonzero(np.diff(i)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True) if len(i) else ():
+        at = j[lo:hi]
+        left = np.minimum(at, reached)
+        found = gain[lo:hi] + top[left]
+        better = np.flatnonzero(found > best[at + 1])
+        if not len(better):
+            continue
+        to = at[better] + 1
+        row.append(np.full(len(to), i[lo], np.int32))
+        column.append(at[better].astype(np.int32))
+        before.append(link[where[left[better]]])
+        best[to], link[to] = found[better], np.arange(steps, steps + len(to))
+        steps += len(to)
+        first, reached = int(to[0]), max(reached, int(to[-1]))
+        start = min(first, reached)
+        fill = min(first - 1, int(left[better[0]]))
+        some = best[start : reached + 1]
+        run = np.maximum.accumulate(np.concatenate([[top[fill]], some]))
+        new = some > run[:-1]
+        top[start : reached + 1] = run[1:]
+        where[start : reached + 1] = np.maximum.accumulate(np.where(new, np.arange(start, reached + 1), where[fill]))
+        if fill < first - 1:
+            top[fill + 1 : first], where[fill + 1 : first] = top[fill], where[fill]
+    out = [-1] * n
+    if steps:
+        row, column, before = (np.concatenate(c) for c in (row, column, before))
+        step = int(link[where[reached]])
+        while step >= 0:
+            out[int(row[step])] = int(column[step])
+            step = int(before[step])
+    return out
+
+
 def fit_logistic(rows: DataFrame, features: list[str], truth: str, *, epochs: int = 20, rate: float = 1.0, momentum: float = 0.9, average_from: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias by full-batch gradient descent with momentum and a cosine rate, after the last step and averaged over the steps from average_from on. rows are
     read once an epoch, so the caller writes what is dear to compute; every gradient is one aggregate, and nothing but sums reaches the driver."""
