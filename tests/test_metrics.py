@@ -95,3 +95,12 @@ def test_matching_by_component_and_of_very_many(spark):
     n = 20_000  # a dense matrix would take 3 GB; the best is to take every first pair
     assert M.sparse_matching([[(i, 3), ((i + 1) % n, 2)] for i in range(n)]) == list(range(n))
     assert M.best_mapping(pairs.limit(0), "file_id", "ms", by_component=True).count() == 0
+
+
+def test_detection_costs_divide_as_sql_does(spark):
+    import math
+
+    atoms = spark.createDataFrame([("full", 0, 10, 1, 1), ("mute", 0, 10, 0, 1)], "file_id string, onset_ms long, offset_ms long, n_ref int, n_sys int")
+    got = {r["file_id"]: r for r in M.detection_costs(atoms, ["file_id"], ieee=True).collect()}
+    assert math.isnan(got["full"]["dcf"]) and math.isnan(got["full"]["fa_rate"]) and got["full"]["miss_rate"] == 0.0
+    assert got["mute"]["der"] == math.inf and math.isnan(got["mute"]["miss_rate"]) and got["mute"]["fa_rate"] == 100.0

@@ -259,13 +259,14 @@ def roc_auc(rows: DataFrame, score: str, truth: str) -> DataFrame:
     return t.agg(F.round(auc, 6).alias("auc"), F.round(ap, 6).alias("average_precision"), F.round(F.sum(F.when(F.col("s") >= 0.5, F.col("p")).otherwise(0)) / F.sum("p"), 6).alias("recall_at_half"))
 
 
-def detection_costs(atoms: DataFrame, keys: list[str], miss: float = 0.75, fa: float = 0.25) -> DataFrame:
-    """Speech activity: DCF, detection error, accuracy and rates in percent from atoms with n_ref and n_sys."""
+def detection_costs(atoms: DataFrame, keys: list[str], miss: float = 0.75, fa: float = 0.25, *, ieee: bool = False) -> DataFrame:
+    """Speech activity: DCF, detection error, accuracy and rates in percent from atoms with n_ref and n_sys. Rates of no time at all are 0 or, with ieee, what floating-point division gives: not a number, or infinite."""
     dur = (F.col("offset_ms") - F.col("onset_ms")).cast("double")
     r, s = F.col("n_ref") > 0, F.col("n_sys") > 0
     part = lambda c: F.sum(F.when(c, dur).otherwise(0.0))
     t = atoms.groupBy(*keys).agg(part(r & s).alias("tp"), part(r & ~s).alias("fn"), part(~r & s).alias("fp"), part(~r & ~s).alias("tn"))
-    z = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    by_zero = lambda a: F.when(a > 0, float("inf")).otherwise(float("nan")) if ieee else F.lit(0.0)
+    z = lambda a, b: F.coalesce(F.try_divide(a, b), by_zero(a))
     fnr, fpr = z(F.col("fn"), F.col("tp") + F.col("fn")), z(F.col("fp"), F.col("fp") + F.col("tn"))
     return t.select(
         *keys, F.round(100 * (miss * fnr + fa * fpr), 6).alias("dcf"), F.round(100 * z(F.col("fn") + F.col("fp"), F.col("tp") + F.col("fn")), 6).alias("der"),
