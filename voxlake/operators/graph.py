@@ -332,6 +332,64 @@ def predicted_density(scored: DataFrame) -> DataFrame:
     return scored.groupBy(F.col("dst").alias("node")).agg(F.round(F.avg(F.col("sim") * (F.col("p1") - F.col("p0"))), DIGITS).alias("density"))
 
 
+def average_linkage(v: np.ndarray, threshold: float) -> np.ndarray:
+    """Cluster (the place of its first member) of each row of v when, time and again, the two clusters of the greatest mean product have been joined while that is not below the threshold. The mean product of two clusters
+    is that of their means, so no matrix of pairs is held; chains of nearest clusters find the same joins in another order, since a join never brings a cluster nearer to the others than its parts were."""
+    n = len(v)
+    own, at = np.arange(n), np.arange(n)  # join of each row; first member by place
+    total, size, final, chain, start = v.copy(), np.ones(n), np.zeros(n, bool), [], 0  # final: joined into another, or no nearer to any than the threshold
+    while True:
+        if not chain:
+            while start < len(at) and final[start]:
+                start += 1
+            if start == len(at):
+                break
+            chain = [start]
+        a = chain[-1]
+        near = (total @ total[a]) / (size * size[a])
+        near[final] = -np.inf
+        near[a] = -np.inf
+        b = int(np.argmax(near))
+        if len(chain) > 1 and near[chain[-2]] >= near[b] - 1e-12:
+            b = chain[-2]
+        if not near[b] >= threshold:
+            final[chain] = True
+            chain = []
+        elif len(chain) > 1 and b == chain[-2]:
+            chain = chain[:-2]
+            a, b = (a, b) if at[a] < at[b] else (b, a)
+            total[a] += total[b]
+            size[a] += size[b]
+            final[b], own[at[b]] = True, at[a]
+        else:
+            chain.append(b)
+        if not chain and final.sum() * 2 > len(final):
+            keep = ~final
+            at, total, size, final, start = at[keep], total[keep], size[keep], final[keep], 0
+    while not (own == (up := own[own])).all():
+        own = up
+    return own
+
+
+def join_small(v: np.ndarray, own: np.ndarray, least: int) -> np.ndarray:
+    """Clusters below least members, in order, join the one of the greatest mean product of those that have as many. Clusters are known by their first members."""
+    name, to, size = np.unique(own, return_inverse=True, return_counts=True)
+    total = np.zeros((len(name), v.shape[1]))
+    np.add.at(total, to, v)
+    into = np.arange(len(name))
+    for c in np.flatnonzero(size < least):
+        others = np.flatnonzero(size >= least)
+        if not len(others):
+            break
+        o = others[np.argmax(total[others] @ total[c] / size[others])]
+        total[o] += total[c]
+        size[o] += size[c]
+        size[c], into[c] = 0, o
+    first = np.full(len(name), len(v))
+    np.minimum.at(first, into[to], np.arange(len(v)))
+    return first[into[to]]
+
+
 def agglomerate(x: DataFrame, threshold: float, group: str = "reco", least: int = 1) -> DataFrame:
     """Average-linkage clustering of each recording on cosine similarity until no two clusters are nearer than the threshold;
     clusters below least members then join their nearest. (group, node, cluster): the cluster's least node."""
@@ -342,30 +400,9 @@ def agglomerate(x: DataFrame, threshold: float, group: str = "reco", least: int
         nodes = nodes[order]
         v = matrix(t.column("embedding"))[order]
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
-        sim, size = v @ v.T, np.ones(len(v))
-        np.fill_diagonal(sim, -np.inf)
-        own, alive = np.arange(len(v)), len(v)
-        while alive > 1:
-            i, j = divmod(int(np.argmax(sim)), len(v))
-            if sim[i, j] < threshold:
-                break
-            i, j = min(i, j), max(i, j)
-            joint = (size[i] * sim[i] + size[j] * sim[j]) / (size[i] + size[j])
-            sim[i], sim[:, i] = joint, joint
-            sim[i, i] = -np.inf
-            sim[j], sim[:, j] = -np.inf, -np.inf
-            size[i] += size[j]
-            own[own == j] = i
-            alive -= 1
-        for c in np.unique(own):
-            members = own == c
-            if members.sum() < least and alive > 1:
-                others = [o for o in np.unique(own) if o != c and (own == o).sum() >= least]
-                if others:
-                    own[members] = max(others, key=lambda o: (v[members] @ v[own == o].T).mean())
-        low = {c: nodes[own == c].min() for c in np.unique(own)}
+        own = join_small(v, average_linkage(v, threshold), least)
         key = pa.array(t.column(group).slice(0, 1).to_pylist() * len(nodes), t.schema.field(group).type)
-        return pa.table({group: key, "node": nodes, "cluster": np.array([low[c] for c in own], np.int64)})
+        return pa.table({group: key, "node": nodes, "cluster": nodes[own].astype(np.int64)})
 
     kind = dict(x.dtypes)[group]
     rows = x.select(group, F.col("node").cast("long").alias("node"), F.col("embedding").cast("array<double>").alias("embedding"))
