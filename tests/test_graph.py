@@ -130,3 +130,43 @@ def test_pairs_of_tiles_are_all_pairs(spark):
         dist = {j: 0.0 if i == j else None if s is None else round(1 - s, 6) for (a, j), s in sim.items() if a == i}
         order = sorted(dist, key=lambda j: (dist[j] is None, dist[j] or 0.0, j))[:4]
         assert [near[i][k] for k in range(4)] == [(j, dist[j]) for j in order]
+
+
+def test_average_linkage_is_that_of_the_matrix_of_pairs():
+    rng = np.random.default_rng(9)
+    for n in (1, 2, 30, 61):
+        v = rng.standard_normal((n, 4))
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        for threshold in (0.1, 0.5, 0.9):
+            clusters = [[i] for i in range(n)]
+            while len(clusters) > 1:
+                best, i, j = max((np.mean(v[a] @ v[b].T), i, j) for i, a in enumerate(clusters) for j, b in enumerate(clusters) if i < j)
+                if best < threshold:
+                    break
+                clusters[i] += clusters.pop(j)
+            want = {i: min(c) for c in clusters for i in c}
+            assert dict(enumerate(G.average_linkage(v, threshold).tolist())) == want
+
+
+def test_agglomeration_of_many_nodes_holds_no_matrix_of_pairs(monkeypatch):
+    rng = np.random.default_rng(10)
+    v = np.repeat(np.eye(6), 2000, axis=0) + 0.01 * rng.standard_normal((12_000, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    import tracemalloc
+
+    tracemalloc.start()
+    own = G.join_small(v, G.average_linkage(v, 0.9), 3)
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+    assert own.tolist() == np.repeat(np.arange(6) * 2000, 2000).tolist()
+
+
+def test_neighbours_of_many_nodes_are_found_in_small_blocks():
+    import tracemalloc
+
+    u = np.random.default_rng(11).standard_normal((40_000, 2))
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    tracemalloc.start()
+    lo, near, far = next(G._neighbours(u, 5))
+    assert tracemalloc.get_traced_memory()[1] < 300e6 and near[0, 0] == 0 and far[0, 0] == 0
+    tracemalloc.stop()
