@@ -77,6 +77,19 @@ def test_all_lists_probed_is_exact(spark, n):
     assert plain(got) == plain(want)
 
 
+def test_exact_check_finds_what_lists_overlook(spark):
+    """One list of many is probed on vectors without structure, with equal vectors and a row without one."""
+    rng = np.random.default_rng(8)
+    v = rng.standard_normal((400, 16))
+    v[7::50] = v[7]
+    x = frame(spark, {"a": v, "b": rng.standard_normal((5, 16))}).unionByName(spark.createDataFrame([("a", -1, None)], "reco string, node long, embedding array<float>"))
+    plain = lambda t: sorted((r["node"], r["nbr"], round(r["dist"], 5)) for r in t.collect())
+    want = plain(G.knn(x.filter("embedding is not null"), 10).withColumn("dist", F.least("dist", F.lit(1.0))).filter("reco = 'a'"))
+    found = lambda **how: plain(A.approximate_knn(x, 10, probes=1, parts=4, refine=1, **how).filter("reco = 'a'"))
+    assert found() != want
+    assert found(exact=True) == want
+
+
 def test_empty(spark):
     x = spark.createDataFrame([], "reco string, node long, embedding array<float>")
     assert A.approximate_knn(x, 4, parts=4).count() == 0

@@ -6,6 +6,7 @@
 3. `visit` compares queries with the members of one list through tables of the products of a query's parts with all code words. Members and queries of a list meet in tiles of bounded size, so a list
    that holds most of a recording is many tasks. The nearest lists are visited first; what they give bounds what the others need to return.
 4. The best `refine * k` candidates are ranked by exact distance (`graph.rerank`).
+5. With `exact`, tiles of the recording's pairs give what lists and codes overlooked: pairs that are no farther than a row's last candidate (`overlooked`).
 
 Rows without a vector have no neighbours and are nobody's; ties go to the lesser neighbour.
 """
@@ -17,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxlake.operators.graph import rerank
+from voxlake.operators.graph import TILE, _nearest, cosine_tiles, rerank
 from voxlake.session import stash
 
 #: Lists of a recording of n rows: min(MOST_LISTS, 16 * sqrt(n)), but ROWS_PER_LIST rows a list at least.
@@ -234,11 +235,42 @@ def candidates(index: Index, most: int, *, first: int = 8, probes: int | None =
     return best_of(both, most).select("reco", "node", F.explode("best").alias("b")).select("reco", "node", "b.nbr")
 
 
-def approximate_knn(x: DataFrame, k: int, *, probes: int = 128, parts: int = 32, refine: int = 2, block: int = BLOCK, index: Index | None = None) -> DataFrame:
-    """(reco, node, rank, nbr, dist): rank 0 is the node itself at distance 0, then up to k - 1 neighbours of its recording by exact distance, clamped to [0, 1]."""
+def overlooked(x: DataFrame, ranked: DataFrame, k: int, tile: int = TILE) -> DataFrame:
+    """(node, nbr): pairs of a recording that are not ranked though no farther than the last of the node's k ranked neighbours, or any where it has fewer; of each tile the k nearest at most. Bounds
+    come from what is ranked, so little is returned where that is nearly right; the pairs that are multiplied are all of a recording."""
+    own = ranked.groupBy("node").agg(F.sort_array(F.collect_list("nbr")).alias("known"), F.max("dist").alias("bound"))
+    own = own.withColumn("bound", F.when(F.size("known") >= k, F.col("bound")).otherwise(1.0))
+    rows = x.filter("embedding is not null").join(own, "node", "left").withColumns({"bound": F.coalesce("bound", F.lit(1.0)), "known": F.coalesce("known", F.array().cast("array<long>"))})
+
+    def fold(p: pa.Table, q: pa.Table, sim: np.ndarray, null: np.ndarray) -> dict:
+        i, j = p.column("node").to_numpy(), q.column("node").to_numpy()
+        known = p.column("known").combine_chunks()
+        row, nbr = np.repeat(np.arange(len(i)), known.value_lengths().to_numpy()), known.flatten().to_numpy()
+        at = np.searchsorted(j, nbr)
+        here = at < len(j)
+        here[here] = j[at[here]] == nbr[here]
+        shut = null | (i[:, None] == j[None, :])
+        shut[row[here], at[here]] = True
+        dist = np.clip(1 - sim, 0.0, 1.0)
+        shut |= dist > p.column("bound").to_numpy()[:, None] + 1.5e-6
+        r, c = _nearest(np.where(shut, 3.0, dist), k)
+        left = ~shut[r, c]
+        return {"node": i[r[left]], "nbr": j[c[left]]}
+
+    return cosine_tiles(rows, fold, "node long, nbr long", carry=("known", "bound"), tile=tile).select("node", "nbr")
+
+
+def approximate_knn(x: DataFrame, k: int, *, probes: int = 128, parts: int = 32, refine: int = 2, block: int = BLOCK, index: Index | None = None, exact: bool = False) -> DataFrame:
+    """(reco, node, rank, nbr, dist): rank 0 is the node itself at distance 0, then up to k - 1 neighbours of its recording by exact distance, clamped to [0, 1]. With exact, pairs that the lists missed are
+    added, at the cost of all products of a recording."""
     index = index or build(x, probes=probes, parts=parts, block=block)
     found = stash(candidates(index, refine * max(1, k - 1), probes=probes, block=block), "ivf-candidates")
     ranked = rerank(found, x, k - 1)
+    if exact and k > 1:
+        ranked = stash(ranked, "ivf-ranked")
+        both = ranked.select("node", "nbr", "dist").unionByName(rerank(overlooked(x, ranked, k - 1), x, k - 1).select("node", "nbr", "dist"))
+        rank = (F.row_number().over(Window.partitionBy("node").orderBy("dist", "nbr")) - 1).cast("long")
+        ranked = both.withColumn("rank", rank).filter(F.col("rank") < k - 1).select("node", "rank", "nbr", "dist")
     of = index.rows.select("reco", "node")
     others = of.join(ranked, "node").select("reco", "node", (F.col("rank") + 1).alias("rank"), "nbr", "dist")
     return of.select("reco", "node", F.lit(0).cast("long").alias("rank"), F.col("node").alias("nbr"), F.lit(0.0).alias("dist")).unionByName(others)
