@@ -86,3 +86,16 @@ def test_subwords(spark):
     assert cut() == "low low@@ er new@@ low x@@ U@@ S@@ A@@ low"
     assert cut(glossaries=["USA"]).endswith("x@@ USA@@ low")
     assert cut(vocabulary={"low", "lo@@", "w@@", "er", "ne@@", "x@@"}) == "low lo@@ w@@ er ne@@ w@@ low x@@ U@@ S@@ A@@ low"
+
+
+def test_changes_leave_out_histories_without_a_probability(spark, monkeypatch):
+    """A word whose share rounds to nothing is no unigram; n-grams after it have no change, as in the SQL's join."""
+    from pyspark.sql import functions as F
+
+    from voxlake.plans import PLANS
+    from voxlake.plans import text_queries as T
+
+    p = [(1, "", "a", 0.5), (1, "", "b", 0.0), (1, "", "</s>", 0.5), (2, "<s>", "a", 0.6), (2, "a", "</s>", 0.7), (2, "b", "a", 0.4)]
+    monkeypatch.setattr(T.X, "kn_probabilities", lambda *_: spark.createDataFrame([(*r, 0.0) for r in p], "n int, hist string, word string, f double, left double"))
+    got = PLANS.queries["e09_perplexity_changes"](spark, "/root/testdata/sf0.001").filter(F.col("change").isNotNull())
+    assert sorted((r["hist"], r["word"]) for r in got.collect()) == [("<s>", "a"), ("a", "</s>")]
