@@ -88,6 +88,15 @@ def test_subwords(spark):
     assert cut(vocabulary={"low", "lo@@", "w@@", "er", "ne@@", "x@@"}) == "low lo@@ w@@ er ne@@ w@@ low x@@ U@@ S@@ A@@ low"
 
 
+def test_weights_of_contexts_that_are_no_n_grams(spark):
+    """b is a context without a probability of its own: its weight holds all the same where it is filled in, so that its total is one."""
+    rows = [(1, "", "a", 0.6), (1, "", "</s>", 0.4), (2, "a", "</s>", 0.7), (2, "b", "a", 0.5)]
+    m = spark.createDataFrame([(n, h, w, math.log(p)) for n, h, w, p in rows], "n int, hist string, word string, logp double")
+    total = lambda **how: {r["hist"]: round(r["total"], 9) for r in L.normalization(L.with_weights(m, 2, **how), 2).collect()}
+    assert total(fill=True) == {"": 1.0, "a": 1.0, "b": 1.0}
+    assert total() == {"": 1.0, "a": 1.0, "b": 0.9}
+
+
 def test_changes_leave_out_histories_without_a_probability(spark, monkeypatch):
     """A word whose share rounds to nothing is no unigram; n-grams after it have no change, as in the SQL's join."""
     from pyspark.sql import functions as F
