@@ -53,3 +53,16 @@ def test_stream_sessions(spark, tmp_path):
     q = sessions(stream, "user_id").writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["n"] for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_pairs_of_words_are_looked_up_once(spark, monkeypatch):
+    """Sentences all begin and end alike; the model is asked by distinct pairs, not by a row for each sentence."""
+    seen, ask = [], X.pair_scores
+    monkeypatch.setattr(X, "pair_scores", lambda pairs, *m: (seen.append(sorted(map(tuple, pairs.select("hist", "word").collect()))), ask(pairs, *m))[1])
+    rows = spark.createDataFrame([(i, "a b" if i % 2 else "a") for i in range(6)], "id int, text string")
+    uni = spark.createDataFrame([("a", 0.1), ("</s>", 0.01)], "word string, p double")
+    bi = spark.createDataFrame([("<s>", "a", 0.1), ("a", "</s>", 0.01)], "hist string, word string, p double")
+    bow = spark.createDataFrame([("a", 0.1)], "hist string, bow double")
+    got = {r["id"]: (r["n_tokens"], r["logp"]) for r in X.score_sentences(rows, "id", "text", uni, bi, bow).collect()}
+    assert got == {i: (3, -11.0) if i % 2 else (2, -3.0) for i in range(6)}
+    assert seen == [[("<s>", "a"), ("a", "</s>"), ("a", "b"), ("b", "</s>")]]
