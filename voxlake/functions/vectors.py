@@ -11,8 +11,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def l2_normalize(v: Column) -> Column:
-    n = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: F.try_divide(x.cast("double"), n))
+    """The length is bound by a list of one, so it is taken once a vector and not for each component."""
+    return F.transform(F.array(F.sqrt(dot(v, v))), lambda n: F.transform(v, lambda x: F.try_divide(x.cast("double"), n)))[0]
 
 
 def temporal_weight(i: Column, j: Column, beta: float = 0.95, most: int = 5) -> Column:
