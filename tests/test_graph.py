@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from voxlake.operators import graph as G
 from voxlake.operators.components import connected_components
@@ -170,3 +171,52 @@ def test_neighbours_of_many_nodes_are_found_in_small_blocks():
     lo, near, far = next(G._neighbours(u, 5))
     assert tracemalloc.get_traced_memory()[1] < 300e6 and near[0, 0] == 0 and far[0, 0] == 0
     tracemalloc.stop()
+
+
+def test_normalising_takes_the_length_once_a_vector(spark):
+    """A length taken for each component is quadratic in the dimensions: 4e8 steps here."""
+    import time
+
+    x = spark.createDataFrame([([3.0] + [0.0] * 20_000 + [4.0],), ([0.0, 0.0],), (None,)], "v array<double>").coalesce(1)
+    began = time.monotonic()
+    got = [r["u"] for r in x.select(G.l2_normalize(F.col("v")).alias("u")).collect()]
+    assert time.monotonic() - began < 8 and (got[0][0], got[0][1], got[0][-1]) == (0.6, 0.0, 0.8) and got[1:] == [[None, None], None]
+
+
+def test_neighbours_by_the_bound_are_those_of_all_columns(monkeypatch):
+    rng = np.random.default_rng(12)
+    for dims, copies in ((16, 1), (2, 30)):
+        u = np.repeat(rng.standard_normal((1500 // copies, dims)), copies, axis=0)[rng.permutation(1500)]
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        u[7] = 0.0
+        calls = []
+        monkeypatch.setattr(G, "_nearest", lambda *a, f=G._nearest: calls.append(1) or f(*a))
+        few = list(G._neighbours(u, 7))
+        assert not calls
+        monkeypatch.undo()
+        monkeypatch.setattr(G, "PART", 10_000)
+        every = list(G._neighbours(u, 7))
+        monkeypatch.undo()
+        assert all(a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all() for a, b in zip(few, every, strict=True))
+
+
+def test_training_levels_search_once_a_level(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    x = spark.createDataFrame([("r", i, i % 3, rng.standard_normal(4).tolist()) for i in range(60)], "reco string, node long, label long, embedding array<double>")
+    calls = []
+    monkeypatch.setattr(G, "knn", lambda t, k, f=G.knn: calls.append(k) or f(t, k))
+    got = G.training_levels(x, (3, 5), levels=2)
+    assert calls == [5, 5]
+    monkeypatch.undo()
+    first = {(r["k"], r["src"], r["dst"]) for r in got.filter("level = 0").collect()}
+    assert first == {(k, r["nbr"], r["node"]) for k in (3, 5) for r in G.knn(x, k).collect() if r["node"] != r["nbr"] and r["dist"] <= 1}
+
+
+def test_pairs_of_a_label_meet_in_tiles_once(spark):
+    rows = [("r" if i % 5 else "s", i, [i % 2, 1] if i % 3 else [i % 2] if i % 7 else [None, 2]) for i in range(120)]
+    x = spark.createDataFrame(rows, "reco string, node long, labels array<int>")
+    pairs = G.label_pairs(x, tile=8)
+    got = sorted(tuple(r) for r in pairs.collect())
+    held = lambda labels: {v for v in labels if v is not None}
+    assert got == sorted((i, j) for a, i, p in rows for b, j, q in rows if a == b and i < j and held(p) & held(q))
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
