@@ -101,3 +101,12 @@ def test_posteriors_and_bins(spark, tmp_path):
     assert sorted(map(tuple, spark.read.format("ark").option("type", "bins").load(b).collect())) == sorted(map(tuple, bins.collect()))
     index = ark.read_index(spark, p).filter("key = 'u2'")
     assert [tuple(r) for r in ark.read_at_offsets(index, "posterior").collect()] == [("u2", 1, 5, 0.75)]
+
+
+def test_short_records_are_not_held_by_the_million():
+    import io
+
+    one = np.array([(4, 7, 4, 0.5)], ark._POSTERIOR)
+    raw = b"\0B" + ark._sized(4) + b"".join(ark._record_bytes(one["index"], one["value"], ark._POSTERIOR) for _ in range(4))
+    sizes = [b.num_rows for b in ark.batches(((f"k{i}", io.BytesIO(raw)) for i in range(20_000)), "posterior")]
+    assert sum(sizes) == 80_000 and max(sizes) <= 1 << 16

@@ -209,8 +209,8 @@ def _one(key: str, f: io.BufferedIOBase, type_: str) -> tuple[list, int]:
     return [[key] * len(a), np.arange(len(a)), a["begin"], a["end"]], len(a)
 
 
-def batches(records: Iterator[tuple[str, io.BufferedIOBase]], type_: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Arrow batches of about `most` numbers."""
+def batches(records: Iterator[tuple[str, io.BufferedIOBase]], type_: str, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of about `most` numbers. A short record takes some hundred bytes beside its numbers until its batch is made, so the bound is one on memory too."""
     fields = _columns(type_)
     held: list[list] = [[] for _ in fields]
     n = 0
