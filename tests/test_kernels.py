@@ -184,3 +184,16 @@ def test_times_are_warped_without_a_frame_that_each_row_reads_to_its_end(spark):
     points = spark.createDataFrame([("f", 5.0)], "k string, ts double")
     anchors = spark.createDataFrame([("f", 0.0, 1.0, 0.0, 1.0)], "k string, begin double, end double, ref_begin double, ref_end double")
     assert "unboundedfollowing" not in V.warp_times(points, anchors, "k")._jdf.queryExecution().toString().lower()
+
+
+def test_alignments_leave_in_small_batches():
+    """A batch of many rows is not held as one list of aligned words."""
+    import pyarrow as pa
+
+    text = [" ".join(f"w{(i * 7 + j) % 50}" for j in range(40)) for i in range(601)]
+    rows = pa.RecordBatch.from_pydict({"id": list(range(600)), "ref": text[:-1], "hyp": [None, "", *text[3:]]})
+    sizes, ids = [], []
+    for b in N.aligned_batches(iter([rows]), ["id"], "ref", "hyp", "<eps>", 5):
+        sizes.append(b.num_rows)
+        ids += b.column("id").unique().to_pylist()
+    assert ids == list(range(600)) and sum(sizes) >= 24_000 and max(sizes) < N.ALIGNED + 100

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -253,19 +256,43 @@ def align_words(a: list[str], b: list[str], beam: int) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def align(rows: DataFrame, keys: list[str], ref: str, hyp: str, eps: str = "<eps>", beam: int = 200) -> DataFrame:
-    """(keys, pos, ref, hyp): word alignment of each row within a beam around the diagonal."""
+#: Aligned words that a task holds before it hands them on, and rows whose texts it takes at once.
+ALIGNED, TEXTS = 16_384, 256
+
+
+def aligned_batches(batches: Iterator[pa.RecordBatch], keys: list[str], ref: str, hyp: str, eps: str, beam: int) -> Iterator[pa.RecordBatch]:
+    """Batches (keys, pos, ref, hyp) of the alignments of rows, of about ALIGNED words however many rows arrive at once. Keys are repeated by their place, texts are taken a few rows at a time."""
+    for whole in batches:
+        for lo in range(0, whole.num_rows, TEXTS):
+            b = whole.slice(lo, TEXTS)
+            own, n, x, y = [], [], [], []
 
-    def run(frames):
-        for t in frames:
-            found = []
-            for *k, r, h in zip(*[t[c] for c in keys], t[ref], t[hyp], strict=True):
-                a, b = (r or "").split(), (h or "").split()
-                found += [(*k, p, a[i] if i >= 0 else eps, b[j] if j >= 0 else eps) for p, (i, j) in enumerate(align_words(a, b, beam))]
-            yield pd.DataFrame(found, columns=[*keys, "pos", "ref", "hyp"])
+            def ready() -> pa.RecordBatch:
+                at = pa.array(np.repeat(own, n))  # noqa: B023
+                pos = np.concatenate([np.arange(m) for m in n])  # noqa: B023
+                return pa.RecordBatch.from_arrays([*(b.column(k).take(at) for k in keys), pa.array(pos, pa.int64()), pa.array(x, pa.string()), pa.array(y, pa.string())], [*keys, "pos", "ref", "hyp"])  # noqa: B023
 
+            for row, (r, h) in enumerate(zip(b.column(ref).to_pylist(), b.column(hyp).to_pylist(), strict=True)):
+                p, q = (r or "").split(), (h or "").split()
+                found = align_words(p, q, beam)
+                if not found:
+                    continue
+                own.append(row)
+                n.append(len(found))
+                x += [p[i] if i >= 0 else eps for i, _ in found]
+                y += [q[j] if j >= 0 else eps for _, j in found]
+                if len(x) >= ALIGNED:
+                    yield ready()
+                    own, n, x, y = [], [], [], []
+            if x:
+                yield ready()
+
+
+def align(rows: DataFrame, keys: list[str], ref: str, hyp: str, eps: str = "<eps>", beam: int = 200) -> DataFrame:
+    """(keys, pos, ref, hyp): word alignment of each row within a beam around the diagonal."""
     kinds = dict(rows.dtypes)
-    return rows.select(*keys, ref, hyp).mapInPandas(run, "".join(f"{k} {kinds[k]}, " for k in keys) + "pos long, ref string, hyp string")
+    schema = "".join(f"{k} {kinds[k]}, " for k in keys) + "pos long, ref string, hyp string"
+    return rows.select(*keys, ref, hyp).mapInArrow(lambda batches: aligned_batches(batches, keys, ref, hyp, eps, beam), schema)
 
 
 def best_path(score: np.ndarray, deleted: np.ndarray, inserted: np.ndarray, beam: float = np.inf) -> list[int]:
