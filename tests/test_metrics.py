@@ -104,3 +104,10 @@ def test_detection_costs_divide_as_sql_does(spark):
     got = {r["file_id"]: r for r in M.detection_costs(atoms, ["file_id"], ieee=True).collect()}
     assert math.isnan(got["full"]["dcf"]) and math.isnan(got["full"]["fa_rate"]) and got["full"]["miss_rate"] == 0.0
     assert got["mute"]["der"] == math.inf and math.isnan(got["mute"]["miss_rate"]) and got["mute"]["fa_rate"] == 100.0
+
+
+def test_metadata_scores_shuffle_events_without_their_places(spark):
+    from voxlake.plans import PLANS
+
+    plan = PLANS.queries["d32_metadata_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "row_number" not in plan and "Join" in plan
