@@ -108,3 +108,18 @@ def test_changes_leave_out_histories_without_a_probability(spark, monkeypatch):
     monkeypatch.setattr(T.X, "kn_probabilities", lambda *_: spark.createDataFrame([(*r, 0.0) for r in p], "n int, hist string, word string, f double, left double"))
     got = PLANS.queries["e09_perplexity_changes"](spark, "/root/testdata/sf0.001").filter(F.col("change").isNotNull())
     assert sorted((r["hist"], r["word"]) for r in got.collect()) == [("<s>", "a"), ("a", "</s>")]
+
+
+def test_lookup_of_long_histories_and_unknown_words(spark):
+    """A trigram asked of a bigram model is found under its last words; words without a unigram count as the unknown one, in the history too."""
+    m = {("a",): 0.5, ("b",): 0.3, (L.UNK,): 0.2, ("a", "b"): 0.6, (L.UNK, "a"): 0.7}
+    bow = bows(m)
+    rows = [(len(g), " ".join(g[:-1]), g[-1], math.log(p)) for g, p in m.items()]
+    model = L.with_weights(spark.createDataFrame(rows, "n int, hist string, word string, logp double"), 2)
+    as_known = lambda w: w if (w,) in m else L.UNK
+    ask = [(h, w) for h in ("", "a", "b a", "a a a", "a z", "z a", "y z") for w in ("a", "b", "z")]
+    want = {(h, w): math.log(prob(m, bow, tuple(map(as_known, (*h.split()[-1:], w))))) for h, w in ask}
+    got = L.lookup(spark.createDataFrame(ask, "hist string, word string"), model, 2).collect()
+    assert {(r["hist"], r["word"]): pytest.approx(r["logp"]) for r in got} == want and len(got) == len(ask)
+    raw = L.log_probability(spark.createDataFrame([("b a", "b"), ("a b", "z")], "hist string, word string"), model, 2).collect()
+    assert {r["word"]: r["logp"] for r in raw} == {"b": pytest.approx(math.log(0.6)), "z": L.UNKNOWN}
