@@ -212,6 +212,18 @@ def test_training_levels_search_once_a_level(spark, monkeypatch):
     assert first == {(k, r["nbr"], r["node"]) for k in (3, 5) for r in G.knn(x, k).collect() if r["node"] != r["nbr"] and r["dist"] <= 1}
 
 
+def test_rows_are_copied_once_for_many_tiles(spark, monkeypatch):
+    """100 rows in 25 tiles: a side is dealt to four tasks, so a row is copied four times a side and not twenty-five times; all pairs are there."""
+    from pyspark.sql import GroupedData
+
+    copies, apply = [], GroupedData.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda self, *a: copies.append(self._df.count()) or apply(self, *a))
+    rng = np.random.default_rng(6)
+    x = spark.createDataFrame([("r", i, [float(a) for a in rng.standard_normal(3)]) for i in range(100)], "reco string, node long, embedding array<double>")
+    got = G.cosine_pairs(x, tile=4)
+    assert copies == [800] and got.select("i", "j").distinct().count() == got.count() == 10_000
+
+
 def test_pairs_of_a_label_meet_in_tiles_once(spark):
     rows = [("r" if i % 5 else "s", i, [i % 2, 1] if i % 3 else [i % 2] if i % 7 else [None, 2]) for i in range(120)]
     x = spark.createDataFrame(rows, "reco string, node long, labels array<int>")
