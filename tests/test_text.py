@@ -66,3 +66,13 @@ def test_pairs_of_words_are_looked_up_once(spark, monkeypatch):
     got = {r["id"]: (r["n_tokens"], r["logp"]) for r in X.score_sentences(rows, "id", "text", uni, bi, bow).collect()}
     assert got == {i: (3, -11.0) if i % 2 else (2, -3.0) for i in range(6)}
     assert seen == [[("<s>", "a"), ("a", "</s>"), ("a", "b"), ("b", "</s>")]]
+
+
+def test_tables_of_ngrams_are_not_broadcast(spark):
+    """Spark takes n-grams to be as small as the texts that they come from, so without hints it would send them through the driver."""
+    rows = spark.createDataFrame([(1, "a b a c"), (2, "b a")], "id long, text string")
+    uni = spark.createDataFrame([("a", 0.5), ("b", 0.25)], "word string, p double")
+    bi = spark.createDataFrame([("a", "b", 0.5)], "hist string, word string, p double")
+    got = X.score_sentences(rows, "id", "text", uni, bi, spark.createDataFrame([("a", 0.4)], "hist string, bow double"))
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: r["n_tokens"] for r in got.collect()} == {1: 5, 2: 3}
