@@ -139,3 +139,11 @@ def test_turns_are_matched_as_by_their_overlap_matrix_which_is_not_made(spark):
     total = lambda t: sorted(map(tuple, t.groupBy("file_id").agg({"ms": "sum", "ref": "count"}).collect()))
     assert total(got) == total(want) and got.groupBy("file_id", "ref").count().filter("count > 1").count() == 0
     assert M.match_turns(ref.limit(0), sys, "file_id").count() == 0
+
+
+def test_frames_are_not_broadcast(spark):
+    """Two turns are millions of frames to Spark's eyes as few as two rows: they must not go through the driver."""
+    turns = spark.createDataFrame([("f", "a", 0, 5000), ("f", "b", 3000, 8000)], "file_id string, speaker_id string, onset_ms long, offset_ms long")
+    got = M.frame_contingency(turns, turns, "file_id", "speaker_id", 1000)
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["ref"], r["sys"]): r["n"] for r in got.collect()} == {("a", "a"): 5, ("a", "b"): 2, ("b", "a"): 2, ("b", "b"): 5}

@@ -15,6 +15,14 @@ def contingency(rows: DataFrame, keys: list[str], ref: str, sys: str) -> DataFra
     return rows.groupBy(*keys, F.col(ref).alias("ref"), F.col(sys).alias("sys")).agg(F.count("*").alias("n"))
 
 
+def frame_contingency(ref: DataFrame, sys: DataFrame, key: str, who: str, step: int) -> DataFrame:
+    """(key, ref, sys, n): frames that a speaker of either side covers. The hint keeps frames from being broadcast: Spark takes them to be as few as the turns that they come from."""
+    from voxlake.operators.intervals import frame_labels
+
+    frames = lambda t, c: frame_labels(t, [key, who], step).withColumnRenamed(who, c)
+    return contingency(frames(ref, "ref").join(frames(sys, "sys").hint("merge"), [key, "frame"]), [key], "ref", "sys")
+
+
 def with_margins(c: DataFrame, keys: list[str]) -> DataFrame:
     w = Window.partitionBy(*keys, "ref"), Window.partitionBy(*keys, "sys"), Window.partitionBy(*keys)
     return c.withColumns({"nr": F.sum("n").over(w[0]), "ns": F.sum("n").over(w[1]), "nn": F.sum("n").over(w[2])})
