@@ -197,3 +197,28 @@ def test_alignments_leave_in_small_batches():
         sizes.append(b.num_rows)
         ids += b.column("id").unique().to_pylist()
     assert ids == list(range(600)) and sum(sizes) >= 24_000 and max(sizes) < N.ALIGNED + 100
+
+
+def test_events_are_mapped_in_time_as_over_written_pairs(spark, monkeypatch):
+    """Pairs are made by the task that maps a file, a few at a time, with the same scores and the same mapping; only events are shuffled."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(V, "SCORED", 7)
+    rng = np.random.default_rng(11)
+    event = "struct<type:string,begin:long,end:long,subtype:string,last:long>"
+
+    def side(place, e, files):
+        rows = []
+        for f in files:
+            begins = sorted(int(b) for b in rng.integers(0, 300, 40))
+            for k, b in enumerate(begins):
+                kind = str(rng.choice(["SU", "IP", "EDIT"]))
+                rows.append((f, k, (kind, b, b + (0 if kind == "IP" else int(rng.integers(0, 60))), [None, "a", "b"][rng.integers(0, 3)], int(rng.integers(0, 3)))))
+        return spark.createDataFrame(rows, f"k string, {place} long, {e} {event}")
+
+    ref, sys = side("i", "r", "fg"), side("j", "s", "fh")
+    pairs = V.overlapping_pairs(ref, sys, "k", 5).withColumn("score", V.metadata_score(F.col("r"), F.col("s"), 5.0, 20.0)).filter("score is not null")
+    want = {tuple(r) for r in V.map_events(ref, sys, "k", pairs).collect()}
+    got = V.map_in_time(ref, sys, "k", 5.0, 20.0)
+    assert {tuple(r) for r in got.collect()} == want and sum(None not in r for r in want) > 10
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()

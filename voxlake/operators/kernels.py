@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -322,24 +322,28 @@ def best_path(score: np.ndarray, deleted: np.ndarray, inserted: np.ndarray, beam
 
 
 def sparse_path(n: int, m: int, i: np.ndarray, j: np.ndarray, score: np.ndarray, deleted: float, inserted: float) -> list[int]:
-    """best_path without a beam where few of n times m events may match: pairs (i, j) with their scores, sorted by i and j. Memory is that of the pairs and one row; a row's work is on the system events between
-    its first change and the last one reached so far."""
-    gain = score - deleted - inserted
+    """sparse_rows over pairs (i, j) with their scores, sorted by i and j."""
+    cuts = np.flatnonzero(np.diff(i)) + 1
+    ends = zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True) if len(i) else ()
+    return sparse_rows(n, m, ((int(i[lo]), j[lo:hi], score[lo:hi]) for lo, hi in ends), deleted, inserted)
+
+
+def sparse_rows(n: int, m: int, rows: Iterable[tuple[int, np.ndarray, np.ndarray]], deleted: float, inserted: float) -> list[int]:
+    """best_path without a beam where few of n times m events may match: rows in order, each a reference event with the system events that it may match, in order, and their scores. Rows are read once and not kept; memory
+    is that of the matches that bettered what was known. A row's work is on the system events between its first change and the last one reached so far."""
     best = np.full(m + 1, -np.inf)  # by the last system event used up: gain over mapping nothing
     top, where = np.zeros(m + 1), np.zeros(m + 1, np.int64)  # greatest gain so far from the left, and the first place that has it
     best[0], reached = 0.0, 0  # top is filled in up to reached and the same beyond
     link = np.full(m + 1, -1, np.int64)  # step that led here
     row, column, before, steps = [], [], [], 0
-    cuts = np.flatnonzero(np.diff(i)) + 1
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)], strict=True) if len(i) else ():
-        at = j[lo:hi]
+    for i, at, score in rows:
         left = np.minimum(at, reached)
-        found = gain[lo:hi] + top[left]
+        found = score - deleted - inserted + top[left]
         better = np.flatnonzero(found > best[at + 1])
         if not len(better):
             continue
         to = at[better] + 1
-        row.append(np.full(len(to), i[lo], np.int32))
+        row.append(np.full(len(to), i, np.int32))
         column.append(at[better].astype(np.int32))
         before.append(link[where[left[better]]])
         best[to], link[to] = found[better], np.arange(steps, steps + len(to))
