@@ -222,3 +222,19 @@ def test_events_are_mapped_in_time_as_over_written_pairs(spark, monkeypatch):
     got = V.map_in_time(ref, sys, "k", 5.0, 20.0)
     assert {tuple(r) for r in got.collect()} == want and sum(None not in r for r in want) > 10
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_in_time_are_those_of_joined_pairs(spark, monkeypatch):
+    """Cells shorter than events, blocks of a few pairs: each pair once, with metadata_score's score, and no join."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(V, "SCORED", 5)
+    rng = np.random.default_rng(12)
+    rows = [[("f" if k % 3 else "g", k, (str(rng.choice(["SU", "CB"])), b, b + int(rng.integers(0, 70)), [None, "a", "b"][k % 3], k % 2)) for k, b in enumerate(int(b) for b in rng.integers(0, 300, 50))] for _ in range(2)]
+    ref, sys = (spark.createDataFrame(r, "k string, turn long, e struct<type:string,begin:long,end:long,subtype:string,last:long>") for r in rows)
+    met = V.overlapping_pairs(ref.select("k", F.col("turn").alias("a"), F.col("e").alias("r")), sys.select("k", F.col("turn").alias("b"), F.col("e").alias("s")), "k", 5, bucket=40)
+    want = {(x["k"], x["a"], x["b"]): x["score"] for x in met.withColumn("score", V.metadata_score(F.col("r"), F.col("s"), 5.0, 20.0)).filter("score is not null").collect()}
+    got = V.score_in_time(ref, sys, "k", "turn", 5.0, 20.0, bucket=40)
+    found = got.collect()
+    assert {(x["k"], x["ref"], x["sys"]): x["score"] for x in found} == want and len(found) == len(want) > 50
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
