@@ -199,11 +199,10 @@ def test_alignments_leave_in_small_batches():
     assert ids == list(range(600)) and sum(sizes) >= 24_000 and max(sizes) < N.ALIGNED + 100
 
 
-def test_events_are_mapped_in_time_as_over_written_pairs(spark, monkeypatch):
-    """Pairs are made by the task that maps a file, a few at a time, with the same scores and the same mapping; only events are shuffled."""
+def test_events_are_mapped_in_time_as_over_written_pairs(spark):
+    """Pairs are made by the task that maps a file, with the same scores and the same mapping; only events are shuffled."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(V, "SCORED", 7)
     rng = np.random.default_rng(11)
     event = "struct<type:string,begin:long,end:long,subtype:string,last:long>"
 
@@ -224,11 +223,10 @@ def test_events_are_mapped_in_time_as_over_written_pairs(spark, monkeypatch):
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
 
 
-def test_scores_in_time_are_those_of_joined_pairs(spark, monkeypatch):
-    """Cells shorter than events, blocks of a few pairs: each pair once, with metadata_score's score, and no join."""
+def test_scores_in_time_are_those_of_joined_pairs(spark):
+    """Cells shorter than events: each pair once, with metadata_score's score, and no join."""
     from pyspark.sql import functions as F
 
-    monkeypatch.setattr(V, "SCORED", 5)
     rng = np.random.default_rng(12)
     rows = [[("f" if k % 3 else "g", k, (str(rng.choice(["SU", "CB"])), b, b + int(rng.integers(0, 70)), [None, "a", "b"][k % 3], k % 2)) for k, b in enumerate(int(b) for b in rng.integers(0, 300, 50))] for _ in range(2)]
     ref, sys = (spark.createDataFrame(r, "k string, turn long, e struct<type:string,begin:long,end:long,subtype:string,last:long>") for r in rows)
@@ -238,3 +236,17 @@ def test_scores_in_time_are_those_of_joined_pairs(spark, monkeypatch):
     found = got.collect()
     assert {(x["k"], x["ref"], x["sys"]): x["score"] for x in found} == want and len(found) == len(want) > 50
     assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_of_scores_are_whole(monkeypatch):
+    """However few pairs a block has, all of them come once and in order."""
+    import pandas as pd
+
+    rng = np.random.default_rng(13)
+    r, s = (pd.DataFrame({"type": "SU", "begin": np.sort(rng.integers(0, 300, 60)), "subtype": "a", "last": 0}).assign(end=lambda t: t["begin"] + rng.integers(0, 60, 60)) for _ in range(2))
+    joined = lambda: [np.concatenate(x).tolist() for x in zip(*V.scored_blocks(r, s, 5.0, 20.0), strict=True)]
+    whole = joined()
+    assert len(whole[0]) > 500
+    for n in (1, 7, 100):
+        monkeypatch.setattr(V, "SCORED", n)
+        assert len(list(V.scored_blocks(r, s, 5.0, 20.0))) > 5 and joined() == whole

@@ -147,3 +147,22 @@ def test_frames_are_not_broadcast(spark):
     got = M.frame_contingency(turns, turns, "file_id", "speaker_id", 1000)
     assert "BroadcastHashJoin" not in got._jdf.queryExecution().executedPlan().toString()
     assert {(r["ref"], r["sys"]): r["n"] for r in got.collect()} == {("a", "a"): 5, ("a", "b"): 2, ("b", "a"): 2, ("b", "b"): 5}
+
+
+def test_edges_of_a_dense_span_are_not_held():
+    """Held or made when read, the edges are the same; a span of 4 million pairs takes the memory of its turns."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    side = lambda n: pd.DataFrame({"turn": rng.permutation(n), "onset_ms": rng.integers(0, 100, n)}).assign(offset_ms=lambda t: t.onset_ms + rng.integers(1, 40, n))
+    r, s = side(30), side(20)
+    held, made = M.SpanEdges(r, s), M.SpanEdges(r, s, held=0)
+    assert list(held) == list(made) and made._kept is None and M.sparse_matching(held) == M.sparse_matching(made)
+    assert [{int(held.sys[c]): w for c, w in e} for e in held] == [{int(b.turn): int(ms) for b in s.itertuples() if (ms := min(a.offset_ms, b.offset_ms) - max(a.onset_ms, b.onset_ms)) > 0} for a in r.sort_values("turn").itertuples() if a.turn in held.ref]
+    full = [pd.DataFrame({"turn": range(2000), "onset_ms": 0, "offset_ms": range(1, 2001)}) for _ in range(2)]
+    tracemalloc.start()
+    assert len(M.SpanEdges(*full)) == 2000
+    assert tracemalloc.get_traced_memory()[1] < 5_000_000
+    tracemalloc.stop()
